@@ -54,8 +54,13 @@ def section_headings(docs: DataFrame, text: str = "text") -> DataFrame:
 
 # --- major blocks -----------------------------------------------------------
 
-_BEFORE = Window.partitionBy(ID).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-_UPTO = Window.partitionBy(ID).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+
+def _before():
+    return Window.partitionBy(ID).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _up_to():
+    return Window.partitionBy(ID).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def line_events(lines: DataFrame) -> DataFrame:
@@ -88,10 +93,10 @@ def block_lines(events: DataFrame) -> DataFrame:
     event = F.col("event")
     upper = event.isin("P", "C", "S")
     state = (
-        events.withColumn("__a", _last_line(event == "A", _BEFORE))
-        .withColumn("__r", _last_line(event == "R", _BEFORE))
-        .withColumn("__p", _last_line(upper, _BEFORE))
-        .withColumn("__m", _last_line(event == "M", _BEFORE))
+        events.withColumn("__a", _last_line(event == "A", _before()))
+        .withColumn("__r", _last_line(event == "R", _before()))
+        .withColumn("__p", _last_line(upper, _before()))
+        .withColumn("__m", _last_line(event == "M", _before()))
         .withColumn(
             "kind_before",
             F.when(F.col("__a") > F.col("__r"), "appendix")
@@ -104,7 +109,7 @@ def block_lines(events: DataFrame) -> DataFrame:
     ends_run = (event == "A") | sets_context | ((event == "R") & in_appendix)
     absorbed = (F.col("kind_before") == "article") & (F.col("__m") > F.col("__run"))
     state = (
-        state.withColumn("__run", _last_line(ends_run, _BEFORE))
+        state.withColumn("__run", _last_line(ends_run, _before()))
         .withColumn("opens", (event == "A") | ((event == "R") & ~absorbed))
         .withColumn("content", ~F.col("opens") & ~sets_context & (event != "N") & (F.col("kind_before") != "none"))
     )
@@ -114,9 +119,9 @@ def block_lines(events: DataFrame) -> DataFrame:
         seen = F.when(sets_context & (event == keeps), F.struct(F.col("line").alias("t"))).when(
             (event == "A") | (sets_context & event.isin(*resets)), cleared
         )
-        return F.last(seen, ignorenulls=True).over(_UPTO)["t"]
+        return F.last(seen, ignorenulls=True).over(_up_to())["t"]
 
-    part = F.last(F.when(sets_context & (event == "P"), F.col("line")), ignorenulls=True).over(_UPTO)
+    part = F.last(F.when(sets_context & (event == "P"), F.col("line")), ignorenulls=True).over(_up_to())
     state = (
         state.withColumn("part_title", part)
         .withColumn("chapter_title", context("C", ("P",)))
@@ -134,8 +139,8 @@ def block_lines(events: DataFrame) -> DataFrame:
         F.col("section_title"),
     )
     return (
-        state.withColumn("block_id", F.count(F.when(F.col("opens"), True)).over(_UPTO))
-        .withColumn("block", F.last(F.when(F.col("opens"), title), ignorenulls=True).over(_UPTO))
+        state.withColumn("block_id", F.count(F.when(F.col("opens"), True)).over(_up_to()))
+        .withColumn("block", F.last(F.when(F.col("opens"), title), ignorenulls=True).over(_up_to()))
         .drop("__a", "__r", "__p", "__m", "__run", "kind_before", "part_title", "chapter_title", "section_title")
     )
 

@@ -58,22 +58,30 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a directory with a ``supported`` flag, so that skipped files stay reportable.
 
-    Text files carry their text; contents of other files are not read into the plan's output.
+    Only file facts are read; contents stay on storage.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
     name = _file_name(_local_path(F.col("path")))
     suffix = F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]+)$", 1))
-    text = F.when(suffix.isin(*TEXT_SUFFIXES), F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8"))
     return files.select(
         _local_path(F.col("path")).alias("source_path"),
         name.alias("file_name"),
         suffix.alias("suffix"),
         F.col("length").alias("bytes"),
         suffix.isin(*SUPPORTED_SUFFIXES).alias("supported"),
-        text.alias("raw_text"),
     )
 
 
+def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Texts of the corpus files that are read directly; bytes that are not UTF-8 are left out."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}").load(path)
+    )
+    valid = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return files.select(_local_path(F.col("path")).alias("source_path"), valid.alias("raw_text"))
+
+
 def read_ocr_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, page_no, text) of OCR result files with one JSON object per line."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)

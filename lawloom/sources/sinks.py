@@ -6,6 +6,7 @@ and returns its path. A failed or repeated write leaves the old snapshot whole.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +76,9 @@ def orphan_artifacts(versions: DataFrame, documents: DataFrame) -> DataFrame:
 
 def create_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``; an empty one is written when there is none."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
         spark.createDataFrame([], schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
