@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lawloom.functions.text import WORD_END, collapse, fold, strip
+from lawloom.functions.text import WORD_END, collapse, fold, let, strip
 
 MAX_CHUNK_CHARS = 4500
 MIN_SECTION_CHARS = 900
@@ -49,9 +49,11 @@ def section_heading(line: Column) -> Column:
 
 
 def is_real_appendix_heading(line: Column) -> Column:
-    text = collapse(line)
-    refers = fold(text).rlike(rf"(?:^|[^a-z0-9_])(?:{APPENDIX_REFERENCE_WORDS})(?:[^a-z0-9_]|$)")
-    return (F.length(text) <= 50) & ~text.rlike(r"[()]") & ~refers & text.rlike(APPENDIX)
+    refers = rf"(?:^|[^a-z0-9_])(?:{APPENDIX_REFERENCE_WORDS})(?:[^a-z0-9_]|$)"
+    real = lambda text: (
+        (F.length(text) <= 50) & ~text.rlike(r"[()]") & ~fold(text).rlike(refers) & text.rlike(APPENDIX)
+    )
+    return line.rlike(APPENDIX) & let(collapse(line), real)
 
 
 def is_amendment_title(folded: Column) -> Column:
@@ -105,8 +107,10 @@ def is_false_heading(line: Column, kind: Column) -> Column:
 
 def accepted_heading(line: Column, *allowed: str) -> Column:
     """The inner heading of a line when its kind is allowed and it is not a false positive."""
-    found = inner_heading(line)
-    return F.when(found["kind"].isin(*allowed) & ~is_false_heading(line, found["kind"]), found)
+    return let(
+        inner_heading(line),
+        lambda h: F.when(h["kind"].isin(*allowed) & ~is_false_heading(line, h["kind"]), h),
+    )
 
 
 def amendment_action(text: Column) -> Column:

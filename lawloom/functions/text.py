@@ -27,6 +27,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def chained(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Apply steps one after the other, each result bound once, so that the expression grows linearly."""
+    for step in steps:
+        c = let(c, step)
+    return c
+
+
 def with_previous(lines: Column, body: Callable[[Column, Column], Column]) -> Column:
     """Map ``body(line, previous line)`` over an array; the first line has previous = NULL."""
     return let(
@@ -255,20 +262,26 @@ def _from_code_point(n: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Named and numeric character references to characters."""
 
-    def piece(x: Column, i: Column) -> Column:
-        ref = F.regexp_extract(x, r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    def character(ref: Column) -> Column:
+        digits = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.lit(9)), 16, 10)).otherwise(
+            F.substring(ref, F.lit(2), F.lit(9))
+        )
+        numeric = let(
+            digits.try_cast("bigint"), lambda n: F.when(n.between(1, 0x10FFFF), _from_code_point(n))
+        )
+        return F.when(F.startswith(ref, F.lit("#")), numeric).otherwise(F.try_element_at(_entity_map(), ref))
+
+    def replaced(x: Column, ref: Column) -> Column:
         tail = F.substring(x, F.length(ref) + 2, F.lit(2**31 - 1))
-        number = F.when(
-            ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.lit(9)), 16, 10)
-        ).otherwise(F.substring(ref, F.lit(2), F.lit(9))).try_cast("bigint")
-        char = F.when(F.startswith(ref, F.lit("#")), F.when(number.between(1, 0x10FFFF), _from_code_point(number)))
-        char = char.otherwise(F.try_element_at(_entity_map(), ref))
-        return (
-            F.when(i == 0, x)
-            .when((ref == "") | char.isNull(), F.concat(F.lit("&"), x))
-            .otherwise(F.concat(char, tail))
+        return let(
+            F.when(ref != "", character(ref)),
+            lambda ch: F.when(ch.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(ch, tail)),
         )
 
+    def piece(x: Column, i: Column) -> Column:
+        ref = F.regexp_extract(x, r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        return F.when(i == 0, x).otherwise(let(ref, lambda r: replaced(x, r)))
+
     decoded = F.array_join(F.transform(F.split(c, "&"), piece), "")
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
@@ -318,10 +331,17 @@ TRAILING_PHRASES = "bang quy doi|khung nang luc|phu luc"
 
 
 def _split_trailing_line(raw: Column) -> Column:
-    line = strip(raw)
-    before = strip(F.regexp_extract(line, _TRAILING_HEADING, 1))
-    split = F.concat(before, F.lit("\n"), strip(F.regexp_extract(line, _TRAILING_HEADING, 2)))
-    return F.when((before != "") & fold(before).rlike(TRAILING_PHRASES), split).otherwise(raw)
+    def split(line: Column) -> Column:
+        before = strip(F.regexp_extract(line, _TRAILING_HEADING, 1))
+        heading = strip(F.regexp_extract(line, _TRAILING_HEADING, 2))
+        return let(
+            before,
+            lambda b: F.when((b != "") & fold(b).rlike(TRAILING_PHRASES), F.concat(b, F.lit("\n"), heading)).otherwise(raw),
+        )
+
+    # the phrase must be in the line and a numbered heading must follow, both cheap to test first
+    possible = raw.rlike(r"\s\d+\.\s") & fold(raw).rlike(TRAILING_PHRASES)
+    return F.when(possible, let(strip(raw), split)).otherwise(raw)
 
 
 def split_trailing_headings(c: Column) -> Column:
@@ -342,12 +362,14 @@ def _any_accent(phrase: str) -> str:
 
 
 _REFERENCE = "|".join(_any_accent(w) for w in REFERENCE_WORDS)
+# The look-ahead comes first: most gaps between words fail it at once.
 _INLINE_ARTICLE = (
-    rf"(?iu)(?<=\S)(?<!(?:^|[^\p{{L}}\p{{N}}_])(?:{_REFERENCE}))[^\S\n]+"
-    r"((?:điều|dieu)\s+\d+[a-zA-Z]?\s*[.:]\s*)"
+    r"(?iu)(?<=\S)(?=[^\S\n]+(?:điều|dieu)\s+\d)"
+    rf"(?<!(?:^|[^\p{{L}}\p{{N}}_])(?:{_REFERENCE}))[^\S\n]+((?:điều|dieu)\s+\d+[a-zA-Z]?\s*[.:]\s*)"
 )
 
 
 def split_inline_headings(c: Column) -> Column:
     """A line break before an article heading inside a line, unless it is a reference to that article."""
-    return F.regexp_replace(c, _INLINE_ARTICLE, "\n$1")
+    hidden = c.rlike(r"(?iu)[^\S\n](?:điều|dieu)\s+\d+[a-z]?\s*[.:]")
+    return F.when(hidden, F.regexp_replace(c, _INLINE_ARTICLE, "\n$1")).otherwise(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions.text import collapse, fold, let, normalize_text, strip, text_lines
+from lawloom.functions.text import collapse, fold, let, normalize_text, strip
 
 ID = "doc_id"
 
@@ -24,10 +24,15 @@ EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 RULE = r"(?U)\s*={5,}\s*"
 
 
+def may_be_directory(c: Column) -> Column:
+    """A cheap necessary condition on the raw text; markup may hide the title, so it passes too."""
+    return c.rlike("[<&]") | fold(c).rlike(r"giang[ \t]+vien")
+
+
 def is_directory(c: Column) -> Column:
     """The first line with text is the directory title, and at least one record is valid."""
-    lines = F.filter(F.transform(text_lines(c), lambda x: fold(strip(x))), lambda x: x != "")
-    titled = F.coalesce(F.get(lines, F.lit(0)) == DIRECTORY_TITLE, F.lit(False))
+    first = strip(F.regexp_extract(c, r"(?U)\A\s*(\S[^\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)", 1))
+    titled = F.coalesce(fold(first) == DIRECTORY_TITLE, F.lit(False))
     return F.when(titled, F.size(directory_records(c)) > 0).otherwise(F.lit(False))
 
 
@@ -111,10 +116,12 @@ def unit_content(unit: Column, records: Column) -> Column:
     return normalize_text(F.concat(head, F.array_join(F.transform(records, entry), "\n")))
 
 
-def directory_chunks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One parsed chunk per (document, unit), units in order of first appearance."""
+def directory_chunks(docs: DataFrame, text: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One parsed chunk per (document, unit) of the directories, units in order of first appearance."""
     doc = F.struct(F.col(ID).alias("id"), *carry).alias("doc")
-    records = docs.select(ID, doc, F.posexplode(directory_records(F.col("text"))).alias("pos", "r"))
+    text = F.col("text") if text is None else text
+    found = let(text, lambda t: F.when(is_directory(t), directory_records(t)))
+    records = docs.select(ID, doc, F.posexplode(found).alias("pos", "r"))
     unit = F.coalesce(F.col("r.unit"), F.lit(UNKNOWN_UNIT))
     value = lambda f: F.coalesce(F.col(f"r.{f}"), F.lit("")).alias(f)
     entry = F.struct("pos", *[value(f) for f in ("name", "unit", "info", "phone", "email")])

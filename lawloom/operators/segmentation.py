@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from lawloom.functions import legal as L
 from lawloom.functions import text as T
 from lawloom.functions.tables import html_tables_to_markdown
-from lawloom.operators.directory import directory_chunks, is_directory
+from lawloom.operators.directory import directory_chunks, is_directory, may_be_directory
 
 ID = "doc_id"
 # Split after each line break, so that the pieces still add up to the text.
@@ -24,18 +24,31 @@ KEEP_BREAK = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
 
 def prepare_text(c: Column) -> Column:
     """Repairs in their fixed order: normalise, OCR, footnotes, tables, blocks, then the three heading splits."""
-    text = T.drop_footnote_markers(T.repair_ocr(T.normalize_text(c)))
-    text = T.html_blocks_to_text(html_tables_to_markdown(text))
-    return T.split_inline_headings(T.split_trailing_headings(T.split_appendix_titles(text)))
+    text = T.chained(c, T.normalize_text, T.repair_ocr, T.drop_footnote_markers)
+    return T.chained(
+        html_tables_to_markdown(text),
+        T.html_blocks_to_text,
+        T.split_appendix_titles,
+        T.split_trailing_headings,
+        T.split_inline_headings,
+    )
 
 
-def document_lines(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def document_lines(
+    docs: DataFrame, text: Column | None = None, carry: tuple[str, ...] = (), skip_directories: bool = False
+) -> DataFrame:
     """(doc_id, line_no, raw, line): ``raw`` with its line break, ``line`` stripped, without its markdown
     mark, and NULL for blank lines and page numbers. ``carry`` columns stay with every line as struct ``doc``."""
+    text = F.col("text") if text is None else text
+    if skip_directories:
+        none = F.array().cast("array<string>")
+        pieces = T.let(text, lambda t: F.when(is_directory(t), none).otherwise(F.split(t, KEEP_BREAK)))
+    else:
+        pieces = F.split(text, KEEP_BREAK)
     return (
-        docs.select(ID, text, F.struct(F.col(ID).alias("id"), *carry).alias("doc"))
+        docs.withColumn("doc", F.struct(F.col(ID).alias("id"), *carry))
         .repartition(ID)
-        .select(ID, "doc", F.posexplode(F.split(text, KEEP_BREAK)).alias("line_no", "raw"))
+        .select(ID, "doc", F.posexplode(pieces).alias("line_no", "raw"))
         .withColumn("line", T.parser_line(F.col("raw")))
     )
 
@@ -476,9 +489,10 @@ def parse_documents(
     min_section_chars: int = L.MIN_SECTION_CHARS,
 ) -> DataFrame:
     """Parsed, numbered chunks of every document: directory, major blocks, numbered headings, or one chunk."""
-    ready = docs.select(ID, *carry, prepare_text(F.col(text)).alias("text"))
-    directory = directory_chunks(ready.filter(is_directory(F.col("text"))), carry)
-    lines = document_lines(ready.filter(~is_directory(F.col("text"))), carry=carry)
+    source = docs.select(ID, *carry, F.col(text).alias("text"))
+    ready = prepare_text(F.col("text"))
+    directory = directory_chunks(source.filter(may_be_directory(F.col("text"))), ready, carry)
+    lines = document_lines(source, ready, carry, skip_directories=True)
     parsed = parse_items(item_lines(block_lines(line_events(lines)), max_chars))
     merged = merge_small_sections(parsed, max_chars, min_section_chars)
     return number_chunks(merged).unionByName(number_chunks(directory), allowMissingColumns=True)

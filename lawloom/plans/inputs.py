@@ -241,7 +241,7 @@ def directory_documents(spark, sf_dir, per_document: int = 50) -> DataFrame:
         line("Tên: ", F.col("c_name"), key % 11 != 0),
         line("Thông tin: ", F.col("c_mktsegment"), ~bare),
         line("Điện thoại: ", F.concat(F.lit("0"), key.cast("string")), ~bare),
-        line("Email: ", F.concat(F.lower("c_name"), F.lit("@example.com")), ~bare),
+        line("Email: ", F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit(".")), F.lit("@example.com")), ~bare),
     )
     blocks = c.select(F.expr(f"c_custkey div {per_document}").alias("doc_id"), "c_custkey", block.alias("block"))
     return blocks.groupBy("doc_id").agg(

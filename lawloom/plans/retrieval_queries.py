@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lawloom import session
 from lawloom.functions import hooks as H
 from lawloom.functions import legal as L
 from lawloom.functions import text as T
@@ -127,9 +128,9 @@ def ret_14_safe_float(spark, sf_dir):
 
 @query
 def ret_15_expanded_queries(spark, sf_dir):
-    """Each question with its own text again, upper case, and each of its sentences."""
+    """Each question with its own text again, lower case, and each of its sentences."""
     c = I.table(spark, sf_dir, "conversations")
-    sentences = F.concat(F.array(F.upper("text"), F.lit(" "), F.concat(F.lit(" "), "text")), F.split("text", "[.] "))
+    sentences = F.concat(F.array(F.lower("text"), F.lit(" "), F.concat(F.lit(" "), "text")), F.split("text", "[.] "))
     out = R.expanded_queries(F.col("text"), sentences)
     return c.select("conv_id", "turn", F.size(out).alias("n"), F.array_join(out, "|").alias("queries"))
 
@@ -144,7 +145,8 @@ def linked_chunks(spark, sf_dir):
         F.col("metadata.chunk_kind").alias("chunk_kind"),
         F.col("metadata.appendix_number").alias("appendix_number"),
     )
-    return V.annotate_previous(flat, I.versions(spark, sf_dir))
+    stored = session.materialize(flat, "chunks")
+    return session.materialize(V.annotate_previous(stored, I.versions(spark, sf_dir)), "linked")
 
 
 def chunk_hits(spark, sf_dir, linked):
@@ -172,6 +174,7 @@ def ret_17_appendix_relations(spark, sf_dir):
         F.col("metadata.chunk_kind").alias("chunk_kind"),
         F.expr("CASE WHEN CAST(document_id AS bigint) % 2 = 0 THEN metadata.appendix_number END").alias("appendix_number"),
     )
+    c = session.materialize(c, "chunks")
     every = c.withColumn("query_id", F.col("chunk_id")).withColumn("final_rank", F.lit(1).cast("bigint"))
     out = R.appendix_relations(every, c)
     return out.select("source_chunk_id", "chunk_id", "position")
@@ -313,7 +316,7 @@ def ret_31_answers(spark, sf_dir):
         "doc_id", "text", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
         F.col("doc_id").cast("string").alias("version_id"),
     )
-    points = N.to_points(N.ingest_chunks(docs)).withColumns(
+    points = session.materialize(N.to_points(N.ingest_chunks(docs)), "points").withColumns(
         {"file_path": F.lit(None).cast("string"), "mime_type": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}
     ).withColumn("document_id", F.col("document_id").cast("string"))
     asked = Q.last_questions(I.messages(spark, sf_dir)).select(

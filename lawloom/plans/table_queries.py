@@ -213,7 +213,7 @@ def ver_1_previous_version(spark, sf_dir):
         "chunk_id", "version_id", "chunk_index", "chunk_text", "metadata.article_number",
         "metadata.target_article_number", "metadata.is_amendment",
     )
-    out = V.annotate_previous(c, I.versions(spark, sf_dir))
+    out = V.annotate_previous(session.materialize(c, "chunks"), I.versions(spark, sf_dir))
     return out.select(
         "chunk_id", "version_id", "previous_version_id", "relation_to_previous_version", "previous_chunk_id",
         "previous_chunk_title", "previous_article_number",

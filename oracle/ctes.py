@@ -227,7 +227,7 @@ CTES["records"] = f"""SELECT c_custkey // 50 AS doc_id, c_custkey,
   CASE WHEN c_custkey % 13 <> 0 THEN n_name END AS unit, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS name,
   CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS info,
   CASE WHEN c_custkey % 13 <> 0 THEN '0' || c_custkey END AS phone,
-  CASE WHEN c_custkey % 13 <> 0 THEN lower(c_name) || '@example.com' END AS email
+  CASE WHEN c_custkey % 13 <> 0 THEN replace(lower(c_name), '#', '.') || '@example.com' END AS email
   FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 CTES["layout_rows"] = """SELECT doc_id, line_no, 0 AS half, line AS text, 500 AS width FROM plain_lines
   UNION ALL SELECT doc_id, line_no, 1, left(line, length(line) // 2), 250 FROM plain_lines"""

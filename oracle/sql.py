@@ -525,7 +525,7 @@ add(
 )
 CTES["query_forms"] = f"""SELECT conv_id, turn, {strip('x')} AS x, i FROM (
   SELECT conv_id, turn, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
-    SELECT conv_id, turn, list_concat([text, upper(text), ' ', ' ' || text], string_split(text, '. ')) AS l FROM conversations))"""
+    SELECT conv_id, turn, list_concat([text, lower(text), ' ', ' ' || text], string_split(text, '. ')) AS l FROM conversations))"""
 add(
     "ret_15_expanded_queries",
     f"""SELECT conv_id, turn, count(*) AS n, string_agg(x, '|' ORDER BY i) AS queries FROM (
