@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_GROUP_ROWS = 2_000_000
-BUCKETS = 256
+BUCKETS = 64
 _BUCKET = "__bucket"
 
 
@@ -29,8 +29,10 @@ def _splits(df: DataFrame, keys: list[str], order: list[str], max_rows: int) ->
 
 
 def _bucketed(df: DataFrame, order: str, cuts: list) -> DataFrame:
-    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda s: s < F.col(order)))
-    return df.withColumn(_BUCKET, above)
+    bucket = F.lit(len(cuts))
+    for i in reversed(range(len(cuts))):
+        bucket = F.when(F.col(order) <= F.lit(cuts[i]), F.lit(i)).otherwise(bucket)
+    return df.withColumn(_BUCKET, bucket)
 
 
 def _order_struct(order: list[str]) -> Column:

@@ -98,8 +98,8 @@ def _any_choice(choices: set[tuple]) -> Column:
 
 def _searcher(keys: list, vectors: list, ks: list, wanted: list[dict]) -> Callable:
     """Per-task search: best k ids and scores per query over all batches of the task."""
-    matrix = np.asarray(vectors, dtype=np.float64).reshape(len(vectors), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(vectors) else np.ones((0, 1))
+    matrix = np.asarray(vectors, dtype=np.float64) if vectors else np.zeros((0, 1))
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms == 0, 1.0, norms)
 
     def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ def _local_path(path: Column) -> Column:
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as documents: UTF-8, else Latin-1."""
+    """Whole text files as documents: UTF-8, else Latin-1. Spark plans no reads for files of zero bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     content = F.col("content")
     text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
