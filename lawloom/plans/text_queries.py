@@ -393,4 +393,9 @@ def str_27_chunk_texts(spark, sf_dir):
 
 @query
 def str_28_chunk_metadata(spark, sf_dir):
-    return chunk_table(spark, sf_dir).select("chunk_id", F.to_json("metadata").alias("metadata"))
+    shown = (
+        "chunk_kind", "doc_title", "chunk_title", "section_path", "version_number", "previous_version_id", "chapter",
+        "article_title", "article_number", "appendix_number", "is_amendment", "source_article_number", "change_type",
+        "amendment_order_number", "heading_number", "status",
+    )
+    return chunk_table(spark, sf_dir).select("chunk_id", *[f"metadata.{c}" for c in shown])

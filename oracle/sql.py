@@ -866,3 +866,65 @@ add(
       FROM (SELECT *, min(CASE WHEN status = 'completed' THEN (ts, event_id) END) OVER (PARTITION BY job_id) AS first_done FROM jobs)
     GROUP BY job_id)""",
 )
+
+# --- repairs and hooks with a direct twin --------------------------------------------------------------------
+
+add("txt_11_ocr_repair", "SELECT doc_id, replace(text, '1. Sửa', '8. Sửa') AS text FROM legal")
+add(
+    "txt_13_tables",
+    r"""SELECT page_id, 'before ' || chr(10) || '| ' || x[1] || ' | ' || CASE WHEN x[1] = x[2] THEN x[1] ELSE x[1] || ' - ' || x[2] END
+      || ' | 0\| - 1\| |  |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+      || array_to_string(list_filter(list_transform(x, lambda v, i: CASE WHEN i > 2 THEN '| ' || v || ' | ' || (i - 1) || '\| |  |  |' || chr(10) END),
+        lambda v: v IS NOT NULL), '') || ' after' AS text
+    FROM (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS x FROM pages)""",
+)
+_line_rule = lambda src, rule: f"""SELECT doc_id, array_to_string(list_transform(string_split({src}, chr(10)), lambda z: {rule}), chr(10)) AS text"""
+_head = r"'(?i)^\s*((?:phụ\s*lục|phu\s*luc)\s+(?:[ivxlcdm]+|\d+))\s+(.+)$'"
+_rest = f"trim(regexp_extract(trim(z), {_head}, 2))"
+_tail = r"'(?s)^(.*?)(\s+\d+\.\s+.+)$'"
+add(
+    "txt_15_appendix_titles",
+    _line_rule(
+        r"regexp_replace(text, '(?m)^Điều (\d+)\. ', 'Phụ lục \1 ', 'g')",
+        f"""CASE WHEN NOT regexp_matches(trim(z), {_head}) THEN z WHEN regexp_matches({_rest}, {_tail})
+        THEN concat_ws(chr(10), regexp_extract(trim(z), {_head}, 1), nullif(trim(regexp_extract({_rest}, {_tail}, 1)), ''),
+          trim(regexp_extract({_rest}, {_tail}, 2)))
+        ELSE regexp_extract(trim(z), {_head}, 1) || chr(10) || {_rest} END""",
+    )
+    + " FROM legal",
+)
+_trail = r"'(?i)^(.{20,}?)\s+(\d+\.\s+[A-ZÀ-Ỵa-zà-ỵ][^\n]{1,80})$'"
+add(
+    "txt_16_trailing_headings",
+    _line_rule(
+        r"regexp_replace(text, '(?m)^theo Phụ lục 2 và (.*)\n(.{5,40}).*$', 'Bảng quy đổi theo \1 1. \2', 'g')",
+        f"""CASE WHEN regexp_matches({fold(f'regexp_extract(trim(z), {_trail}, 1)')}, '{T.TRAILING_PHRASES}')
+        THEN trim(regexp_extract(trim(z), {_trail}, 1)) || chr(10) || trim(regexp_extract(trim(z), {_trail}, 2)) ELSE z END""",
+    )
+    + " FROM legal",
+)
+add(
+    "txt_17_inline_headings",
+    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\n(Điều \d+\.)', ' \1', 'g'),
+    '([^\s])[ ]+((?:điều|dieu|Điều|ĐIỀU)\s+\d+[a-zA-Z]?\s*[.:]\s*)', '\1' || chr(10) || '\2', 'g') AS text FROM legal""",
+)
+add(
+    "str_28_chunk_metadata",
+    """SELECT c.chunk_id, c.chunk_kind, 'Document ' || c.doc_id AS doc_title, c.chunk_title, c.chunk_path AS section_path,
+    v.version_no AS version_number, v.previous_version_id, c.chapter_title AS chapter, c.article_title,
+    CASE WHEN c.chunk_kind = 'amendment' THEN coalesce(nullif(c.target_article_number, ''), c.article_number) ELSE c.article_number END AS article_number,
+    c.appendix_number, c.chunk_kind = 'amendment' AS is_amendment, CASE WHEN c.chunk_kind = 'amendment' THEN c.article_number END AS source_article_number,
+    c.action AS change_type, c.order_number AS amendment_order_number, c.heading_number, 'active' AS status
+    FROM chunk_rows c JOIN versions v USING (version_id)""",
+)
+add("ret_1_embeddings", f"SELECT doc_id, 64 AS dim, CASE WHEN {keyword_text('text')} = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents")
+add(
+    "ret_29_prompts",
+    f"""SELECT a.session_id, concat_ws(chr(10) || chr(10), 'Ngày hiện tại: 07/05/2024' || chr(10) || 'Giờ hiện tại: 03:30:00' || chr(10)
+      || 'Múi giờ: Asia/Ho_Chi_Minh' || chr(10) || 'Tháng hiện tại: 5' || chr(10) || 'Năm hiện tại: 2024',
+      '[CHAT_HISTORY]' || chr(10) || nullif(history, '') || chr(10) || '[/CHAT_HISTORY]',
+      '[CONTEXT]' || chr(10) || 'ctx' || chr(10) || '[/CONTEXT]', '[QUESTION]' || chr(10) || question || chr(10) || '[/QUESTION]') AS prompt
+    FROM asked a LEFT JOIN pasts USING (session_id)""",
+)
+add("udf_2_pair_scorer", "SELECT doc_id, least(length(lang), length(text))::DOUBLE AS score FROM documents")
+add("udf_3_generator", "SELECT doc_id, left(text, 40) AS answer FROM documents")
