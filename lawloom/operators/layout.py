@@ -189,30 +189,69 @@ def _grams(c: Column) -> Column:
     )
 
 
-def _container_marks(c: Column) -> Column:
+def _gram_marks(c: Column) -> Column:
     """The least gram of every window of 11 grams: a text that holds a given 20-character run shares its mark."""
-    return F.array_distinct(
-        let(
-            _grams(c),
-            lambda g: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(g) - (_SPAN_GRAMS - 1), F.lit(1))),
-                lambda i: F.array_min(F.slice(g, i, F.lit(_SPAN_GRAMS))),
-            ),
-        )
+    return let(
+        _grams(c),
+        lambda g: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(g) - (_SPAN_GRAMS - 1), F.lit(1))),
+            lambda i: F.array_min(F.slice(g, i, F.lit(_SPAN_GRAMS))),
+        ),
     )
 
 
+def _container_marks(c: Column) -> Column:
+    """Marks of every text that may occur inside ``c``: word pairs, words with the letters next to them, and grams
+    of long word pairs (for contents of one or two words)."""
+    none = F.array().cast("array<bigint>")
+
+    def marks(t: Column) -> Column:
+        at = lambda i: F.get(t, i)
+        first = F.sequence(F.lit(0), F.size(t) - 2)
+        pairs = F.transform(first, lambda i: F.xxhash64(F.lit("p"), at(i), at(i + 1)))
+        inner = F.transform(
+            F.sequence(F.lit(1), F.size(t) - 2),
+            lambda i: F.xxhash64(F.lit("w"), F.right(at(i - 1), F.lit(1)), at(i), F.left(at(i + 1), F.lit(1))),
+        )
+        spans = F.when(
+            F.size(t) > 1, F.transform(first, lambda i: F.concat(at(i), F.lit(" "), at(i + 1)))
+        ).otherwise(F.array(c))
+        long = F.filter(spans, lambda x: F.length(x) >= MIN_CONTAINED)
+        return F.array_distinct(
+            F.concat(
+                F.when(F.size(t) > 1, pairs).otherwise(none),
+                F.when(F.size(t) > 2, inner).otherwise(none),
+                F.flatten(F.transform(long, _gram_marks)),
+            )
+        )
+
+    return let(F.split(c, " "), marks)
+
+
 def _content_mark(c: Column) -> Column:
-    return F.array_min(F.slice(_grams(F.left(c, F.lit(MIN_CONTAINED))), 1, _SPAN_GRAMS))
+    """One mark that every container of ``c`` has. Its first and last word may be parts of longer words there."""
+    grams = F.array_min(F.slice(_grams(F.left(c, F.lit(MIN_CONTAINED))), 1, _SPAN_GRAMS))
+    return let(
+        F.split(c, " "),
+        lambda t: F.when(F.size(t) > 3, F.xxhash64(F.lit("p"), t[1], t[2]))
+        .when(F.size(t) == 3, F.xxhash64(F.lit("w"), F.right(t[0], F.lit(1)), t[1], F.left(t[2], F.lit(1))))
+        .otherwise(grams),
+    )
 
 
 def _contained(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(doc_id, small, large) pairs of distinct texts where ``small`` occurs in ``large``, by an equi join on marks."""
-    marks = large.filter(F.length("large") >= MIN_CONTAINED).select(
-        ID, F.col("large"), F.explode(_container_marks(F.col("large"))).alias("mark")
-    )
-    keyed = small.filter(F.length("small") >= MIN_CONTAINED).withColumn("mark", _content_mark(F.col("small")))
-    return keyed.join(marks, [ID, "mark"]).filter(F.contains("large", F.col("small"))).select(ID, "small", "large")
+    """(doc_id, small, large) pairs of distinct texts where ``small`` occurs in ``large``.
+
+    An equi join on marks finds the candidates. Only hashes pass through it; the texts join back to the
+    candidates, and the exact test runs on them.
+    """
+    small = small.filter(F.length("small") >= MIN_CONTAINED).withColumn("s", F.xxhash64("small"))
+    large = large.filter(F.length("large") >= MIN_CONTAINED).withColumn("l", F.xxhash64("large"))
+    marks = large.select(ID, "l", F.explode(_container_marks(F.col("large"))).alias("mark"))
+    keyed = small.select(ID, "s", _content_mark(F.col("small")).alias("mark"))
+    pairs = keyed.join(marks, [ID, "mark"]).select(ID, "s", "l").distinct()
+    found = pairs.join(large, [ID, "l"]).join(small, [ID, "s"]).filter(F.contains("large", F.col("small")))
+    return found.select(ID, "small", "large")
 
 
 def match_texts(line_texts: DataFrame, entry_texts: DataFrame) -> DataFrame:

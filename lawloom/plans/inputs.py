@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from lawloom.operators import versions as V
 
 
+TEXT_TABLES = ("documents", "pages", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. One of few row groups is spread over the cores; a large one keeps its own splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 # Line rules shared with the SQL twins: {i} is the line number from 0, {div} integer division.

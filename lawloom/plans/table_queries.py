@@ -246,6 +246,7 @@ def ver_5_known_content(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"), F.sha2(clean(F.col("text")), 256).alias("checksum")
     )
+    d = session.materialize(d, "checksums")
     known = V.known_by_checksum(d, d)
     return known.filter("document_id <> existing_document_id").select("document_id", "existing_document_id")
 
