@@ -200,43 +200,41 @@ def _gram_marks(c: Column) -> Column:
     )
 
 
+def _word_mark(t: Column, i: Column) -> Column:
+    """A whole word with the letters that touch it on both sides."""
+    return F.xxhash64(F.right(F.get(t, i - 1), F.lit(1)), F.get(t, i), F.left(F.get(t, i + 1), F.lit(1)))
+
+
 def _container_marks(c: Column) -> Column:
-    """Marks of every text that may occur inside ``c``: word pairs, words with the letters next to them, and grams
-    of long word pairs (for contents of one or two words)."""
-    none = F.array().cast("array<bigint>")
+    """Marks of every text that may occur inside ``c``: its inner words, and grams of long word pairs (for contents
+    of one or two words)."""
 
     def marks(t: Column) -> Column:
-        at = lambda i: F.get(t, i)
-        first = F.sequence(F.lit(0), F.size(t) - 2)
-        pairs = F.transform(first, lambda i: F.xxhash64(F.lit("p"), at(i), at(i + 1)))
-        inner = F.transform(
-            F.sequence(F.lit(1), F.size(t) - 2),
-            lambda i: F.xxhash64(F.lit("w"), F.right(at(i - 1), F.lit(1)), at(i), F.left(at(i + 1), F.lit(1))),
-        )
+        inner = F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: _word_mark(t, i))
         spans = F.when(
-            F.size(t) > 1, F.transform(first, lambda i: F.concat(at(i), F.lit(" "), at(i + 1)))
+            F.size(t) > 1,
+            F.zip_with(
+                F.slice(t, F.lit(1), F.size(t) - 1),
+                F.slice(t, F.lit(2), F.size(t) - 1),
+                lambda a, b: F.when(F.length(a) + F.length(b) + 1 >= MIN_CONTAINED, F.concat(a, F.lit(" "), b)),
+            ),
         ).otherwise(F.array(c))
-        long = F.filter(spans, lambda x: F.length(x) >= MIN_CONTAINED)
-        return F.array_distinct(
-            F.concat(
-                F.when(F.size(t) > 1, pairs).otherwise(none),
-                F.when(F.size(t) > 2, inner).otherwise(none),
-                F.flatten(F.transform(long, _gram_marks)),
-            )
-        )
+        words = F.when(F.size(t) > 2, inner).otherwise(F.array().cast("array<bigint>"))
+        return F.array_distinct(F.concat(words, F.flatten(F.transform(F.array_compact(spans), _gram_marks))))
 
     return let(F.split(c, " "), marks)
 
 
 def _content_mark(c: Column) -> Column:
-    """One mark that every container of ``c`` has. Its first and last word may be parts of longer words there."""
+    """One mark that every container of ``c`` has: its longest inner word. The first and last word do not count,
+    they may be parts of longer words in the container."""
     grams = F.array_min(F.slice(_grams(F.left(c, F.lit(MIN_CONTAINED))), 1, _SPAN_GRAMS))
-    return let(
-        F.split(c, " "),
-        lambda t: F.when(F.size(t) > 3, F.xxhash64(F.lit("p"), t[1], t[2]))
-        .when(F.size(t) == 3, F.xxhash64(F.lit("w"), F.right(t[0], F.lit(1)), t[1], F.left(t[2], F.lit(1))))
-        .otherwise(grams),
-    )
+
+    def longest(t: Column) -> Column:
+        sizes = F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.struct(F.length(F.get(t, i)), -i))
+        return let(F.array_max(sizes), lambda m: _word_mark(t, -m["col2"]))
+
+    return let(F.split(c, " "), lambda t: F.when(F.size(t) > 2, longest(t)).otherwise(grams))
 
 
 def _contained(small: DataFrame, large: DataFrame) -> DataFrame:
