@@ -59,8 +59,10 @@ def vector_topk(
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
-    ranked = top_per_key(found, QUERY, [F.col("score").desc(), F.col("id")], F.col("k"))
-    return ranked.drop("k")
+    # a literal bound first, so that Spark limits rows per query before the shuffle
+    largest = queries.agg(F.max("k")).first()[0] or 0
+    ranked = top_per_key(found, QUERY, [F.col("score").desc(), F.col("id")], largest)
+    return ranked.filter(F.col("rank") <= F.col("k")).drop("k")
 
 
 def _topk_pass(points: DataFrame, block: DataFrame, filter_columns: tuple[str, ...]) -> DataFrame:
