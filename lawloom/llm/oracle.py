@@ -97,4 +97,15 @@ SELECT p.page_id, p.host, p.path, fit.rule, found.pattern_rule,
 FROM p LEFT JOIN fit USING (page_id) JOIN found USING (page_id)
 """
 
-ORACLE = {"op5_decontaminate": OP5, "op7_line_rules": OP7, "op10_url_rules": OP10}
+OP1 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+k AS (SELECT digest, max(page_id) AS kept FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN k.kept <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.kept <> d.page_id THEN k.kept END AS refers_to
+FROM d LEFT JOIN k ON d.digest = k.digest AND d.n >= 1000
+"""
+
+ORACLE = {"op1_warc": OP1, "op5_decontaminate": OP5, "op7_line_rules": OP7, "op10_url_rules": OP10}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm import decontaminate, line_rules, url_rules
+from lawloom.llm import chosen_path, decontaminate, html_mincut, language_zstd, line_rules, passage_mil, raking, token_files, url_rules, warc
 from lawloom.llm.columns import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,33 @@ def query(fn):
     return fn
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.warc_table(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=2)
+
+
+@query
+def op3_passage_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = passage_mil.fit_quality(docs, labels, ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return passage_mil.score_documents(rows, model, carry=["doc_id", "held_out"])
+
+
+@query
+def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_mincut.extract(pages, html_mincut.fit_classifier(pages), carry=["page_id", "url"])
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -27,12 +55,35 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    drawn = raking.sample_to_targets(docs, carry=["doc_id", "source", "lang"])
+    return drawn.select("row.*", "topic", "n_tokens", "probability", "sampled")
+
+
 @query
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judge_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return judged.drop("text", "source")
 
 
+@query
+def op8_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_zstd.fit_languages(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return language_zstd.identify(rows, model, carry=["doc_id", "held_out"])
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    read = token_files.token_table(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
