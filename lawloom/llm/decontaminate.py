@@ -169,18 +169,21 @@ def cut_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", **option
     found = find_hits(docs, benchmark, docs.columns, text, **options)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, r) for t, r in zip(texts, ranges, strict=True)])
+    def cut(texts: pd.Series, edges: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, e.tolist()) for t, e in zip(texts, edges, strict=True)])
 
-    clean = F.when(F.size("ranges") == 0, F.col("row")[text]).otherwise(cut(F.col("row")[text], F.col("ranges")))
+    edges = F.flatten(F.transform("ranges", lambda r: F.array(r["start"], r["end"])))
+    hit = F.when(F.size("ranges") > 0, F.col("row")[text])
+    clean = F.when(F.size("ranges") == 0, F.col("row")[text]).otherwise(cut(F.coalesce(hit, F.lit("")), edges))
     return found.select(*[(clean if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def _cut(text: str, ranges) -> str:
+def _cut(text: str, edges: list[int]) -> str:
+    """The text without the words [start, end) of each pair of edges."""
     raw = text.encode("utf-8", "surrogatepass")
     spans = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_FOLD))]
     out, at = [], 0
-    for r in ranges:
-        out.append(raw[at : spans[r["start"]][0]])
-        at = spans[r["end"] - 1][1]
+    for start, end in zip(edges[::2], edges[1::2], strict=True) if spans else ():
+        out.append(raw[at : spans[start][0]])
+        at = spans[end - 1][1]
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")

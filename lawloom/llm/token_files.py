@@ -89,7 +89,7 @@ class _Shard:
         self.sinks = []
         for name in self.names:
             fs, path = file_system(temporary(name))
-            self.sinks.append(fs.open_output_stream(path))
+            self.sinks.append(fs.open_output_stream(path, compression=None))
         self.files = [ipc.new_file(s, sc) for s, sc in zip(self.sinks, (self.schema, INDEX), strict=True)]
         self.held, self.held_bytes, self.n, self.docs, self.index = [], 0, 0, 0, []
 

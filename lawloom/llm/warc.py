@@ -81,7 +81,7 @@ class _Archive:
         if self.sink is None:
             self.name = f"pages-{self.shard:06d}-{self.number:05d}.warc.gz"
             fs, path = file_system(self.temporary(self.name))
-            self.sink, self.records, self.bytes, self.sha = fs.open_output_stream(path), 0, 0, hashlib.sha1()
+            self.sink, self.records, self.bytes, self.sha = fs.open_output_stream(path, compression=None), 0, 0, hashlib.sha1()
             info = f"software: lawloom\r\nformat: WARC File Format 1.1\r\nshard: {self.shard}\r\n".encode()
             head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_record_id(None, self.name)[:-1]}>\r\nWARC-Date: {self.date}\r\n"
             head += f"WARC-Filename: {self.name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
@@ -143,7 +143,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
 def _members(path: str) -> Iterator[bytes]:
     """Decompressed gzip members of a file, which is read in pieces."""
     fs, inner = file_system(path)
-    with fs.open_input_stream(inner) as source:
+    with fs.open_input_stream(inner, compression=None) as source:
         z, parts, data = zlib.decompressobj(31), [], source.read(1 << 20)
         while data:
             parts.append(z.decompress(data))
