@@ -53,7 +53,7 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 
 def pair_score(query: Column, text: Column, load: Callable | None = None) -> Column:
-    """Score of (query, text) pairs. A model that fails to load scores NULL, and ranking falls back to vectors."""
+    """Score of (query, text) pairs. A model that fails, when it loads or when it scores, gives NULL for its batch."""
     if load is None:
         return lexical_overlap(query, text)
 
@@ -63,10 +63,11 @@ def pair_score(query: Column, text: Column, load: Callable | None = None) -> Col
         except Exception:
             model = None
         for queries, texts in batches:
-            if model is None:
-                yield pd.Series([None] * len(queries), dtype="float64")
-            else:
-                yield pd.Series(model(list(zip(queries, texts))), dtype="float64")
+            try:
+                scores = model(list(zip(queries, texts)))
+            except Exception:  # a missing model, or one that fails on a pair
+                scores = [None] * len(queries)
+            yield pd.Series(scores, dtype="float64")
 
     return F.pandas_udf(run, "double")(query, text)
 
@@ -74,7 +75,7 @@ def pair_score(query: Column, text: Column, load: Callable | None = None) -> Col
 def generate(df: DataFrame, prompt: str, load: Callable | None = None, fallback: str = "", name: str = "answer"):
     """Answers for a prompt column; a failing or empty generation gives the fallback text."""
     if load is None:
-        return df.withColumn(name, F.concat(F.lit("[answer] "), F.left(F.col(prompt), F.lit(200))))
+        return df.withColumn(name, F.concat(F.lit("[answer] "), F.col(prompt)))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()

@@ -57,25 +57,53 @@ def blank_to_null(c: Column) -> Column:
 # --- accent folding -------------------------------------------------------
 
 
-def _fold_table() -> tuple[str, str]:
-    source, target = [], []
-    for cp in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+_HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
+
+
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters whose decomposition without marks is one other character, that character, and the rest as a map.
+
+    Hangul syllables are left out: they decompose by arithmetic."""
+    source, target, longer = [], [], {}
+    for cp in range(0x00C0, 0x110000):
         ch = chr(cp)
-        if not ch.islower():
+        if unicodedata.decomposition(ch).startswith("<") or not unicodedata.decomposition(ch) or ch != ch.lower():
+            continue
+        if _HANGUL_FIRST <= cp <= _HANGUL_LAST:
             continue
         base = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
         if len(base) == 1 and base != ch:
             source.append(ch)
             target.append(base)
-    return "".join(source) + "đ", "".join(target) + "d"
+        elif base != ch and base:
+            longer[ch] = base
+    return "".join(source) + "đ", "".join(target) + "d", longer
+
 
+_FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_tables()
+_LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
+_SYLLABLE = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}]"
+_DECOMPOSED = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}{''.join(_FOLD_LONGER)}]"
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+
+def _decomposed(ch: Column) -> Column:
+    """One character as the several that it decomposes into."""
+    s = F.ascii(ch) - _HANGUL_FIRST
+    pick = lambda letters, at: F.substring(F.lit(letters), at.cast("int") + 1, F.lit(1))
+    tail = F.when(s % 28 != 0, pick(_TAILS, s % 28 - 1)).otherwise("")
+    syllable = F.concat(pick(_LEADS, F.floor(s / 588)), pick(_VOWELS, F.floor(s % 588 / 28)), tail)
+    other = F.create_map(*[F.lit(x) for kv in _FOLD_LONGER.items() for x in kv])
+    return F.when(ch.rlike(_SYLLABLE), syllable).otherwise(F.coalesce(F.try_element_at(other, ch), ch))
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents; d-stroke becomes d."""
-    return F.regexp_replace(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), r"\p{Mn}+", "")
+    """Lower case, canonically decomposed, without marks, over all of Unicode; d-stroke becomes d."""
+
+    def rest(x: Column) -> Column:
+        spread = F.array_join(F.transform(F.split(x, ""), _decomposed), "")
+        return F.regexp_replace(F.when(x.rlike(_DECOMPOSED), spread).otherwise(x), r"\p{Mn}+", "")
+
+    return let(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), rest)
 
 
 def collapse(c: Column) -> Column:
@@ -263,12 +291,12 @@ def unescape(c: Column) -> Column:
     """Named and numeric character references to characters."""
 
     def character(ref: Column) -> Column:
-        digits = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.lit(9)), 16, 10)).otherwise(
-            F.substring(ref, F.lit(2), F.lit(9))
-        )
-        numeric = let(
-            digits.try_cast("bigint"), lambda n: F.when(n.between(1, 0x10FFFF), _from_code_point(n))
-        )
+        hexadecimal = ref.rlike("^#[xX]")
+        digits = F.regexp_extract(ref, r"\A#[xX]?0*([0-9a-fA-F]*)\z", 1)
+        short = F.length(digits) <= 7
+        number = F.when(hexadecimal & short, F.conv(digits, 16, 10)).when(short, digits).try_cast("bigint")
+        valid = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        numeric = let(number, lambda n: F.when(valid(n), _from_code_point(n)).otherwise(F.lit("\ufffd")))
         return F.when(F.startswith(ref, F.lit("#")), numeric).otherwise(F.try_element_at(_entity_map(), ref))
 
     def replaced(x: Column, ref: Column) -> Column:
@@ -279,7 +307,7 @@ def unescape(c: Column) -> Column:
         )
 
     def piece(x: Column, i: Column) -> Column:
-        ref = F.regexp_extract(x, r"\A(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        ref = F.regexp_extract(x, r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
         return F.when(i == 0, x).otherwise(let(ref, lambda r: replaced(x, r)))
 
     decoded = F.array_join(F.transform(F.split(c, "&"), piece), "")
@@ -351,6 +379,8 @@ def split_trailing_headings(c: Column) -> Column:
 
 # Folded words that turn an article mention into a reference.
 REFERENCE_WORDS = ("theo", "tai", "xem", "can cu")
+# Fixed value: characters before a mention that are searched for such a word.
+LOOK_BEHIND = 80
 
 
 def _any_accent(phrase: str) -> str:
@@ -358,7 +388,8 @@ def _any_accent(phrase: str) -> str:
     variants = dict.fromkeys(_FOLD_TO, "")
     for ch, base in zip(_FOLD_FROM, _FOLD_TO):
         variants[base] += ch
-    return "".join(r"\s{1,4}" if ch == " " else f"[{ch}{variants.get(ch, '')}]\\p{{Mn}}{{0,2}}" for ch in phrase)
+    gap = rf"\s{{1,{LOOK_BEHIND}}}"  # a look-behind needs a bound: the characters that are looked at
+    return "".join(gap if ch == " " else f"[{ch}{variants.get(ch, '')}]\\p{{Mn}}{{0,8}}" for ch in phrase)
 
 
 _REFERENCE = "|".join(_any_accent(w) for w in REFERENCE_WORDS)

@@ -18,7 +18,7 @@ _PAGE = (
     f"page_height:double,para_blocks:{_BLOCKS},preproc_blocks:{_BLOCKS}>"
 )
 LAYOUT = f"struct<pdf_info:array<{_PAGE}>>"
-CHILD_LEVELS = 3
+FIRST_LEVELS = 2  # levels of child blocks that are tried first
 
 OCR_LINE = "result struct<layoutParsingResults:array<struct<markdown:struct<text:string>>>>"
 
@@ -43,7 +43,7 @@ def _page_size(page: Column) -> Column:
     )
 
 
-def _with_children(block: Column, levels: int = CHILD_LEVELS) -> Column:
+def _with_children(block: Column, levels: int) -> Column:
     """The block and its descendants, depth first."""
     own = F.array(F.struct(block["bbox"].alias("bbox"), block["lines"].alias("lines")))
     if levels == 0:
@@ -52,7 +52,7 @@ def _with_children(block: Column, levels: int = CHILD_LEVELS) -> Column:
     return F.concat(own, F.flatten(F.transform(kids, lambda b: _with_children(b, levels - 1))))
 
 
-def _too_deep(block: Column, levels: int = CHILD_LEVELS) -> Column:
+def _too_deep(block: Column, levels: int) -> Column:
     kids = F.coalesce(F.from_json(block["blocks"], _BLOCKS), F.array().cast(_BLOCKS))
     if levels == 0:
         return F.size(kids)
@@ -67,6 +67,14 @@ def _pages(layouts: DataFrame, column: str) -> DataFrame:
     return parsed.withColumn("blocks", blocks)
 
 
+def nesting(layouts: DataFrame, column: str = "layout") -> int:
+    """Levels of child blocks that hold all blocks of all layouts: twice as many, until no block lies deeper."""
+    levels, pages = FIRST_LEVELS, _pages(layouts, column)
+    while not pages.filter(F.exists("blocks", lambda b: _too_deep(b, levels) > 0)).isEmpty():  # noqa: B023
+        levels *= 2
+    return levels
+
+
 _ENTRY = "array<struct<text:string,bbox:array<double>>>"
 
 
@@ -103,9 +111,12 @@ def _block_entries(block: Column) -> Column:
     )
 
 
-def layout_entries(layouts: DataFrame, column: str = "layout") -> DataFrame:
-    """(doc_id, entry_no, text, folded, bbox, page_idx, page_size) at span, line and block level, in reading order."""
-    entries = F.flatten(F.transform("blocks", lambda b: F.flatten(F.transform(_with_children(b), _block_entries))))
+def layout_entries(layouts: DataFrame, column: str = "layout", levels: int | None = None) -> DataFrame:
+    """(doc_id, entry_no, text, folded, bbox, page_idx, page_size) at span, line and block level, in reading order.
+
+    Child blocks are read to any depth; ``levels`` saves the measurement where the depth is known."""
+    depth = nesting(layouts, column) if levels is None else levels
+    entries = F.flatten(F.transform("blocks", lambda b: F.flatten(F.transform(_with_children(b, depth), _block_entries))))
     rows = _pages(layouts, column).select(ID, "page_no", "page", F.posexplode(entries).alias("n", "e"))
     return (
         rows.withColumn("folded", layout_match_text(F.col("e.text")))
@@ -122,14 +133,9 @@ def layout_entries(layouts: DataFrame, column: str = "layout") -> DataFrame:
     )
 
 
-def unread_blocks(layouts: DataFrame, column: str = "layout") -> DataFrame:
-    """Blocks nested deeper than the unrolled levels, per document; reported, never dropped silently."""
-    deep = F.aggregate("blocks", F.lit(0), lambda n, b: n + _too_deep(b))
-    return _pages(layouts, column).groupBy(ID).agg(F.coalesce(F.sum(deep), F.lit(0)).alias("unread_blocks"))
-
-
-def layout_pages(layouts: DataFrame, column: str = "layout") -> DataFrame:
+def layout_pages(layouts: DataFrame, column: str = "layout", levels: int | None = None) -> DataFrame:
     """(doc_id, page_no from 1, text): spans one per line, blocks separated by a blank line."""
+    depth = nesting(layouts, column) if levels is None else levels
     contents = lambda line: F.transform(
         F.coalesce(line["spans"], F.array().cast(f"array<{_SPAN}>")), lambda s: strip(s["content"])
     )
@@ -137,7 +143,7 @@ def layout_pages(layouts: DataFrame, column: str = "layout") -> DataFrame:
     def block_text(block: Column) -> Column:
         parts = F.flatten(
             F.transform(
-                _with_children(block),
+                _with_children(block, depth),
                 lambda b: F.flatten(F.transform(F.coalesce(b["lines"], F.array().cast(f"array<{_LINE}>")), contents)),
             )
         )

@@ -1,11 +1,11 @@
 """Ordered per-key computations that stay balanced when one key holds a large share of the rows.
 
-A window partitioned by a key puts the whole key into one task. That is fine
-while groups are small, so the largest group is measured first. Beyond the
-limit the order column is cut at approximate quantiles into buckets, the window
-runs per (key, bucket), and a per-bucket summary (at most ``BUCKETS`` rows per
-key) carries the running state from bucket to bucket. Both ways give the same
-rows.
+A window partitioned by a key puts the whole key into one task. Keys with more than ``max_rows`` rows are therefore cut
+at quantiles of their own order column into buckets, the window runs per (key, bucket), and a per-bucket summary (at
+most ``BUCKETS`` rows per key) carries the running state from bucket to bucket. One plan serves all keys: those without
+cuts are one bucket, and where no key is large the summaries are empty, which adaptive execution sees before it joins.
+Rows with a null order come first, in the first bucket, as the window sorts them. Rows that share ``order[0]`` stay in
+one bucket.
 """
 
 from __future__ import annotations
@@ -15,24 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_GROUP_ROWS = 2_000_000
-BUCKETS = 64
+BUCKETS = 1000
 _BUCKET = "__bucket"
 
 
-def _splits(df: DataFrame, keys: list[str], order: list[str], max_rows: int) -> list:
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_rows:
-        return []
-    points = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = df.agg(F.percentile_approx(order[0], points, 10_000).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Equal keys, nulls included."""
+    out = F.lit(True)
+    for n in names:
+        out = out & left[n].eqNullSafe(right[f"__{n}"])
+    return out
+
 
+def _join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """A left join on equal names, nulls included."""
+    for n in names:
+        right = right.withColumnRenamed(n, f"__{n}")
+    return left.join(right, _same(left, right, names), "left").drop(*[f"__{n}" for n in names])
 
-def _bucketed(df: DataFrame, order: str, cuts: list) -> DataFrame:
-    bucket = F.lit(len(cuts))
-    for i in reversed(range(len(cuts))):
-        bucket = F.when(F.col(order) <= F.lit(cuts[i]), F.lit(i)).otherwise(bucket)
-    return df.withColumn(_BUCKET, bucket)
+
+def _bucketed(df: DataFrame, keys: list[str], order: str, max_rows: int) -> DataFrame:
+    """The rows with their bucket: how many of the cuts of their key lie below them."""
+    points = [i / BUCKETS for i in range(1, BUCKETS)]
+    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > max_rows).drop("__n")
+    rows = _join(df.select(*keys, order), hot.withColumn("__hot", F.lit(True)), keys).filter("__hot")
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, points, 10_000)).alias("__cuts"))
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    return _join(df, cuts, keys).withColumn(_BUCKET, F.when(F.col("__cuts").isNotNull(), below).otherwise(0)).withColumn(
+        "__split", F.col("__cuts").isNotNull()
+    ).drop("__cuts")
 
 
 def _order_struct(order: list[str]) -> Column:
@@ -43,25 +54,18 @@ def numbered(
     df: DataFrame, keys: list[str], order: list[str], name: str, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """row_number() per key. ``order[0]`` must be numeric or temporal; the whole order must be unique."""
-    cuts = _splits(df, keys, order, max_rows)
-    if not cuts:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    parts = _bucketed(df, order[0], cuts)
+    parts = _bucketed(df, keys, order[0], max_rows)
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parts.groupBy(*keys, _BUCKET)
+        parts.filter("__split").groupBy(*keys, _BUCKET)
         .agg(F.count("*").alias("__n"))
         .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
     local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    return (
-        parts.withColumn("__rn", F.row_number().over(local))
-        .join(offsets, [*keys, _BUCKET])
-        .withColumn(name, (F.col("__rn") + F.col("__offset")).cast("bigint"))
-        .drop("__rn", "__offset", _BUCKET)
-    )
+    numbers = _join(parts.withColumn("__rn", F.row_number().over(local)), offsets, [*keys, _BUCKET])
+    total = (F.col("__rn") + F.coalesce("__offset", F.lit(0))).cast("bigint")
+    return numbers.withColumn(name, total).drop("__rn", "__offset", "__split", _BUCKET)
 
 
 def running_last(
@@ -73,15 +77,11 @@ def running_last(
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row: an as-of join of a table with itself."""
-    cuts = _splits(df, keys, order, max_rows)
-    if not cuts:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    parts = _bucketed(df.withColumn("__value", value), order[0], cuts)
+    parts = _bucketed(df.withColumn("__value", value), keys, order[0], max_rows)
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     latest = F.max_by("__value", F.when(F.col("__value").isNotNull(), _order_struct(order)))
     carried = (
-        parts.groupBy(*keys, _BUCKET)
+        parts.filter("__split").groupBy(*keys, _BUCKET)
         .agg(latest.alias("__latest"))
         .withColumn("__carry", F.last("__latest", ignorenulls=True).over(before))
         .drop("__latest")
@@ -89,12 +89,8 @@ def running_last(
     local = (
         Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        parts.withColumn("__local", F.last("__value", ignorenulls=True).over(local))
-        .join(carried, [*keys, _BUCKET])
-        .withColumn(name, F.coalesce("__local", "__carry"))
-        .drop("__local", "__carry", "__value", _BUCKET)
-    )
+    seen = _join(parts.withColumn("__local", F.last("__value", ignorenulls=True).over(local)), carried, [*keys, _BUCKET])
+    return seen.withColumn(name, F.coalesce("__local", "__carry")).drop("__local", "__carry", "__value", "__split", _BUCKET)
 
 
 def previous(
@@ -106,25 +102,18 @@ def previous(
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``value`` of the row before each row of its key (lag 1)."""
-    cuts = _splits(df, keys, order, max_rows)
-    if not cuts:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.lag(value).over(w))
-    parts = _bucketed(df.withColumn("__value", F.struct(value.alias("v"))), order[0], cuts)
+    parts = _bucketed(df.withColumn("__value", F.struct(value.alias("v"))), keys, order[0], max_rows)
     by_bucket = Window.partitionBy(*keys).orderBy(_BUCKET)
     carried = (
-        parts.groupBy(*keys, _BUCKET)
+        parts.filter("__split").groupBy(*keys, _BUCKET)
         .agg(F.max_by("__value", _order_struct(order)).alias("__last"))
         .withColumn("__carry", F.lag("__last").over(by_bucket))
         .drop("__last")
     )
     local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    return (
-        parts.withColumn("__local", F.lag("__value").over(local))
-        .join(carried, [*keys, _BUCKET])
-        .withColumn(name, F.coalesce("__local", "__carry")["v"])
-        .drop("__local", "__carry", "__value", _BUCKET)
-    )
+    seen = _join(parts.withColumn("__local", F.lag("__value").over(local)), carried, [*keys, _BUCKET])
+    before = F.coalesce("__local", "__carry")["v"]
+    return seen.withColumn(name, before).drop("__local", "__carry", "__value", "__split", _BUCKET)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: Column | int, name: str = "rank") -> DataFrame:

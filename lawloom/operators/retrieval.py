@@ -14,9 +14,12 @@ from lawloom.functions import legal as L
 from lawloom.functions.hooks import pair_score
 from lawloom.functions.text import collapse, fold_collapsed, strip
 from lawloom.operators.ordered import top_per_key
+from lawloom.session import materialize
 
-# A block of queries is sent to every task; its size is counted first and kept under this many bytes.
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+# Queries go to the tasks in blocks of this many bytes; a task scores slices of vectors that stay below SCORE_BYTES.
+QUERY_BLOCK_BYTES = 8 * 1024 * 1024
+SCORE_BYTES = 32 * 1024 * 1024
+FILTER_SETS = 64  # combinations of filters that share a block, and so a scan with their filters pushed down
 MAX_CANDIDATES = 30
 CANDIDATE_CHARS = 8000
 RELATED_LIMIT = 5
@@ -27,15 +30,23 @@ QUERY = ["query_id", "query_index"]
 # --- vector search -----------------------------------------------------------------
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The queries cut into blocks of bounded size, by a hash of their key."""
-    facts = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    per_query = 8 * (facts["dim"] or 1) + 256
-    blocks = max(1, -(-facts["n"] * per_query // block_bytes))
-    if blocks == 1:
-        return [queries]
-    bucket = F.pmod(F.xxhash64(*QUERY), F.lit(2 * blocks))
-    return [queries.filter(bucket == b) for b in range(2 * blocks)]
+def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[list]:
+    """Blocks of bounded size, read one after the other; queries without filters never share a block with others."""
+    choice = F.array_join(F.array_sort(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&")
+    ordered = queries.select(*QUERY, "vector", "k", "filters").orderBy(F.coalesce(choice, F.lit("")), *QUERY)
+    block, size, sets = [], 0, set()
+    for row in ordered.toLocalIterator():
+        bytes_of_row = 8 * len(row["vector"] or ()) + 256
+        rule = tuple(sorted((row["filters"] or {}).items()))
+        full = size + bytes_of_row > block_bytes or (() in sets and rule) or len(sets | {rule}) > FILTER_SETS
+        if block and full:
+            yield block
+            block, size, sets = [], 0, set()
+        block.append(row)
+        size += bytes_of_row
+        sets.add(rule)
+    if block:
+        yield block
 
 
 def vector_topk(
@@ -49,38 +60,42 @@ def vector_topk(
     ``points``: id, embedding, and the filter columns; ``queries``: query_id, query_index, vector, k,
     filters (map of column to required value, may be NULL or empty).
 
-    Each task multiplies its batches of vectors with one block of queries and keeps the best k per
-    query, so no (query, point) pairs are ever written out. One pass over the points per query block.
+    Each task multiplies slices of its vectors with one block of queries and keeps the best k per
+    query, so no (query, point) pairs are ever written out. One pass over the points per query block; the
+    driver holds one block, and the results of a pass are written before the next block is read.
     Scores are rounded to 6 decimals, ties go to the smaller id.
     """
-    passes = [
-        _topk_pass(points, block, filter_columns) for block in _query_blocks(queries, block_bytes)
-    ]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
+    blocks = _query_blocks(queries, block_bytes)
+    block, found = next(blocks, []), None
+    while True:
+        after = next(blocks, None)
+        part = _topk_pass(points, queries, block, filter_columns)
+        part = part if after is None and found is None else materialize(part, "hits")
+        found = part if found is None else found.unionByName(part)
+        if after is None:
+            break
+        block = after
     # a literal bound first, so that Spark limits rows per query before the shuffle
     largest = queries.agg(F.max("k")).first()[0] or 0
     ranked = top_per_key(found, QUERY, [F.col("score").desc(), F.col("id")], largest)
     return ranked.filter(F.col("rank") <= F.col("k")).drop("k")
 
 
-def _topk_pass(points: DataFrame, block: DataFrame, filter_columns: tuple[str, ...]) -> DataFrame:
-    rows = block.select(*QUERY, "vector", "k", "filters").collect()  # bounded by the block size
-    wanted = [dict(r["filters"] or {}) for r in rows]
-    unknown = {c for w in wanted for c in w} - set(filter_columns)
+def _topk_pass(points: DataFrame, queries: DataFrame, rows: list, filter_columns: tuple[str, ...]) -> DataFrame:
+    wanted = [tuple(sorted((r["filters"] or {}).items())) for r in rows]
+    unknown = {c for rule in wanted for c, _ in rule} - set(filter_columns)
     if unknown:
         raise ValueError(f"no such filter columns: {sorted(unknown)}")
     corpus = points.select(
         "id", F.col("embedding"), *[F.col(c).cast("string").alias(c) for c in filter_columns]
-    )
-    choices = {tuple(sorted(w.items())) for w in wanted}
-    if wanted and () not in choices and len(choices) <= 64:
+    ).filter("embedding IS NOT NULL")
+    choices = set(wanted)
+    if choices and () not in choices:
         corpus = corpus.filter(_any_choice(choices))
     id_type = points.schema["id"].dataType.simpleString()
     schema = (
-        f"query_id {block.schema['query_id'].dataType.simpleString()},"
-        f"query_index {block.schema['query_index'].dataType.simpleString()},k int,id {id_type},score double"
+        f"query_id {queries.schema['query_id'].dataType.simpleString()},"
+        f"query_index {queries.schema['query_index'].dataType.simpleString()},k int,id {id_type},score double"
     )
     search = _searcher(
         [(r["query_id"], r["query_index"]) for r in rows], [r["vector"] for r in rows], [r["k"] for r in rows], wanted
@@ -98,46 +113,66 @@ def _any_choice(choices: set[tuple]) -> Column:
     return out
 
 
-def _searcher(keys: list, vectors: list, ks: list, wanted: list[dict]) -> Callable:
-    """Per-task search: best k ids and scores per query over all batches of the task."""
+class _Best:
+    """The best k points of each query of one filter set: flat arrays, ordered by query, score and id."""
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.matrix, self.k = matrix, k
+        self.floor = np.full(len(matrix), -np.inf)
+        self.query, self.ids, self.score = np.empty(0, np.int64), None, np.empty(0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, SCORE_BYTES // (8 * len(self.matrix)))
+        for i in range(0, len(ids), step):
+            scores = np.round(self.matrix @ vectors[i : i + step].T, 6)
+            least = self.floor
+            if scores.shape[1] > self.k:
+                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            query, at = np.nonzero(scores >= least[:, None])
+            near = ids[i : i + step][at]
+            query, score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[query, at]])
+            near = near if self.ids is None else np.concatenate([self.ids, near])
+            order = np.lexsort((near, -score, query))
+            query, near, score = query[order], near[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            last = place == self.k - 1
+            self.floor[query[last]] = score[last]
+            kept = place < self.k
+            self.query, self.ids, self.score = query[kept], near[kept], score[kept]
+
+
+def _searcher(keys: list, vectors: list, ks: list, wanted: list[tuple]) -> Callable:
+    """Per-task search: best k ids and scores per query over all batches of the task, one filter set at a time."""
     matrix = np.asarray(vectors, dtype=np.float64) if vectors else np.zeros((0, 1))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms == 0, 1.0, norms)
-
-    def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(ids) > k:
-            floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-            near = scores >= floor
-            ids, scores = ids[near], scores[near]
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+    members: dict[tuple, list[int]] = {}
+    for q, rule in enumerate(wanted):
+        members.setdefault(rule, []).append(q)
+    asked = pd.DataFrame({"query_id": [k[0] for k in keys], "query_index": [k[1] for k in keys], "k": ks})
+    largest = max([1, *(k or 0 for k in ks)])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, tuple] = {}
+        best = {rule: _Best(matrix[at], largest) for rule, at in members.items()}
         for batch in batches:
             if not len(batch) or not len(keys):
                 continue
             ids = batch["id"].to_numpy()
+            ids = ids.astype(str) if ids.dtype == object else ids
             block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
             lengths = np.linalg.norm(block, axis=1)
-            scores = np.round(matrix @ (block / np.where(lengths == 0, 1.0, lengths)[:, None]).T, 6)
-            masks: dict[tuple, np.ndarray] = {}
-            for q, k in enumerate(ks):
-                rule = tuple(sorted(wanted[q].items()))
-                if rule not in masks:
-                    mask = np.ones(len(ids), dtype=bool)
-                    for column, value in rule:
-                        mask &= (batch[column] == value).to_numpy(dtype=bool)
-                    masks[rule] = mask
-                found, score = ids[masks[rule]], scores[q][masks[rule]]
-                if q in kept:
-                    found, score = np.concatenate([kept[q][0], found]), np.concatenate([kept[q][1], score])
-                kept[q] = best(found, score, k)
-        for q, (found, score) in kept.items():
-            if len(found):
-                yield pd.DataFrame(
-                    {"query_id": keys[q][0], "query_index": keys[q][1], "k": ks[q], "id": found, "score": score + 0.0}
-                )
+            block = block / np.where(lengths == 0, 1.0, lengths)[:, None]
+            for rule, kept in best.items():
+                mask = np.ones(len(ids), dtype=bool)
+                for column, value in rule:
+                    mask &= (batch[column] == value).to_numpy(dtype=bool)
+                if mask.any():
+                    kept.add(ids[mask], block[mask])
+        for rule, kept in best.items():
+            if kept.ids is not None and len(kept.ids):
+                out = asked.iloc[np.asarray(members[rule])[kept.query]].reset_index(drop=True)
+                ids = kept.ids.astype(object) if kept.ids.dtype.kind == "U" else kept.ids
+                yield out.assign(id=ids, score=kept.score + 0.0)
 
     return search
 
@@ -208,42 +243,45 @@ def limit_candidates(hits: DataFrame, limit: int = MAX_CANDIDATES, key: str = "k
     return top_per_key(hits, ["query_id"], order, max(limit, 1), "candidate_rank")
 
 
-def candidate_text(*parts: Column) -> Column:
-    """Non-empty parts, one per line, first 8000 characters."""
+def candidate_text(*parts: Column, max_chars: int = CANDIDATE_CHARS) -> Column:
+    """Non-empty parts, one per line, first ``max_chars`` characters."""
     shown = [F.when(p != "", strip(p)) for p in parts]
-    return F.left(F.concat_ws("\n", *shown), F.lit(CANDIDATE_CHARS))
+    return F.left(F.concat_ws("\n", *shown), F.lit(max_chars))
 
 
 def rerank(
     hits: DataFrame,
     query: Column,
     text: Column,
-    top_k: int,
+    top_k: int | Column,
     load: Callable | None = None,
     enabled: bool = True,
     fallback_keep: str = "first",
     model_name: str = "lexical_overlap",
     key: str = "key",
+    all_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Deduplicate, limit, score pairs, order by (pair score, vector score), keep top_k per query.
 
-    Disabled, or with a scorer that is not available, hits keep their vector order.
+    Disabled, or with a scorer that is not available, hits keep their vector order. A query with a pair that could not
+    be scored falls back as a whole, from all its hits (``all_hits`` where ``hits`` are candidates only).
     """
-    if not enabled:
-        unique = deduplicate(hits, key, fallback_keep)
-        scored = unique.withColumn("rerank_score", safe_float(F.col("score"))).withColumn(
-            "rerank_model", F.lit(FALLBACK_MODEL)
-        )
-    else:
-        unique = limit_candidates(deduplicate(hits, key, "best"), key=key).drop("candidate_rank")
-        pair = unique.withColumn("pair_score", pair_score(query, text, load))
-        failed = F.col("pair_score").isNull()
-        scored = (
-            pair.withColumn("rerank_score", F.coalesce("pair_score", safe_float(F.col("score"))))
-            .withColumn("rerank_model", F.when(failed, FALLBACK_MODEL).otherwise(F.lit(model_name)))
-            .drop("pair_score")
-        )
     order = [F.col("rerank_score").desc(), safe_float(F.col("score")).desc(), F.col("query_index"), F.col("rank"), F.col(key)]
+
+    def by_vector(found: DataFrame) -> DataFrame:
+        unique = deduplicate(found, key, fallback_keep)
+        return unique.withColumn("rerank_score", safe_float(F.col("score"))).withColumn("rerank_model", F.lit(FALLBACK_MODEL))
+
+    if not enabled:
+        return top_per_key(by_vector(hits), ["query_id"], order, top_k, "final_rank")
+    unique = limit_candidates(deduplicate(hits, key, "best"), key=key).drop("candidate_rank")
+    scored = unique.withColumn("rerank_score", pair_score(query, text, load)).withColumn("rerank_model", F.lit(model_name))
+    if load is not None:
+        # Written once: the scores are costly, and both the ranking and the list of failed queries read them.
+        scored = materialize(scored, "scores")
+        failed = scored.groupBy("query_id").agg(F.bool_or(F.col("rerank_score").isNull()).alias("f")).filter("f").drop("f")
+        fallen = by_vector((hits if all_hits is None else all_hits).join(failed, "query_id", "left_semi"))
+        scored = scored.join(failed, "query_id", "left_anti").unionByName(fallen, allowMissingColumns=True)
     return top_per_key(scored, ["query_id"], order, top_k, "final_rank")
 
 
@@ -301,12 +339,16 @@ def version_relations(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def appendix_numbers_in_path(path: Column) -> Column:
-    """Every reference that the six ILIKE spellings would find in a path: all prefixes of each number after the word."""
-    found = F.regexp_extract_all(path, F.lit(r"(?iu)(?=((?:phụ lục|phu luc) ([0-9a-z]{1,10})))"), F.lit(2))
+def appendix_numbers_in_path(path: Column, longest: Column) -> Column:
+    """Every reference that the six ILIKE spellings would find in a path: the prefixes of each number after the word, up
+    to the length of the longest number that is looked for."""
+    found = F.regexp_extract_all(path, F.lit(r"(?iu)(?=((?:phụ lục|phu luc) ([0-9a-z]+)))"), F.lit(2))
     prefixes = F.flatten(
         F.transform(
-            found, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.upper(F.left(x, n)))
+            found,
+            lambda x: F.transform(
+                F.sequence(F.lit(1), F.least(F.length(x), longest)), lambda n: F.upper(F.left(x, n))
+            ),
         )
     )
     return F.array_distinct(prefixes)
@@ -339,8 +381,9 @@ def appendix_relations(hits: DataFrame, chunks: DataFrame, limit: int = RELATED_
         spelled = missing.select(
             "document_id", "ref", F.explode(F.array_compact(F.array("ref", L.roman_to_digit(F.col("ref"))))).alias("n")
         )
-        paths = appendix.select(
-            "document_id", "chunk_id", F.explode(appendix_numbers_in_path(F.col("section_path"))).alias("n")
+        longest = spelled.groupBy("document_id").agg(F.max(F.length("n")).alias("longest")).filter("longest > 0")
+        paths = appendix.join(longest, "document_id").select(
+            "document_id", "chunk_id", F.explode(appendix_numbers_in_path(F.col("section_path"), F.col("longest"))).alias("n")
         )
         by_path = spelled.join(paths, ["document_id", "n"]).select("document_id", "ref", "chunk_id").distinct()
         found = by_number.unionByName(top_per_key(by_path, ["document_id", "ref"], [F.col("chunk_id")], limit, "rn"))
@@ -350,8 +393,10 @@ def appendix_relations(hits: DataFrame, chunks: DataFrame, limit: int = RELATED_
     )
 
 
-def append_related(hits: DataFrame, relations: DataFrame) -> DataFrame:
-    """Related chunks that are not hits yet, once per query: the earliest source and relation wins."""
+def append_related(hits: DataFrame, relations: DataFrame, with_position: bool = False) -> DataFrame:
+    """Related chunks that are not hits yet, once per query: the earliest source and relation wins.
+
+    ``with_position`` adds related_order, their place (from 1) among those of the query."""
     order = F.struct(
         "source_rank",
         F.array_position(F.array(*[F.lit(r) for r in RELATIONS]), F.col("relation")).alias("kind"),
@@ -359,11 +404,14 @@ def append_related(hits: DataFrame, relations: DataFrame) -> DataFrame:
         "source_chunk_id",
     )
     unseen = relations.join(hits.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
-    return (
-        unseen.groupBy("query_id", "chunk_id")
-        .agg(F.min_by(F.struct("relation", "source_chunk_id", "source_rank"), order).alias("r"))
-        .select("query_id", "chunk_id", "r.*", F.lit("supporting").alias("source_role"))
+    first = unseen.withColumn("place", order).groupBy("query_id", "chunk_id").agg(
+        F.min_by(F.struct("relation", "source_chunk_id", "source_rank"), "place").alias("r"), F.min("place").alias("place")
     )
+    out = first.select("query_id", "chunk_id", "r.*", F.lit("supporting").alias("source_role"), "place")
+    if with_position:
+        w = Window.partitionBy("query_id").orderBy("place", "chunk_id")
+        out = out.withColumn("related_order", F.row_number().over(w).cast("bigint"))
+    return out.drop("place")
 
 
 def related_title(previous_title: Column, amendment_title: Column, doc_title: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lawloom.functions.text import clean
 from lawloom.operators import ordered
@@ -245,4 +246,12 @@ def ingest_context(versions: DataFrame, documents: DataFrame) -> tuple[DataFrame
 
 
 def chunks_of_version(chunks: DataFrame, version_id) -> DataFrame:
+    """The chunks of one version, in order; the filter reaches the scan."""
     return chunks.filter(F.col("version_id") == version_id).orderBy("chunk_index")
+
+
+def chunks_of_versions(chunks: DataFrame, versions: DataFrame) -> DataFrame:
+    """The chunks of each of the versions (version_id) with their place, from 1, in it."""
+    w = Window.partitionBy("version_id").orderBy("chunk_index")
+    found = chunks.join(versions.select("version_id").distinct(), "version_id", "left_semi")
+    return found.withColumn("place", F.row_number().over(w).cast("bigint"))

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions.hooks import embed, generate
+from lawloom.functions.legal import canonical_appendix
 from lawloom.operators import retrieval as R
 from lawloom.operators import routing as Q
+from lawloom.session import materialize
+
+
+FILTERS = ("article_number", "chunk_kind", "appendix_key", "is_amendment")
 
 
 def retrieve_and_rank(
     points: DataFrame,
     query_vectors: DataFrame,
-    top_k: int,
+    top_k: int | Column,
     filter_columns: tuple[str, ...] = (),
     questions: DataFrame | None = None,
     load_scorer: Callable | None = None,
@@ -23,16 +28,44 @@ def retrieve_and_rank(
 ) -> DataFrame:
     """Final hits per question. Without question texts the vector order stands.
 
-    Only ids and scores pass through ranking; stored fields join back for the ranked rows.
+    Only ids and scores pass through ranking; stored fields join back for the ranked rows. ``questions``: query_id,
+    question (the text that is scored) and the columns that a column ``top_k`` names.
     """
     hits = R.vector_topk(points, query_vectors, filter_columns).withColumn("key", F.col("id"))
     if questions is None:
         return R.rerank(hits, F.lit(""), F.lit(""), top_k, enabled=False, fallback_keep=fallback_keep)
     text = R.candidate_text(F.col("title"), F.col("section_path"), F.col("text"))
+    hits = hits.join(questions, "query_id")
     paired = R.limit_candidates(R.deduplicate(hits), key="key").drop("candidate_rank", "matched_query_count")
     paired = paired.join(points.select("id", "title", "section_path", "text"), "id")
-    paired = paired.join(questions.select("query_id", "question"), "query_id")
-    return R.rerank(paired, F.col("question"), text, top_k, load=load_scorer)
+    ranked = R.rerank(
+        paired, F.col("question"), text, top_k, load=load_scorer, fallback_keep=fallback_keep, all_hits=hits
+    )
+    return ranked.drop("title", "section_path", "text", "question")
+
+
+def canonical_filters(filters: Column) -> Column:
+    """Route filters with the appendix number as its roman numeral, which the points hold as `appendix_key`."""
+    numbered = F.map_contains_key(filters, F.lit("appendix_number"))
+    key = canonical_appendix(F.element_at(filters, F.lit("appendix_number")))
+    rest = F.map_filter(filters, lambda k, _: k != "appendix_number")
+    return F.when(numbered, F.map_concat(rest, F.create_map(F.lit("appendix_key"), key))).otherwise(filters)
+
+
+def relate(ranked: DataFrame, points: DataFrame, related: DataFrame) -> DataFrame:
+    """The ranked hits, and after them the chunks related to those of the queries in ``related`` (query_id).
+
+    Adds source_role, relation and position: hits keep their order, related chunks follow in the order of their source.
+    """
+    stored = points.select("id", "chunk_id", "document_id", "chunk_kind", "appendix_number", "section_path", "previous_chunk_id",
+                           (F.col("is_amendment") == "true").alias("is_amendment"), F.col("text").alias("reference_text"))
+    hits = ranked.select("query_id", "id", "final_rank").join(related, "query_id", "left_semi").join(stored, "id")
+    relations = R.version_relations(hits, stored).unionByName(R.appendix_relations(hits, stored))
+    added = R.append_related(hits, relations, with_position=True).join(points.select("id", "chunk_id"), "chunk_id")
+    own = ranked.select("query_id", "id", "final_rank", F.lit(0).cast("bigint").alias("related_order"),
+                        F.lit("primary").alias("source_role"), F.lit(None).cast("string").alias("relation"))
+    more = added.select("query_id", "id", F.col("source_rank").alias("final_rank"), "related_order", "source_role", "relation")
+    return own.unionByName(more)
 
 
 def cite(
@@ -44,7 +77,10 @@ def cite(
     )
     have = [c for c in payload.columns if c != "id"]
     hits = ranked.drop(*have).join(payload, "id")
-    cited = R.citations(hits, documents, latest, [F.col("final_rank")])
+    order = [F.col("final_rank")]
+    if "related_order" in ranked.columns:  # related chunks come after all hits
+        order = [F.col("related_order") > 0, F.col("final_rank"), F.col("related_order")]
+    cited = R.citations(hits, documents, latest, order)
     return cited, R.contexts(cited)
 
 
@@ -59,34 +95,49 @@ def answer_questions(
     load_scorer: Callable | None = None,
     load_generator: Callable | None = None,
     now: str = "2024-01-01 00:00:00",
+    model_answer: str | None = None,
+    expansion_answer: str | None = None,
+    route_on: str = "history",
+    answers: bool = True,
 ) -> DataFrame:
-    """query_id, strategy, sources, answer for a batch of questions (query_id, question, history, expansions).
+    """query_id, question, strategy, sources, source_ids, context, prompt and answer for a batch of questions.
 
-    Low-context questions never reach the search. ``points`` carry embeddings of the same embedder.
+    ``questions``: query_id, question, history; ``model_answer`` and ``expansion_answer`` name columns with a model's
+    answers to the route and the expansion prompt. The question with the tail of its history is routed (the bare question
+    with ``route_on="question"``), searched and scored; the prompt holds the bare question. Low-context questions never
+    reach the search. ``points`` carry embeddings of the same embedder, and previous_chunk_id where versions are linked.
     """
-    routed = Q.route_questions(questions, "question", top_k)
+    if "previous_chunk_id" not in points.columns:
+        points = points.withColumn("previous_chunk_id", F.lit(None).cast("string"))
+    asked = questions.withColumn("retrieval_text", Q.retrieval_query(F.col("question"), F.col("history")))
+    routed = Q.route_questions(asked, "question" if route_on == "question" else "retrieval_text", top_k, model_answer)
     searched = routed.filter(F.col("route.strategy") != Q.LOW)
-    expansions = F.when(F.col("route.use_expansion"), F.col("expansions"))
-    exploded = R.explode_queries(searched, expansions)
-    asked = embed(exploded, "retrieval_query", load_embedder, "vector", dim)
-    vectors = asked.select(
+    expansions = F.array().cast("array<string>")
+    if expansion_answer is not None:
+        listed = Q.expansion_list(F.col("retrieval_text"), F.col(expansion_answer))
+        expansions = F.when(F.col("route.use_expansion"), listed).otherwise(expansions)
+    kept = searched.select("query_id", F.col("retrieval_text").alias("question"), "route", expansions.alias("expansions"))
+    exploded = R.explode_queries(kept, F.col("expansions"))
+    vectors = embed(exploded, "retrieval_query", load_embedder, "vector", dim).select(
         "query_id", "query_index", F.col("vector").cast("array<double>").alias("vector"),
-        F.col("route.candidate_top_k").alias("k"), F.col("route.filters").alias("filters"),
+        F.col("route.candidate_top_k").alias("k"), canonical_filters(F.col("route.filters")).alias("filters"),
     )
-    columns = ("article_number", "chunk_kind", "appendix_number", "is_amendment")
-    ranked = retrieve_and_rank(points, vectors, 10, columns, searched, load_scorer)
-    limit = searched.select("query_id", F.col("route.top_k").alias("top_k"))
-    ranked = ranked.join(limit, "query_id").filter("final_rank <= top_k").drop("top_k")
-    _, context = cite(ranked, points, documents, latest)
-    grounded = routed.join(context, "query_id", "left")
-    prompt = F.when(
-        F.col("route.strategy") == Q.LOW,
-        Q.low_context_prompt(F.col("question"), F.col("history"), F.lit(now).cast("timestamp")),
-    ).otherwise(
-        Q.answer_prompt(F.col("question"), F.col("context"), F.col("history"), F.lit(now).cast("timestamp"))
+    texts = kept.select("query_id", "question", F.col("route.top_k").alias("top_k"))
+    ranked = retrieve_and_rank(points, vectors, F.col("top_k"), FILTERS, texts, load_scorer)
+    ranked = materialize(relate(ranked, points, kept.filter("route.use_related").select("query_id")), "ranked")
+    cited, context = cite(ranked, points, documents, latest)
+    ids = cited.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("citation_id", "id", "source_role"))), lambda x: F.concat_ws(":", x["id"], x["source_role"])).alias("source_ids")
+    )
+    grounded = routed.join(context, "query_id", "left").join(ids, "query_id", "left")
+    at = F.lit(now).cast("timestamp")
+    low = Q.low_context_prompt(F.col("question"), F.col("history"), at)
+    prompt = F.when(F.col("route.strategy") == Q.LOW, low).otherwise(
+        Q.answer_prompt(F.col("question"), F.col("context"), F.col("history"), at)
     )
-    answered = generate(grounded.withColumn("prompt", prompt), "prompt", load_generator)
+    grounded = grounded.withColumn("prompt", prompt)
+    answered = generate(grounded, "prompt", load_generator) if answers else grounded.withColumn("answer", F.lit(None).cast("string"))
     return answered.select(
-        "query_id", "question", F.col("route.strategy").alias("strategy"),
-        F.coalesce("sources", F.lit(0)).alias("sources"), "prompt", "answer",
+        "query_id", "question", F.col("route.strategy").alias("strategy"), F.coalesce("sources", F.lit(0)).alias("sources"),
+        "source_ids", "context", "prompt", "answer",
     )

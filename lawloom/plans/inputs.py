@@ -11,15 +11,15 @@ from lawloom.operators import versions as V
 
 
 TEXT_TABLES = ("documents", "pages", "conversations", "embeddings")
+SPREAD = "spark.lawloom.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. One of few row groups is spread over the cores; a large one keeps its own splits."""
+    """A driver table with the splits of its files. Where files are too few to split (one row group each), the session
+    may ask for a number of partitions by the setting above, as local sessions do."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    spread = spark.conf.get(SPREAD, None)
+    return df.repartition(int(spread)) if spread and name in TEXT_TABLES else df
 
 
 # Line rules shared with the SQL twins: {i} is the line number from 0, {div} integer division.

@@ -144,13 +144,13 @@ def ana_16_violations(spark, sf_dir):
 # --- evaluation ------------------------------------------------------------------------
 
 
-def evaluation_set(spark, sf_dir):
+def evaluation_set(spark, sf_dir, found):
     """One question per label; the expected chunk is the hit at place label % 7 + 1 of its plain query."""
-    raw = hits(spark, sf_dir).filter("query_index = 0")
+    raw = found.filter("query_index = 0")
     chosen = raw.filter("rank = query_id % 7 + 1").select("query_id", F.col("id").alias("expected_id"))
-    counted = hits(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    counted = found.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
     docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("expected_id"), "source", "lang", "text")
-    words = F.concat_ws(";", "source", "lang", F.left("text", F.lit(30)), F.lit("no such term"))
+    words = F.concat_ws(";", "source", "lang", F.regexp_replace("text", "[.]", ";"), F.lit("no such term"))
     label = F.col("query_id")
     return (
         counted.join(chosen, "query_id", "left").join(docs, "expected_id", "left")
@@ -164,8 +164,8 @@ def evaluation_set(spark, sf_dir):
     )
 
 
-def evaluation_results(spark, sf_dir):
-    final = R.rerank(hits(spark, sf_dir), F.lit(""), F.lit(""), 5, enabled=False, fallback_keep="best")
+def evaluation_results(spark, sf_dir, found):
+    final = R.rerank(found, F.lit(""), F.lit(""), 5, enabled=False, fallback_keep="best")
     p = I.points(spark, sf_dir).select("id", "text", "source", "lang", "article_number")
     return final.join(p, "id").select(
         F.concat(F.lit("t"), F.col("query_id").cast("string")).alias("test_id"), F.col("final_rank").alias("rank"),
@@ -176,7 +176,8 @@ def evaluation_results(spark, sf_dir):
 
 
 def evaluated(spark, sf_dir):
-    return E.evaluate(evaluation_set(spark, sf_dir), evaluation_results(spark, sf_dir), context_top_k=3)
+    found = session.materialize(hits(spark, sf_dir), "hits")  # one search for the questions and the results
+    return E.evaluate(evaluation_set(spark, sf_dir, found), evaluation_results(spark, sf_dir, found), context_top_k=3)
 
 
 @query
@@ -193,7 +194,7 @@ def eva_2_expected_ranks(spark, sf_dir):
 
 @query
 def eva_3_context(spark, sf_dir):
-    r = evaluation_results(spark, sf_dir).filter("rank <= 3").withColumn("part", E.context_part())
+    r = evaluation_results(spark, sf_dir, hits(spark, sf_dir)).filter("rank <= 3").withColumn("part", E.context_part())
     text = F.expr("listagg(part, ' ') WITHIN GROUP (ORDER BY rank)")
     from lawloom.functions.text import keyword_text
 
@@ -231,4 +232,10 @@ def snk_9_evaluation_files(spark, sf_dir):
     )
     path = session.scratch_path(spark, "evaluation")
     sinks.write_evaluation(rows, E.summarize(rows), path)
-    return spark.read.option("header", True).option("escape", '"').csv(f"{path}/results")
+    read = spark.read.option("header", True).option("escape", '"').csv(f"{path}/results")
+    total = spark.read.json(f"{path}/summary").select(F.col("total").alias("questions"))
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return read.join(F.broadcast(total)).select(  # the summary is one row
+        "test_id", "expected_chunk_id", *[number(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "reciprocal_rank", "context_recall")],
+        "retrieved_chunk_ids", F.col("retrieved_count").cast("bigint").alias("retrieved_count"), "questions",
+    )

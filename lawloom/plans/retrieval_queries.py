@@ -11,7 +11,6 @@ from lawloom.functions import text as T
 from lawloom.operators import retrieval as R
 from lawloom.operators import routing as Q
 from lawloom.operators import versions as V
-from lawloom.operators.ordered import top_per_key
 from lawloom.plans import answer as A
 from lawloom.plans import ingest as N
 from lawloom.plans import inputs as I
@@ -21,8 +20,8 @@ from lawloom.plans.text_queries import chunk_table
 FILTERS = ("chunk_kind", "is_amendment", "article_number")
 
 
-def unfiltered(spark, sf_dir):
-    return I.query_vectors(spark, sf_dir).withColumn("filters", F.lit(None).cast("map<string,string>"))
+def unfiltered(spark, sf_dir, k=8):
+    return I.query_vectors(spark, sf_dir, k).withColumn("filters", F.lit(None).cast("map<string,string>"))
 
 
 def hits(spark, sf_dir):
@@ -91,7 +90,8 @@ def ret_9_result_keys(spark, sf_dir):
 
 @query
 def ret_10_candidates(spark, sf_dir):
-    out = R.limit_candidates(R.deduplicate(hits(spark, sf_dir)), limit=10)
+    found = R.vector_topk(I.points(spark, sf_dir), unfiltered(spark, sf_dir, 20)).withColumn("key", F.col("id"))
+    out = R.limit_candidates(R.deduplicate(found))
     return out.select("query_id", "id", "candidate_rank")
 
 
@@ -149,12 +149,9 @@ def linked_chunks(spark, sf_dir):
     return session.materialize(V.annotate_previous(stored, I.versions(spark, sf_dir)), "linked")
 
 
-def chunk_hits(spark, sf_dir, linked):
-    """Per article number, the first chunks of the corpus by id, as if found."""
-    return top_per_key(
-        linked.filter("article_number IS NOT NULL").withColumn("query_id", F.col("article_number")),
-        ["query_id"], [F.col("chunk_id")], 5, "final_rank",
-    )
+def chunk_hits(linked):
+    """Every chunk of the corpus as the one hit of a query."""
+    return linked.withColumn("query_id", F.col("chunk_id")).withColumn("final_rank", F.lit(1).cast("bigint"))
 
 
 @query
@@ -162,7 +159,7 @@ def ret_16_version_relations(spark, sf_dir):
     linked = linked_chunks(spark, sf_dir).select(
         "chunk_id", "article_number", "is_amendment", "previous_chunk_id"
     )
-    out = R.version_relations(chunk_hits(spark, sf_dir, linked), linked)
+    out = R.version_relations(chunk_hits(linked), linked)
     return out.select("query_id", "source_chunk_id", "chunk_id", "relation")
 
 
@@ -201,7 +198,7 @@ def ret_19_numerals(spark, sf_dir):
 @query
 def ret_20_appended(spark, sf_dir):
     linked = linked_chunks(spark, sf_dir).select("chunk_id", "article_number", "is_amendment", "previous_chunk_id")
-    found = chunk_hits(spark, sf_dir, linked)
+    found = chunk_hits(linked)
     return R.append_related(found, R.version_relations(found, linked)).select("query_id", "chunk_id", "relation", "source_role")
 
 
@@ -319,9 +316,7 @@ def ret_31_answers(spark, sf_dir):
     points = session.materialize(N.to_points(N.ingest_chunks(docs)), "points").withColumns(
         {"file_path": F.lit(None).cast("string"), "mime_type": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}
     ).withColumn("document_id", F.col("document_id").cast("string"))
-    asked = Q.last_questions(I.messages(spark, sf_dir)).select(
-        F.col("session_id").alias("query_id"), "question", "history", F.lit(None).cast("array<string>").alias("expansions")
-    )
+    asked = Q.last_questions(I.messages(spark, sf_dir)).select(F.col("session_id").alias("query_id"), "question", "history")
     latest = V.latest_versions(I.versions(spark, sf_dir))
     out = A.answer_questions(asked, points, I.document_table(spark, sf_dir), latest)
     return out.select("query_id", "strategy", "sources", F.length("answer").alias("answer_chars"))

@@ -21,16 +21,22 @@ from lawloom.sources import files, sinks
 def src_1_text_files(spark, sf_dir):
     """Benchmark passages written as one text file each and read back whole."""
     path = session.scratch_path(spark, "texts")
-    b = I.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"))
-    b.repartition("item_id").write.partitionBy("item_id").text(path)
+    b = I.table(spark, sf_dir, "benchmark")
+    files.write_text_files(b.select(F.concat(F.col("item_id").cast("string"), F.lit(".txt")).alias("name"), "text"), path)
     found = files.read_text_documents(spark, path)
-    item = F.regexp_extract("source_path", r"item_id=(\d+)/", 1).cast("bigint")
+    item = F.col("doc_id").cast("bigint")
     return found.select(item.alias("item_id"), "source_type", "raw_text", F.col("char_count").cast("bigint").alias("char_count"))
 
 
 @query
 def src_2_corpus_scan(spark, sf_dir):
-    return files.scan_corpus(spark, sf_dir).select("file_name", "suffix", "bytes", "supported")
+    """All documents as files of a corpus directory, every fourth with a suffix that is not read: facts and texts."""
+    path = session.scratch_path(spark, "corpus")
+    d = I.table(spark, sf_dir, "documents").filter("text <> ''")
+    suffix = F.expr("CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'RST' ELSE 'dat' END")
+    files.write_text_files(d.select(F.concat_ws(".", F.col("doc_id").cast("string"), suffix).alias("name"), "text"), path)
+    texts = files.read_corpus_texts(spark, path)
+    return files.scan_corpus(spark, path).join(texts, "source_path", "left").select("file_name", "suffix", "bytes", "supported", "raw_text")
 
 
 @query
@@ -102,8 +108,8 @@ def src_6_evaluation_set(spark, sf_dir):
 def src_7_version_chunks(spark, sf_dir):
     """Chunks of the newest version of every document, in order."""
     newest = V.latest_versions(I.versions(spark, sf_dir)).select("version_id")
-    c = chunk_table(spark, sf_dir).join(newest, "version_id", "left_semi")
-    return c.select("version_id", "chunk_index", "title")
+    c = V.chunks_of_versions(chunk_table(spark, sf_dir), newest)
+    return c.select("version_id", "place", "chunk_index", "title")
 
 
 @query
@@ -180,17 +186,24 @@ def snk_6_embedding_ids(spark, sf_dir):
 @query
 def snk_7_artifact_keys(spark, sf_dir):
     m = I.messages(spark, sf_dir)
-    key = sinks.artifact_key(F.col("session_id").cast("string"), F.col("role"), F.col("created_at"), F.col("message_id").cast("string"))
-    return m.select("message_id", key.alias("artifact_key"))
+    """Messages stored as artifacts and read back, with the keys that name them."""
+    path = session.scratch_path(spark, "artifacts")
+    session_id = F.col("session_id").cast("string")
+    sinks.write_artifacts(m.select("message_id", F.col("role").alias("kind"), session_id.alias("document_id"), F.col("created_at").alias("at"), "content"), path)
+    key = sinks.artifact_key(F.col("document_id"), F.col("kind"), F.col("at"), F.col("message_id").cast("string"))
+    return spark.read.parquet(path).select("message_id", key.alias("artifact_key"), F.length("content").cast("bigint").alias("chars"))
 
 
 @query
 def snk_8_chunk_artifacts(spark, sf_dir):
-    """Chunks written as text blocks, read back."""
-    c = chunk_table(spark, sf_dir)
+    """Chunks written as JSON rows and text blocks, and both read back."""
     path = session.scratch_path(spark, "artifacts")
-    c.select(F.concat(sinks.chunk_block(), F.lit("\n")).alias("value"), F.pmod(F.xxhash64("document_id"), F.lit(16)).alias("part")).write.partitionBy("part").text(path)
-    return spark.read.text(path).groupBy("part").agg(F.count("*").alias("lines"))
+    sinks.write_chunk_artifacts(chunk_table(spark, sf_dir), path)
+    rows = spark.read.json(f"{path}/json").groupBy(F.col("document_id").cast("string").alias("document_id"))
+    counted = rows.agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"), F.max("total_chunks").cast("bigint").alias("total_chunks"))
+    block = F.regexp_extract("value", "^document_id: (.*)$", 1)
+    blocks = spark.read.text(f"{path}/text").select(block.alias("document_id")).filter("document_id <> ''")
+    return counted.join(blocks.groupBy("document_id").agg(F.count("*").alias("blocks")), "document_id", "left")
 
 
 @query

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lawloom.functions.text import strip
 from lawloom.operators.layout import ocr_pages
@@ -34,6 +40,29 @@ def _local_path(path: Column) -> Column:
     return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def write_text_files(rows: DataFrame, path: str, folders: int = 64) -> None:
+    """Rows (name, text) as one UTF-8 file each, in folders by a hash of the name. A task that runs again writes the same
+    files again."""
+    placed = rows.select("name", "text", F.pmod(F.xxhash64("name"), F.lit(folders)).cast("int").alias("folder"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = _file_system(path)
+        for batch in batches:
+            for row in batch.itertuples():
+                fs.create_dir(f"{root}/{row.folder}", recursive=True)
+                with fs.open_output_stream(f"{root}/{row.folder}/{row.name}", compression=None) as out:
+                    out.write((row.text or "").encode())
+            yield batch[["name"]]
+
+    placed.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"[a-z0-9]+:/", path):
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return pafs.LocalFileSystem(), path
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as documents: UTF-8, else Latin-1. Spark plans no reads for files of zero bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -72,11 +101,15 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _any_case(suffix: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in suffix)
+
+
 def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
     """Texts of the corpus files that are read directly; bytes that are not UTF-8 are left out."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}").load(path)
+        .option("pathGlobFilter", "*.{" + ",".join(_any_case(x) for x in TEXT_SUFFIXES) + "}").load(path)
     )
     valid = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(_local_path(F.col("path")).alias("source_path"), valid.alias("raw_text"))
@@ -100,18 +133,23 @@ def read_layouts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluation_set(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Evaluation rows of a CSV with header (a byte order mark does no harm); missing ids become row_n.
+    """Evaluation rows of CSV files with header (a byte order mark does no harm); missing ids become row_n.
 
-    Row numbers follow the file order: a multi-line CSV is one split, so ids within it increase without a shuffle.
+    Rows are numbered by file name and place in the file. A multi-line CSV file is one split, so ids within it increase;
+    the offsets of the files are added up over one row per file.
     """
     rows = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
         .option("enforceSchema", True).schema(EVALUATION_SCHEMA).csv(path)
     )
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id"))
+    per_file = placed.groupBy("__file").agg(F.min("__id").alias("__first"), F.count("*").alias("__rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_file.select("__file", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    numbered = placed.join(offsets, "__file").withColumn("__n", F.col("__offset") + F.col("__id") - F.col("__first") + 1)
     if limit is not None:
-        rows = rows.limit(limit)
-    position = F.monotonically_increasing_id() + 1
-    named = rows.withColumn("__n", position)
+        numbered = numbered.filter(F.col("__n") <= limit)
     default = F.concat(F.lit("row_"), F.col("__n").cast("string"))
     texts = {c: F.coalesce(c, F.lit("")) for c in rows.columns if c != "test_id"}
-    return named.withColumn("test_id", F.coalesce(F.nullif("test_id", F.lit("")), default)).withColumns(texts).drop("__n")
+    named = numbered.withColumn("test_id", F.coalesce(F.nullif("test_id", F.lit("")), default)).withColumns(texts)
+    return named.select(*rows.columns)

@@ -130,12 +130,14 @@ def chunk_block() -> Column:
     )
 
 
-def write_chunk_artifacts(chunks: DataFrame, path: str) -> None:
-    """Chunks of each document as JSON rows and as text blocks, one directory per document."""
-    chunks.write.partitionBy("document_id").json(f"{path}/json")
-    text = chunks.select("document_id", "chunk_index", F.concat(chunk_block(), F.lit("\n")).alias("value"))
-    ordered = text.repartition("document_id").sortWithinPartitions("document_id", "chunk_index")
-    ordered.select("value", "document_id").write.partitionBy("document_id").text(f"{path}/text")
+def write_chunk_artifacts(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Chunks as JSON rows and as text blocks, in directories by a hash of the document; a document's blocks are in
+    order in one file, and every block and row names its document."""
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).alias("bucket")
+    rows = chunks.select("*", bucket).repartition("bucket").sortWithinPartitions("bucket", "document_id", "chunk_index")
+    rows.write.partitionBy("bucket").json(f"{path}/json")
+    text = rows.select(F.concat(chunk_block(), F.lit("\n")).alias("value"), "bucket")
+    text.write.partitionBy("bucket").text(f"{path}/text")
 
 
 EVALUATION_COLUMNS = (

@@ -188,6 +188,9 @@ CTES["scored"] = """SELECT q.query_id, q.query_index, p.id, p.chunk_kind, p.is_a
 CTES["hits"] = """SELECT query_id, query_index, id, score,
   row_number() OVER (PARTITION BY query_id, query_index ORDER BY score DESC, id) AS rank
   FROM scored QUALIFY rank <= 8"""
+CTES["hits_20"] = """SELECT query_id, query_index, id, score,
+  row_number() OVER (PARTITION BY query_id, query_index ORDER BY score DESC, id) AS rank
+  FROM scored QUALIFY rank <= 20"""
 CTES["filtered_hits"] = """SELECT query_id, query_index, id, score,
   row_number() OVER (PARTITION BY query_id, query_index ORDER BY score DESC, id) AS rank
   FROM scored WHERE rule = 0 OR (rule = 1 AND is_amendment = 'true') OR (rule = 2 AND chunk_kind = 'amendment')

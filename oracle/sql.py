@@ -288,6 +288,12 @@ add(
     "src_1_text_files",
     f"SELECT item_id, 'txt' AS source_type, {strip('text')} AS raw_text, length({strip('text')}) AS char_count FROM benchmark",
 )
+add(
+    "src_2_corpus_scan",
+    """SELECT doc_id || '.' || x AS file_name, lower(x) AS suffix, octet_length(encode(text)) AS bytes, x <> 'dat' AS supported,
+    CASE WHEN x <> 'dat' THEN text END AS raw_text
+    FROM (SELECT *, (['txt', 'md', 'RST', 'dat'])[doc_id % 4 + 1] AS x FROM documents WHERE text <> '')""",
+)
 add(
     "src_3_ocr_pages",
     f"""SELECT doc_id, {strip("string_agg(line, chr(10) || chr(10) ORDER BY line_no)")} AS raw_text, count(*) AS page_count,
@@ -319,7 +325,8 @@ add(
 )
 add(
     "src_7_version_chunks",
-    "SELECT version_id, chunk_index, chunk_title AS title FROM chunk_rows SEMI JOIN latest USING (version_id)",
+    """SELECT version_id, row_number() OVER (PARTITION BY version_id ORDER BY chunk_index) AS place, chunk_index, chunk_title AS title
+    FROM chunk_rows SEMI JOIN latest USING (version_id)""",
 )
 add(
     "src_8_ingest_context",
@@ -358,7 +365,7 @@ add(
 add(
     "snk_7_artifact_keys",
     """SELECT message_id, 'documents/text/' || strftime(to_timestamp(created_at) AT TIME ZONE 'UTC', '%Y/%m') || '/' || session_id || '/' || role || '/'
-    || message_id || '.txt' AS artifact_key FROM messages""",
+    || message_id || '.txt' AS artifact_key, length(content) AS chars FROM messages""",
 )
 add(
     "snk_10_cascade_delete",
@@ -495,8 +502,9 @@ add(
 )
 add(
     "ret_10_candidates",
-    """SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, query_index, rank, id)
-    AS candidate_rank FROM unique_best QUALIFY candidate_rank <= 10""",
+    """SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, query_index, rank, id) AS candidate_rank
+    FROM (SELECT * FROM hits_20 QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, query_index, rank) = 1)
+    QUALIFY candidate_rank <= 30""",
 )
 add(
     "ret_11_candidate_text",
@@ -532,8 +540,7 @@ add(
     SELECT * FROM query_forms WHERE x <> ''
     QUALIFY row_number() OVER (PARTITION BY conv_id, turn, {collapse(fold('x'))} ORDER BY i) = 1) GROUP BY conv_id, turn""",
 )
-CTES["article_hits"] = """SELECT article_number AS query_id, chunk_id, row_number() OVER (PARTITION BY article_number ORDER BY chunk_id)
-  AS final_rank FROM chunk_articles_raw WHERE article_number IS NOT NULL QUALIFY final_rank <= 5"""
+CTES["article_hits"] = "SELECT chunk_id AS query_id, chunk_id, 1 AS final_rank FROM chunk_articles_raw"
 CTES["chunk_articles_raw"] = """SELECT chunk_id, CASE WHEN chunk_kind = 'amendment'
   THEN coalesce(nullif(target_article_number, ''), article_number) ELSE article_number END AS article_number FROM chunk_texts"""
 CTES["article_hits"] = CTES.pop("article_hits")
@@ -805,7 +812,7 @@ add(
     GROUP BY conv_id, turn, k) WHERE k <> '' GROUP BY conv_id, turn""",
 )
 CTES["eval_set"] = """SELECT q.query_id, 't' || q.query_id AS test_id, q.n AS candidate_count, e.id AS expected,
-  CASE WHEN q.query_id % 5 = 4 THEN [] ELSE [d.source, d.lang, left(d.text, 30), 'no such term'] END AS words
+  CASE WHEN q.query_id % 5 = 4 THEN [] ELSE list_concat([d.source, d.lang], string_split(replace(d.text, '.', ';'), ';'), ['no such term']) END AS words
   FROM (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) q
   LEFT JOIN hits e ON e.query_id = q.query_id AND e.query_index = 0 AND e.rank = q.query_id % 7 + 1
   LEFT JOIN documents d ON d.doc_id = e.id"""
@@ -843,6 +850,19 @@ add(
     string_agg(printf('%.6f', h.score), '|' ORDER BY h.place) AS retrieved_scores
     FROM eval_hits h JOIN points p ON p.id = h.id GROUP BY h.query_id""",
 )
+add(
+    "snk_9_evaluation_files",
+    f"""SELECT e.test_id, coalesce(CAST(e.expected AS VARCHAR), '') AS expected_chunk_id, e.hit_at_1::DOUBLE AS hit_at_1, e.hit_at_3::DOUBLE AS hit_at_3,
+    e.hit_at_5::DOUBLE AS hit_at_5, round(e.reciprocal_rank, 6) AS reciprocal_rank, round(e.context_recall, 6) AS context_recall,
+    l.retrieved_chunk_ids, l.n AS retrieved_count, (SELECT count(*) FROM eval_rows) AS questions
+    FROM eval_rows e JOIN (SELECT query_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), '|' ORDER BY place) AS retrieved_chunk_ids
+      FROM eval_hits GROUP BY query_id) l USING (query_id)""",
+)
+add(
+    "snk_8_chunk_artifacts",
+    """SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS chunks, sum(length(chunk_text))::BIGINT AS chars,
+    max(total_chunks) AS total_chunks, count(*) AS blocks FROM chunk_texts GROUP BY doc_id""",
+)
 
 # --- streams -----------------------------------------------------------------------------------------------
 
@@ -926,5 +946,12 @@ add(
       '[CONTEXT]' || chr(10) || 'ctx' || chr(10) || '[/CONTEXT]', '[QUESTION]' || chr(10) || question || chr(10) || '[/QUESTION]') AS prompt
     FROM asked a LEFT JOIN pasts USING (session_id)""",
 )
+_vowel = lambda v: f"(length(text) - length(replace(text, '{v}', '')))::DOUBLE"
+_norm = "sqrt(" + " + ".join(f"{_vowel(v)} * {_vowel(v)}" for v in "aeiou") + ")"
+add(
+    "udf_1_embedder",
+    f"""SELECT doc_id, 5 AS dim, round(CASE WHEN {_norm} = 0 THEN 0.0 ELSE CAST(CAST({_vowel('a')} / {_norm} AS FLOAT) AS DOUBLE) END, 4) AS first
+    FROM documents""",
+)
 add("udf_2_pair_scorer", "SELECT doc_id, least(length(lang), length(text))::DOUBLE AS score FROM documents")
 add("udf_3_generator", "SELECT doc_id, left(text, 40) AS answer FROM documents")

@@ -62,12 +62,16 @@ def test_layout_pages(spark):
     assert doc.raw_text == "Một\nhai\npic\ncon\n\nba" and doc.ocr_pages == [1, 2] and doc.page_count == 3
 
 
-def test_deep_blocks_are_reported(spark):
-    block = {"bbox": [0, 0, 1, 1], "lines": []}
-    for _ in range(5):
-        block = {"bbox": [0, 0, 1, 1], "lines": [], "blocks": [block]}
-    value = {"pdf_info": [{"page_idx": 0, "para_blocks": [block]}]}
-    assert Y.unread_blocks(layouts(spark, value)).first().unread_blocks == 1
+def test_deep_blocks_are_read(spark):
+    block = None
+    for i in range(6, 0, -1):
+        line = {"bbox": [0, 0, 1, 1], "spans": [{"type": "text", "content": f"level {i}"}]}
+        block = {"bbox": [0, 0, 1, 1], "lines": [line], **({"blocks": [block]} if block else {})}
+    made = layouts(spark, {"pdf_info": [{"page_idx": 0, "para_blocks": [block]}]})
+    assert Y.nesting(made) >= 5
+    texts = [r.text for r in Y.layout_entries(made).orderBy("entry_no").collect()]
+    assert list(dict.fromkeys(texts)) == [f"level {i}" for i in range(1, 7)]
+    assert Y.layout_pages(made).first().text == "\n".join(f"level {i}" for i in range(1, 7))
 
 
 def test_line_matching_against_brute_force(spark):

@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from lawloom.operators import ordered
 
 
@@ -14,6 +16,26 @@ def table(spark):
     return spark.createDataFrame(rows, "k string, at int, v string")
 
 
+def table_with_nulls(spark):
+    """Null keys, null and equal order values; the second order column makes the order unique."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 6 + ["a", None]), rng.choice([None, *range(40)]), i, rng.choice([None, "x", "y"])) for i in range(1500)]
+    return spark.createDataFrame(rows, "k string, at int, i int, v string")
+
+
+def test_nulls_and_ties_agree_with_plain_windows(spark):
+    df, keys, order = table_with_nulls(spark), ["k"], ["at", "i"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    for rows in (20, 10_000):
+        same(ordered.numbered(df, keys, order, "n", max_rows=rows), df.withColumn("n", F.row_number().over(w).cast("bigint")))
+        same(
+            ordered.running_last(df, keys, order, F.col("v"), "x", max_rows=rows),
+            df.withColumn("x", F.last("v", ignorenulls=True).over(running)),
+        )
+        same(ordered.previous(df, keys, order, F.col("v"), "x", max_rows=rows), df.withColumn("x", F.lag("v").over(w)))
+
+
 def same(a, b):
     columns = sorted(a.columns)
     assert sorted(map(str, a.select(columns).collect())) == sorted(map(str, b.select(columns).collect()))
