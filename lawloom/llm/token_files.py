@@ -6,8 +6,9 @@ i is row i % BATCH of batch i // BATCH, mapped without a copy; the mask is false
 Beside it lies an index with the place of each document in the shard. Ids are stored as 16 bits where the vocabulary
 allows it, else as 32 bits.
 
-A word between ASCII white space is tokenized once and remembered: the tokenizer's own normaliser and splitter treat
-such words one by one. Texts that hold the mark of a special token go through the tokenizer whole.
+A word between ASCII white space is tokenized once per part of a batch, and runs of letters are remembered: the
+tokenizer's own normaliser and splitter (split at white space, runs of letters apart from runs of punctuation) treat
+them one by one. Texts that hold the mark of a special token go through the tokenizer whole.
 
 Defined results: a null or empty text is the end id alone; null ids come first; equal ids are ordered by text; repeated
 rows are written as often as they occur; an empty table gives no file and an empty result.
@@ -15,11 +16,14 @@ rows are written as often as they occur; an empty table gives no file and an emp
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +33,26 @@ from lawloom.session import scratch_path
 
 LENGTH, BATCH, END_ID = 2048, 64, 2
 SHARD_BYTES = 24 << 20  # text of a shard
-CACHED_WORDS = 250_000
+CACHED_RUNS, RUNS_PER_CALL = 400_000, 20_000
+PART_BYTES = 4 << 20  # text that is worked on at once
+# Letters, then ASCII punctuation but the apostrophe, with which the tokenizer's splitter joins endings to words.
+_LETTERS_AND_MARKS = r"^(?P<letters>\p{L}*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes of the given type."""
+    """Ids of whole texts as little-endian bytes of the smallest type that holds the vocabulary."""
 
     def __init__(self, tokenizer_path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = self._bytes([end_id])
-        self.marks = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.marks = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs: dict[str, bytes] = {}
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
@@ -51,24 +61,90 @@ class Encoder:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        raw = text.encode()
-        if any(m in raw for m in self.marks):
-            return self.whole(text) + self.end
-        words = raw.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words)) + self.end
-        except KeyError:
-            pass
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = self._bytes(e.ids)
-        return b"".join(map(self.known.__getitem__, words)) + self.end
+        return next(self.encode_texts(pa.array([text], pa.string())))
+
+    def encode_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text and the end id, in the order of the texts."""
+        start, held, sizes = 0, 0, pc.binary_length(texts).fill_null(0).to_pylist()
+        for i, n in enumerate([*sizes, None]):
+            if n is None or held + n > PART_BYTES and i > start:
+                yield from self._encode_part(texts.slice(start, i - start).fill_null(""))
+                start, held = i, 0
+            held += n or 0
+
+    def _encode_part(self, texts: pa.Array) -> Iterator[bytes]:
+        special = [False] * len(texts)
+        for m in self.marks:
+            special = [a or b for a, b in zip(special, pc.match_substring(texts, m).to_pylist(), strict=True)]
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(special, pa.bool_()), "", texts))
+        words = split.flatten().dictionary_encode()
+        runs, of_word = self._runs_of(words.dictionary)
+        lengths = np.array([len(r) for r in runs], np.int64) // self.kind.itemsize
+        starts = np.cumsum(lengths) - lengths
+        values = np.frombuffer(b"".join(runs), self.kind)
+        # Every word is two runs, and every document is closed by the run of the end id, which is the last one.
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        sequence = np.insert(of_word[words.indices.to_numpy()], ends, (len(runs) - 1, len(runs) - 2), axis=0).ravel()
+        n = lengths[sequence]
+        closed = np.cumsum(n)
+        at = np.arange(closed[-1] if len(closed) else 0) + np.repeat(starts[sequence] - (closed - n), n)
+        ids = values[at]
+        bounds = closed[2 * (ends + np.arange(1, len(ends) + 1)) - 1].tolist()
+        for k, (x, y) in enumerate(zip([0, *bounds[:-1]], bounds, strict=True)):
+            yield self.whole(texts[k].as_py()) + self.end if special[k] else ids[x:y].tobytes()
+
+    def _runs_of(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Runs of ids, and the two runs of each word. A run of letters, and a run of punctuation after it, are pieces that
+        the tokenizer's splitter keeps apart, so each is encoded once; any other word is one run by itself."""
+        found = pc.extract_regex(words, _LETTERS_AND_MARKS)
+        fits = found.is_valid().to_numpy(zero_copy_only=False)
+        letters = pc.ascii_lower(found.field("letters").filter(found.is_valid())).dictionary_encode()
+        marks = found.field("marks").filter(found.is_valid()).dictionary_encode()
+        odd = words.filter(pc.invert(found.is_valid())).to_pylist()
+        names = [*letters.dictionary.to_pylist(), *marks.dictionary.to_pylist()]
+        if len(self.runs) > CACHED_RUNS:
+            self.runs.clear()
+        new = list({x for x in names if x and x not in self.runs})
+        for i in range(0, len(new), RUNS_PER_CALL):
+            self._encode_runs(new[i : i + RUNS_PER_CALL])
+        runs = [self.runs[x] if x else b"" for x in names]
+        of_word = np.empty((len(words), 2), np.int64)
+        of_word[fits, 0] = letters.indices.to_numpy()
+        of_word[fits, 1] = marks.indices.to_numpy() + len(letters.dictionary)
+        of_word[~fits, 0] = np.arange(len(odd)) + len(runs)
+        of_word[~fits, 1] = len(runs) + len(odd)
+        return [*runs, *self._encode_odd(odd), b"", self.end], of_word
+
+    def _encode_runs(self, runs: list[str]) -> None:
+        """Many runs in one call: each ends with a token that closes a word."""
+        found = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1))
+        if len(cuts) != len(runs) + 1 or cuts[-1] != len(ids):  # not a vocabulary with word ends
+            self.runs.update((r, self.whole(r)) for r in runs)
+            return
+        raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        for r, x, y in zip(runs, (cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist(), strict=True):
+            self.runs[r] = raw[x:y]
+
+    def _encode_odd(self, words: list[str]) -> list[bytes]:
+        """Other words, many in one call: a token belongs to the word that its offset lies in."""
+        out = []
+        for i in range(0, len(words), RUNS_PER_CALL):
+            part = words[i : i + RUNS_PER_CALL]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])[:-1]
+            owner = np.searchsorted(starts, np.array([o[0] for o in found.offsets], np.int64), side="right") - 1
+            cuts = (np.searchsorted(owner, np.arange(len(part) + 1)) * self.kind.itemsize).tolist()
+            raw = self._bytes(found.ids)
+            out.extend(raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True))
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+    """The worker's encoder, which keeps its words for the next task."""
+    return Encoder(tokenizer_path, end_id)
 
 
 def sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
@@ -138,13 +214,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, doc_id:
     def write(batches: Iterator[pa.RecordBatch], temporary) -> Iterator[dict]:
         encoder, open_shard = None, None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path, end_id)
-            for number, i, t in zip(*(batch.column(k) for k in range(3)), strict=True):
+            encoder = encoder or encoder_of(tokenizer_path, end_id)
+            texts = encoder.encode_texts(batch.column(2))
+            for number, i, ids in zip(batch.column(0), batch.column(1), texts, strict=True):
                 if open_shard is None or open_shard.number != number.as_py():
                     if open_shard:
                         yield from _rows(open_shard)
                     open_shard = _Shard(number.as_py(), temporary, encoder.kind, length)
-                open_shard.add(i.as_py(), encoder.encode(t.as_py()))
+                open_shard.add(i.as_py(), ids)
         if open_shard:
             yield from _rows(open_shard)
 
