@@ -62,8 +62,12 @@ def dirty(spark, sf_dir) -> DataFrame:
     return _per_line(table(spark, sf_dir, "documents"), DIRTY_LINE)
 
 
+def legal_lines(documents: DataFrame) -> DataFrame:
+    return _per_line(documents, LEGAL_LINE)
+
+
 def legal(spark, sf_dir) -> DataFrame:
-    return _per_line(table(spark, sf_dir, "documents"), LEGAL_LINE)
+    return legal_lines(table(spark, sf_dir, "documents"))
 
 
 def plain_lines(docs: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ def _job_columns(events):
 
 @query
 def stm_1_ingest_stream(spark, sf_dir):
-    d = jobs.stream_table(spark, sf_dir, "documents")
+    d = I.legal_lines(jobs.stream_table(spark, sf_dir, "documents"))
     version = F.col("doc_id").cast("string")
     d = d.select("doc_id", "text", F.concat(F.lit("Document "), version).alias("title"), version.alias("version_id"))
-    points, errors = session.scratch_path(spark, "points"), session.scratch_path(spark, "errors")
-    ingest.ingest_stream(d, points, errors, session.scratch_path(spark, "progress"))
-    return spark.read.parquet(points).select("document_id", "chunk_index", "total_chunks", "chunk_kind", "title")
+    folder = session.scratch_path(spark, "ingest")
+    ingest.ingest_stream(d, folder, session.scratch_path(spark, "progress"))
+    return ingest.current_points(spark, folder).select("document_id", "chunk_index", "total_chunks", "chunk_kind")
 
 
 @query
@@ -44,7 +44,14 @@ def stm_2_job_stream(spark, sf_dir):
 
 @query
 def stm_2_document_snapshots(spark, sf_dir):
-    return jobs.document_snapshots(jobs.job_changes(I.jobs(spark, sf_dir)))
+    return jobs.document_snapshots(jobs.job_changes(I.jobs(spark, sf_dir), keep=("ts",)))
+
+
+@query
+def stm_2_snapshot_stream(spark, sf_dir):
+    events = _job_columns(jobs.stream_table(spark, sf_dir, "events"))
+    paths = [session.scratch_path(spark, name) for name in ("jobs", "snapshots", "progress")]
+    return jobs.snapshot_stream(events, *paths)
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,11 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach (spark.checkpoint.dir). Only a local master without it gets its own."""
+    """The folder all executors can reach (spark.checkpoint.dir). Only a session in one process may do without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lawloom-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -1,32 +1,64 @@
-"""Continuous ingest: new document versions are cleaned, chunked, embedded and appended as they arrive."""
+"""Continuous ingest: document versions are cleaned, chunked and embedded as they arrive, and replaced when they change."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.functions.text import blank_to_null
 from lawloom.plans.ingest import CARRY, ingest_chunks, to_points
 
+VERSIONS = "version_id string, checksum string, error string, batch int"
 
-def ingest_stream(documents: DataFrame, points: str, errors: str, checkpoint: str, dim: int = 64) -> None:
-    """Ingest a stream of (doc_id, text, carried fields), each version once, until no more input is there.
 
-    Every micro-batch writes its own directories, so a repeated batch replaces its output. Versions without
-    text go to the errors table and do not stop the stream.
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest stored state of every version."""
+    try:
+        rows = spark.read.schema(VERSIONS).parquet(f"{folder}/versions")
+    except AnalysisException:
+        rows = spark.createDataFrame([], VERSIONS)
+    return rows
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("version_id").agg(F.max_by(F.struct("checksum", "error", "batch"), "batch").alias("r")).select("version_id", "r.*")
+
+
+def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int = 64) -> None:
+    """Ingest a stream of (doc_id, text, carried fields) until no more input is there.
+
+    A version is ingested when it is new or its text has changed; the stored checksums tell, so no state grows in the
+    stream, and a stopped stream goes on where it was. Every micro-batch writes its own directories, so a repeated one
+    replaces its output. Versions without text are stored with an error and do not stop the stream.
     """
+    spark = documents.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        empty = blank_to_null(F.col("text")).isNull()
-        bad = batch.filter(empty).select("version_id", F.lit("No text").alias("error"))
-        bad.write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
-        found = to_points(ingest_chunks(batch.filter(~empty)), dim)
-        found.sortWithinPartitions("chunk_kind", "article_number").write.mode("overwrite").parquet(
-            f"{points}/batch={batch_id}"
-        )
+        checksum = F.sha2(F.coalesce("text", F.lit("")), 256)
+        one = batch.withColumn("checksum", checksum).groupBy("version_id").agg(
+            F.max_by(F.struct("doc_id", "text", *[c for c in CARRY if c != "version_id"], "checksum"), "checksum").alias("r")
+        ).select("version_id", "r.*")
+        known = _newest(_versions(spark, folder).filter(F.col("batch") < batch_id)).select("version_id", "checksum")
+        fresh = one.join(known, ["version_id", "checksum"], "left_anti")
+        error = F.when(blank_to_null(F.col("text")).isNull(), F.lit("No text"))
+        fresh.select("version_id", "checksum", error.alias("error")).write.mode("overwrite").parquet(f"{folder}/versions/batch={batch_id}")
+        found = to_points(ingest_chunks(fresh.filter(error.isNull()).drop("checksum")), dim)
+        found.sortWithinPartitions("chunk_kind", "article_number").write.mode("overwrite").parquet(f"{folder}/points/batch={batch_id}")
 
     job = (
-        documents.select("doc_id", "text", *CARRY).dropDuplicates(["version_id"])
+        documents.select("doc_id", "text", *CARRY)
         .writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     job.awaitTermination()
+
+
+def current_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The points of every version as it was ingested last."""
+    newest = _newest(_versions(spark, folder)).filter("error IS NULL").select("version_id", "batch")
+    return spark.read.parquet(f"{folder}/points").join(newest, ["version_id", "batch"], "left_semi").drop("batch")
+
+
+def ingest_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions that could not be ingested when they arrived last."""
+    return _newest(_versions(spark, folder)).filter("error IS NOT NULL").select("version_id", "error")

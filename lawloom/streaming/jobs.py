@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,30 +26,29 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.parquet(folder)
 
 
-def job_changes(jobs: DataFrame) -> DataFrame:
+def job_changes(jobs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Batch form: the rows of each job whose status or retry count differs from the row before."""
     now = F.struct("status", "retry_count")
     marked = ordered.previous(jobs, ["document_id", "job_id"], ["ts", "event_id"], now, "before")
     changed = F.col("before").isNull() | (F.col("before") != now)
     return marked.filter(changed).select(
-        "document_id", "job_id", "event_id", "status", "retry_count", F.col("before.status").alias("previous_status")
+        "document_id", "job_id", "event_id", "status", "retry_count", F.col("before.status").alias("previous_status"), *keep
     )
 
 
 def job_change_stream(jobs: DataFrame) -> DataFrame:
-    """Stream form. State is one small row per job, so a busy document spreads over its jobs."""
+    """Stream form. State is one small row per job, so a busy document spreads over its jobs. Events are put in order
+    within a micro-batch; one that arrives in a later batch counts when it arrives."""
 
     def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get if state.exists else (None, None)
-        out = []
-        for r in rows.itertuples(index=False):
-            if (r.status, int(r.retry_count)) != last:
-                out.append((key[0], key[1], r.event_id, r.status, r.retry_count, last[0]))
-                last = (r.status, int(r.retry_count))
-        state.update(last)
-        columns = [c.strip().split(" ")[0] for c in CHANGES.split(",")]
-        yield pd.DataFrame(out, columns=columns)
+        rows = pd.concat([b[["event_id", "status", "retry_count", "ts"]] for b in batches]).sort_values(["ts", "event_id"])
+        status, count = state.get if state.exists else (None, -1)
+        before = rows[["status", "retry_count"]].shift(1)
+        before.iloc[0] = [status, count]
+        changed = (before["status"] != rows["status"]) | (before["retry_count"] != rows["retry_count"])
+        state.update((rows["status"].iloc[-1], int(rows["retry_count"].iloc[-1])))
+        out = rows[changed].assign(document_id=key[0], job_id=key[1], previous_status=before["status"][changed])
+        yield out[[c.strip().split(" ")[0] for c in CHANGES.split(",")]]
 
     return jobs.groupBy("document_id", "job_id").applyInPandasWithState(
         changes, CHANGES, "status string, retry_count int", "append", GroupStateTimeout.NoTimeout
@@ -56,8 +56,8 @@ def job_change_stream(jobs: DataFrame) -> DataFrame:
 
 
 def document_snapshots(changes: DataFrame) -> DataFrame:
-    """Per document: jobs, open jobs, and whether all jobs have ended."""
-    newest = changes.groupBy("document_id", "job_id").agg(F.max_by("status", "event_id").alias("status"))
+    """Per document: jobs, open jobs, and whether all jobs have ended. A job's newest event is the last by (ts, event_id)."""
+    newest = changes.groupBy("document_id", "job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
     is_open = F.count(F.when(~F.col("status").isin(*TERMINAL), True))
     return newest.groupBy("document_id").agg(F.count("*").alias("jobs"), is_open.alias("open_jobs")).withColumn(
         "terminal", F.col("open_jobs") == 0
@@ -102,21 +102,71 @@ def apply_attempts(jobs: DataFrame, attempts: DataFrame, max_retries: int = MAX_
     return joined.select("job_id", status.alias("status"), F.when(ended, F.col("retry_count")).otherwise(total).alias("retry_count"))
 
 
+JOB_STATE = "job_id bigint, status string, retry_count int"
+
+
+def _newest(spark: SparkSession, table: str, schema: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """The newest row of each key over the batches of a table (those before a batch)."""
+    rows = spark.read.schema(f"{schema}, batch int").parquet(table)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
+
+
+def _has_table(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def _run(stream: DataFrame, step, checkpoint: str) -> None:
+    job = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+
+
 def retry_stream(jobs: DataFrame, attempts: DataFrame, table: str, checkpoint: str) -> DataFrame:
-    """Apply a stream of attempts to the job table. Each micro-batch writes the next table version from the one
-    before, so a repeated batch gives the same version; pending jobs are what the next trigger picks up."""
+    """Apply a stream of attempts to the job table, and return its state.
+
+    The first run stores the jobs as batch -1. A micro-batch writes the jobs that it touches as a batch of their own, from
+    the batches before it, so a repeated one gives the same rows; a later run goes on with the stored table. Pending jobs
+    are what the next trigger picks up."""
     spark = jobs.sparkSession
-    schema = "job_id bigint, status string, retry_count int"
-    jobs.write.parquet(f"{table}/version=0")
+    if not _has_table(spark, f"{table}/batch=-1"):
+        jobs.select("job_id", "status", F.col("retry_count").cast("int")).write.parquet(f"{table}/batch=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        current = spark.read.schema(schema).parquet(f"{table}/version={batch_id}")
-        apply_attempts(current, batch).write.mode("overwrite").parquet(f"{table}/version={batch_id + 1}")
+        known = _newest(spark, table, JOB_STATE, ["job_id"], batch_id)
+        touched = known.join(batch.select("job_id").distinct(), "job_id", "left_semi")
+        apply_attempts(touched, batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    job = (
-        attempts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    last = (job.lastProgress or {"batchId": -1})["batchId"]
-    return spark.read.schema(schema).parquet(f"{table}/version={last + 1}")
+    _run(attempts, step, checkpoint)
+    return _newest(spark, table, JOB_STATE, ["job_id"])
+
+
+NEWEST = "document_id bigint, job_id bigint, status string, ts timestamp, event_id bigint"
+
+
+def snapshot_stream(events: DataFrame, table: str, snapshots: str, checkpoint: str) -> DataFrame:
+    """Document snapshots as events arrive: every micro-batch stores the newest event of the jobs that it touches, and
+    writes a snapshot of the documents that it touches. Returns the newest snapshot of every document."""
+    spark = events.sparkSession
+    at = F.struct("ts", "event_id")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("document_id", "job_id").agg(F.max_by(F.struct("status", "ts", "event_id"), at).alias("r")).select(
+            "document_id", "job_id", "r.*"
+        )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("document_id", "job_id", "status", "ts", "event_id")
+        if _has_table(spark, table):
+            stored = spark.read.schema(f"{NEWEST}, batch int").parquet(table).filter(F.col("batch") < batch_id).drop("batch")
+            rows = rows.unionByName(stored.join(batch.select("document_id").distinct(), "document_id", "left_semi"))
+        newest(rows).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        written = spark.read.schema(NEWEST).parquet(f"{table}/batch={batch_id}")
+        document_snapshots(written).write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+
+    _run(events, step, checkpoint)
+    return _newest(spark, snapshots, "document_id bigint, jobs bigint, open_jobs bigint, terminal boolean", ["document_id"])

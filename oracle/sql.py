@@ -876,7 +876,13 @@ add(
     "stm_2_document_snapshots",
     """SELECT document_id, count(*) AS jobs, count(CASE WHEN status NOT IN ('completed', 'failed') THEN 1 END) AS open_jobs,
     count(CASE WHEN status NOT IN ('completed', 'failed') THEN 1 END) = 0 AS terminal FROM (
-    SELECT document_id, job_id, arg_max(status, event_id) AS status FROM job_changes GROUP BY document_id, job_id) GROUP BY document_id""",
+    SELECT document_id, job_id, arg_max(status, (ts, event_id)) AS status FROM jobs GROUP BY document_id, job_id) GROUP BY document_id""",
+)
+add(
+    "stm_2_snapshot_stream",
+    """SELECT document_id, count(*) AS jobs, count(CASE WHEN status NOT IN ('completed', 'failed') THEN 1 END) AS open_jobs,
+    count(CASE WHEN status NOT IN ('completed', 'failed') THEN 1 END) = 0 AS terminal FROM (
+    SELECT document_id, job_id, arg_max(status, (ts, event_id)) AS status FROM jobs GROUP BY document_id, job_id) GROUP BY document_id""",
 )
 add(
     "stm_3_retry_stream",

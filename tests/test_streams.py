@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ def test_stream_equals_batch(spark, tmp_path):
     out = jobs.run_to_table(jobs.job_change_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     batch = jobs.job_changes(spark.createDataFrame(rows, schema))
     assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect()))
-    snap = {r.document_id: (r.open_jobs, r.terminal) for r in jobs.document_snapshots(out).collect()}
+    with_time = jobs.job_changes(spark.createDataFrame(rows, schema), keep=("ts",))
+    snap = {r.document_id: (r.open_jobs, r.terminal) for r in jobs.document_snapshots(with_time).collect()}
     last = {}
     for d, j, _, s, _, _ in rows:
         last[d, j] = s
@@ -37,37 +39,58 @@ def test_stream_equals_batch(spark, tmp_path):
         assert open_jobs == expected and terminal == (expected == 0)
 
 
+def arrive(spark, folder, rows, schema, number):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{number}")
+
+
 def test_retries_equal_sequential_policy(spark, tmp_path):
+    """Two runs over one table and checkpoint: the second takes only what has arrived since."""
     rng = random.Random(9)
     rows = [(rng.randint(1, 40), i, rng.random() < 0.7) for i in range(160)]
-    schema = "job_id long, at long, failed boolean"
-    folder = str(tmp_path / "in")
-    files(spark, folder, rows, schema, 3)
+    schema, folder = "job_id long, at long, failed boolean", str(tmp_path / "in")
+    os.makedirs(folder)
     known = spark.createDataFrame([(j, "pending", 0) for j in range(1, 42)], "job_id long, status string, retry_count int")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = jobs.retry_stream(known, stream, str(tmp_path / "jobs"), str(tmp_path / "cp"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
     state = {j: ["pending", 0] for j in range(1, 42)}
-    for j, _, failed in rows:
-        s = state[j]
-        if s[0] != "pending":
-            continue
-        if failed:
-            s[1] += 1
-            s[0] = "failed" if s[1] >= 3 else "pending"
-        else:
-            s[0] = "completed"
-    assert {r.job_id: [r.status, r.retry_count] for r in out.collect()} == state
-
-
-def test_ingest_stream_takes_each_version_once(spark, tmp_path):
+    for run, part in enumerate((rows[:100], rows[100:], [])):
+        for k in range(2) if part else ():
+            arrive(spark, folder, part[k * 50 : (k + 1) * 50 if not k else None], schema, f"{run}-{k}")
+        out = jobs.retry_stream(known, stream, str(tmp_path / "jobs"), str(tmp_path / "cp"))
+        for j, _, failed in part:
+            s = state[j]
+            if s[0] == "pending":
+                s[1] += failed
+                s[0] = ("failed" if s[1] >= 3 else "pending") if failed else "completed"
+        assert {r.job_id: [r.status, r.retry_count] for r in out.collect()} == state
+
+
+def test_snapshots_follow_the_newest_event_by_time(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 4), rng.randint(1, 3), i, rng.choice(["pending", "running", "failed", "completed"]), rng.randint(0, 99)) for i in range(120)]
+    schema, folder = "document_id long, job_id long, event_id long, status string, ts long", str(tmp_path / "in")
+    os.makedirs(folder)
+    df = lambda part: part.withColumn("ts", F.timestamp_seconds("ts"))
+    stream = df(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder))
+    for run, part in enumerate((rows[:50], rows[50:])):
+        arrive(spark, folder, part, schema, run)
+        out = jobs.snapshot_stream(stream, *[str(tmp_path / x) for x in ("jobs", "snapshots", "cp")])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, jobs.document_snapshots(df(spark.createDataFrame(rows, schema))).collect()))
+
+
+def test_ingest_stream_takes_changes_and_goes_on(spark, tmp_path):
     schema = "doc_id long, text string, title string, version_id string"
     rows = [(1, "Điều 1. A\nx", "T", "v1"), (2, "  ", "T", "v2"), (1, "Điều 1. A\nx", "T", "v1"), (3, "Điều 2. B\ny", "T", "v3")]
-    folder = str(tmp_path / "in")
-    files(spark, folder, rows, schema, 2)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    points, errors = str(tmp_path / "points"), str(tmp_path / "errors")
-    ingest.ingest_stream(stream, points, errors, str(tmp_path / "cp"), dim=16)
-    found = spark.read.parquet(points)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    os.makedirs(folder)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+    arrive(spark, folder, rows, schema, 0)
+    ingest.ingest_stream(stream, out, str(tmp_path / "cp"), dim=16)
+    found = ingest.current_points(spark, out)
     assert sorted((r.version_id, r.article_number) for r in found.collect()) == [("v1", "1"), ("v3", "2")]
     assert found.filter(F.size("embedding") != 16).count() == 0
-    assert [r.version_id for r in spark.read.parquet(errors).collect()] == ["v2"]
+    assert [r.version_id for r in ingest.ingest_errors(spark, out).collect()] == ["v2"]
+    arrive(spark, folder, [(1, "Điều 7. A\nx", "T", "v1"), (3, "Điều 2. B\ny", "T", "v3"), (2, "Điều 9. C\nz", "T", "v2")], schema, 1)
+    ingest.ingest_stream(stream, out, str(tmp_path / "cp"), dim=16)
+    assert sorted((r.version_id, r.article_number) for r in ingest.current_points(spark, out).collect()) == [("v1", "7"), ("v2", "9"), ("v3", "2")]
+    assert ingest.ingest_errors(spark, out).count() == 0
+    assert spark.read.parquet(f"{out}/points").filter("version_id = 'v3'").select("batch").distinct().count() == 1
