@@ -95,11 +95,11 @@ def normal_line(line: Column) -> Column:
 def _lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """One row per line with a word: row key, host key, line hash, words of the line."""
     lines = F.transform(
-        lines_with_words(F.col(text)),
+        lines_with_words(F.col(f"`{text}`")),
         lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")),
     )
     return docs.select(
-        F.col(doc_id).alias("id"), F.xxhash64(text).alias("body"), F.xxhash64(host).alias("host"), F.explode(lines).alias("x")
+        F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("body"), F.xxhash64(f"`{host}`").alias("host"), F.explode(lines).alias("x")
     ).select("id", "body", "host", "x.line", "x.n")
 
 
@@ -131,32 +131,36 @@ def judge_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source"
     ).select(removed["id"], removed["body"], (F.col("gone") / F.col("rows")).cast("long").alias("gone"))
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
     names = [c for c in docs.columns if c.lower() not in added]
-    based = docs.select(*[F.col(f"`{c}`") for c in names], text_rules(F.col(text)).alias("_r"), F.xxhash64(text).alias("_body"))
-    failed = (F.col("_r.n_words") < 20) | (100 * F.col("_r.n_repeat_words") > 30 * F.col("_r.n_words"))
+    based = _rows(docs, names, doc_id, text).withColumn("rules", text_rules(F.col("text")))
+    failed = (F.col("rules.n_words") < 20) | (100 * F.col("rules.n_repeat_words") > 30 * F.col("rules.n_words"))
     gone = F.coalesce(F.col("gone"), F.lit(0))
-    enough = 100 * (F.col("_r.n_words") - gone) >= limits.left_percent * F.col("_r.n_words")
-    return (
-        based.join(removed, based[doc_id].eqNullSafe(removed["id"]) & (based["_body"] == removed["body"]), "left")
-        .select(*[based[f"`{c}`"] for c in names], "_r.*", failed.alias("base_failed"),
-                gone.alias("n_removed_words"), (~failed & enough).alias("kept"))
-    )
+    enough = 100 * (F.col("rules.n_words") - gone) >= limits.left_percent * F.col("rules.n_words")
+    joined = based.join(removed, based["row_id"].eqNullSafe(removed["id"]) & (based["row_body"] == removed["body"]), "left")
+    return joined.select(
+        "row.*", "rules.*", failed.alias("base_failed"), gone.alias("n_removed_words"), (~failed & enough).alias("kept")
+    )
+
+
+def _rows(docs: DataFrame, names: list[str], doc_id: str, text: str) -> DataFrame:
+    """The named columns as one struct, so that no name can clash, beside the row's key and text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    return docs.select(row, F.col(f"`{doc_id}`").alias("row_id"), F.xxhash64(f"`{text}`").alias("row_body"), F.col(f"`{text}`").alias("text"))
 
 
 def strip_frequent_lines(docs: DataFrame, doc_id="doc_id", text="text", host="source", limits: LineLimits = LineLimits()) -> DataFrame:
     """Kept documents, their texts without the lines above the limits; other columns as they are."""
-    frequent = frequent_lines(docs, doc_id, text, host, limits)
-    judged = judge_documents(docs, doc_id, text, host, limits).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), *[F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, host))])
+    judged = judge_documents(whole, doc_id, text, host, limits).filter("kept")
     held = (
         _lines(docs, doc_id, text, host)
-        .join(frequent, ["host", "line"])
+        .join(frequent_lines(docs, doc_id, text, host, limits), ["host", "line"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "body")
         .agg(F.collect_set("line").alias("gone"))
     )
-    lines = F.split(F.col(text), "\n")
+    rows = _rows(judged, ["all"], doc_id, text)
+    lines = F.split(F.col("text"), "\n")
     left = F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(normal_line(x)))), "\n")
-    joined = judged.withColumn("_body", F.xxhash64(text)).join(
-        held, judged[doc_id].eqNullSafe(held["id"]) & (F.col("_body") == held["body"]), "left"
-    )
-    cleaned = F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)
-    return joined.select(*[cleaned.alias(c) if c == text else judged[f"`{c}`"] for c in docs.columns])
+    joined = rows.join(held, rows["row_id"].eqNullSafe(held["id"]) & (rows["row_body"] == held["body"]), "left")
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[cleaned.alias(c) if c == text else F.col("row.all")[c].alias(c) for c in docs.columns])

@@ -113,6 +113,6 @@ def judge_urls(
     out = pages.join(hits, pages[url] == hits["_url"], "left")
     return out.select(
         *[pages[f"`{c}`"] for c in names], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"),
-        F.col("by_host.id").alias("rule"), F.col("by_pattern.id").alias("pattern_rule"),
-        F.coalesce("by_host.verdict", "by_pattern.verdict", F.lit("allow")).alias("verdict"),
+        hits["by_host"]["id"].alias("rule"), hits["by_pattern"]["id"].alias("pattern_rule"),
+        F.coalesce(hits["by_host"]["verdict"], hits["by_pattern"]["verdict"], F.lit("allow")).alias("verdict"),
     )

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -65,3 +66,25 @@ def test_stages_keep_rows_without_ids_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_clashing_names_do_no_harm(spark):
+    """Extra columns with names that the operators use inside."""
+    from lawloom.llm import chosen_path, decontaminate, html_mincut, language_zstd, line_rules, passage_mil, raking, url_rules
+
+    names = ("id", "body", "line", "host", "gone", "rows", "n", "row", "rules", "row_id", "keeper", "items", "ranges", "rep", "comp", "path",
+             "all", "by_host", "by_pattern", "_url", "factor", "topic", "x", "y", "h", "score", "lang_pred", "n_words", "digest")
+    text = "\n".join(f"line {i} of a text with some words" for i in range(12))
+    base = spark.createDataFrame([(1, text, "en", "a"), (1, text, "en", "a"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    docs = base.withColumns({c: F.lit(7) for c in names})
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int").withColumns({c: F.lit(7) for c in names})
+    model = passage_mil.fit_quality(docs, labels, F.lit(True))
+    outs = [
+        line_rules.judge_documents(docs), line_rules.strip_frequent_lines(docs), chosen_path.near_duplicates(docs), chosen_path.keep_first(docs),
+        decontaminate.find_hits(docs, bench, docs.columns), decontaminate.drop_contaminated(docs, bench), raking.sample_to_targets(docs),
+        language_zstd.identify(docs, language_zstd.fit_languages(docs)), passage_mil.score_documents(docs, model),
+        html_mincut.extract(docs.withColumnRenamed("lang", "html"), html_mincut.fit_classifier(docs.withColumnRenamed("lang", "html"))),
+        url_rules.judge_urls(docs, "text"),
+    ]
+    assert [out.count() for out in outs] == [3, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3]
