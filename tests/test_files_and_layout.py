@@ -167,3 +167,15 @@ def test_attach_layout(spark):
     entries = spark.createDataFrame([(1, "mot dong van ban", [1.0], 4, (5.0, 6.0))], f"doc_id long, folded string, bbox array<double>, page_idx int, {size}")
     a, b = Y.attach_layout(parsed, lines, entries).orderBy("block_id").collect()
     assert a.page_indices == [4] and a.bboxes[0].page_idx == 4 and a.page_sizes[4].width == 5.0 and b.bboxes is None
+
+
+def test_evaluation_rows_are_numbered_over_files(spark, tmp_path):
+    from lawloom.sources import files
+
+    head = "test_id,question,expected_chunk_id,expected_document_id,expected_chunk_title,expected_keywords\n"
+    for name, rows in (("a", 2), ("b", 1), ("c", 3)):
+        body = "".join(f'{"x" if i == 1 else ""},"q {name}\n{i}",,,,\n' for i in range(rows))
+        (tmp_path / f"{name}.csv").write_text(head + body, encoding="utf-8-sig")
+    got = {r.question: r.test_id for r in files.read_evaluation_set(spark, str(tmp_path)).collect()}
+    assert got == {"q a\n0": "row_1", "q a\n1": "x", "q b\n0": "row_3", "q c\n0": "row_4", "q c\n1": "x", "q c\n2": "row_6"}
+    assert files.read_evaluation_set(spark, str(tmp_path), 3).count() == 3

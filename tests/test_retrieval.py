@@ -144,3 +144,47 @@ def test_history_query(spark):
     text = m.sparkSession.createDataFrame([(r.question, "x" * 5000)], "q string, h string")
     out = text.select(Q.retrieval_query(F.col("q"), F.col("h")).alias("o")).first().o
     assert out.count("x") == 1800 and out.endswith("Cau hoi hien tai:\nm20")
+
+
+def talk(spark, n):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}", i) for i in range(n)]
+    return spark.createDataFrame(rows, "session_id long, message_id long, role string, content string, created_at long")
+
+
+def test_history_bounds_cut(spark):
+    recent = Q.recent_messages(talk(spark, 31)).orderBy("back").collect()
+    assert [r.message_id for r in recent] == list(range(30, 30 - Q.HISTORY_MESSAGES, -1))
+    asked = Q.last_questions(talk(spark, 31)).first()
+    lines = asked.history.split("\n")
+    assert asked.question == "m30" and len(lines) == Q.RETRIEVAL_MESSAGES and lines[-1].endswith(": m29")
+
+
+def test_search_by_many_queries_keeps_blocks_small(spark):
+    """Far more queries than one block holds; every query finds itself."""
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(400, 64))
+    points = spark.createDataFrame([(i, [float(x) for x in v], "a", "1") for i, v in enumerate(vectors)], SCHEMA_P)
+    rows = [(i, 0, [float(x) for x in vectors[i]], 1, None if i % 2 else {"kind": "a"}) for i in range(400)]
+    out = R.vector_topk(points, spark.createDataFrame(rows, SCHEMA_Q), ("kind",), block_bytes=80 * 768).collect()
+    assert sorted((r.query_id, r.id) for r in out) == [(i, i) for i in range(400)]
+
+
+def test_one_failing_batch_falls_back_for_its_queries_only(spark):
+    def picky():
+        def score(pairs):
+            if any(q == "bad" for q, _ in pairs):
+                raise ValueError("no score")
+            return [float(len(t)) for _, t in pairs]
+
+        return score
+
+    rows = [(1, 0, 1, 0.9, 1, "aa", "good"), (1, 0, 2, 0.5, 2, "aaaa", "good"), (2, 0, 3, 0.4, 2, "aaaaaa", "bad"), (2, 0, 4, 0.8, 1, "a", "bad")]
+    found = spark.createDataFrame(rows, HITS).withColumn("key", F.col("id")).repartition(2, "query_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        out = R.rerank(found, F.col("q"), F.col("title"), 2, load=picky).orderBy("query_id", "final_rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.query_id, r.id, r.rerank_model) for r in out] == [
+        (1, 2, "lexical_overlap"), (1, 1, "lexical_overlap"), (2, 4, R.FALLBACK_MODEL), (2, 3, R.FALLBACK_MODEL)
+    ]
