@@ -83,7 +83,8 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 _FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_tables()
 _LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
 _SYLLABLE = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}]"
-_DECOMPOSED = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}{''.join(_FOLD_LONGER)}]"
+# Scripts with such characters: few plain ranges, which cost little to look for.
+_DECOMPOSED = "[\u0900-\u1cff\uac00-\ud7a3\U00011000-\U0001d1ff]"
 
 
 def _decomposed(ch: Column) -> Column:
@@ -99,11 +100,13 @@ def _decomposed(ch: Column) -> Column:
 def fold(c: Column) -> Column:
     """Lower case, canonically decomposed, without marks, over all of Unicode; d-stroke becomes d."""
 
-    def rest(x: Column) -> Column:
-        spread = F.array_join(F.transform(F.split(x, ""), _decomposed), "")
-        return F.regexp_replace(F.when(x.rlike(_DECOMPOSED), spread).otherwise(x), r"\p{Mn}+", "")
+    def plain(x: Column) -> Column:
+        return F.regexp_replace(F.translate(F.lower(x), _FOLD_FROM, _FOLD_TO), r"\p{Mn}+", "")
 
-    return let(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), rest)
+    def spread(x: Column) -> Column:
+        return F.array_join(F.transform(F.split(F.lower(x), ""), _decomposed), "")
+
+    return let(c, lambda x: F.when(x.rlike(_DECOMPOSED), plain(spread(x))).otherwise(plain(x)))
 
 
 def collapse(c: Column) -> Column:
