@@ -4,8 +4,10 @@ and topic, then sampling of documents by the calibrated probabilities.
 Every cell (source, language, topic) has the sum of its documents' tokens. The fit finds a factor per source, language
 and topic, so that the weighted sums have the target shares in each of the three. Sources are many and stay distributed:
 their factors are worked out from their own row, and one small aggregate over languages x topics comes back per round.
-A document's probability is its cell's weight over the largest weight, and its draw a hash of its id, so the sample is
-the same on every run, and the expected tokens of the sample have the fitted shares.
+A document's probability is its cell's weight over a reference weight, 1 at most, and its draw a hash of its id, so the
+sample is the same on every run. The reference is the least weight above which cells hold no more than a share `TRIM` of
+the tokens: these cells are kept whole, so that a few rare cells do not thin out all others, and the expected tokens of
+the sample have the fitted shares but for that share. With `trim=0` it is the largest weight, and the shares are exact.
 
 Default targets are the observed shares to the power of `TEMPER`, which lifts small groups and lowers large ones.
 Defined results: null sources, languages and topics are groups named ""; a text without words has no tokens, weighs
@@ -31,18 +33,19 @@ from lawloom.session import materialize
 TEMPER = 0.9
 TOPICS, SUBJECT_LETTERS = 8, 6
 ROUNDS, TOLERANCE = 100, 1e-7
+TRIM, BINS = 0.01, 64  # share of the tokens in cells that are kept whole; steps of the reference per factor of two
 MAX_CELLS = 200_000  # languages x topics, which the driver holds
 BROADCAST_SOURCES = 100_000  # more sources are joined by a shuffle
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Factors by language and topic, a table of factors by source, and the largest weight of a cell."""
+    """Factors by language and topic, a table of factors by source, and the weight that stands for probability 1."""
 
     langs: dict[str, float]
     topics: dict[str, float]
     sources: DataFrame
-    largest: float
+    reference: float
     rounds: int
 
 
@@ -86,7 +89,7 @@ def _shares(targets: dict[str, float], present: dict[str, float]) -> dict[str, f
 
 
 def rake(cells: DataFrame, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None,
-         sources: DataFrame | None = None, power: float = TEMPER, rounds: int = ROUNDS) -> Fit:
+         sources: DataFrame | None = None, power: float = TEMPER, rounds: int = ROUNDS, trim: float = TRIM) -> Fit:
     """Fit cells (source, lang, topic, w) to target shares; `sources` has (source, target). Targets default to tempered
     shares."""
     cells = cells.filter("w > 0")
@@ -124,9 +127,16 @@ def rake(cells: DataFrame, langs: dict[str, float] | None = None, topics: dict[s
         b, seen = b * up, seen * up[:, None]
         c = c * np.divide(goal_t, seen.sum(0), out=np.ones_like(c), where=seen.sum(0) > 0)
     factors = _factors(per_source, b, c, scale)
-    largest = factors.agg(F.max("most")).first()[0] or 1.0
+    reference = factors.agg(F.max("most")).first()[0] or 1.0
+    held, bins = 0.0, sorted(_bins(per_source, b, c, scale).groupBy("bin").agg(F.sum("w")).collect(), reverse=True)
+    total = sum(w for _, w in bins)
+    for place, w in bins:
+        if held + w > trim * total:
+            reference = min(reference, 2.0 ** ((place + 1) / BINS))
+            break
+        held += w
     return Fit(dict(zip(names_l, b.tolist(), strict=True)), dict(zip(names_t, c.tolist(), strict=True)),
-               factors.select("source", "factor"), largest, done)
+               factors.select("source", "factor"), reference, done)
 
 
 def _by_source(per_source: DataFrame, b: np.ndarray, c: np.ndarray, scale: float, out, schema: str) -> DataFrame:
@@ -149,6 +159,15 @@ def _weighted(per_source: DataFrame, b: np.ndarray, c: np.ndarray, scale: float)
     return _by_source(per_source, b, c, scale, out, "at long, v double")
 
 
+def _bins(per_source: DataFrame, b: np.ndarray, c: np.ndarray, scale: float) -> DataFrame:
+    """Tokens by the logarithm of their cell's weight; a few hundred bins in all."""
+
+    def out(_, factor, at, w, outer):
+        return pa.record_batch([pa.array(np.floor(BINS * np.log2(factor * outer[at])).astype(np.int64)), pa.array(w)], names=["bin", "w"])
+
+    return _by_source(per_source, b, c, scale, out, "bin long, w double")
+
+
 def _factors(per_source: DataFrame, b: np.ndarray, c: np.ndarray, scale: float) -> DataFrame:
     def out(source, factor, at, w, outer):
         names = ["source", "factor", "most"]
@@ -177,7 +196,7 @@ def sample_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # The source table is broadcast only while it is known to be small.
     rows = rows.join(F.broadcast(factors) if factors.count() <= BROADCAST_SOURCES else factors, "_source", "left")
     weight = F.col("factor") * _lookup(fit.langs, F.col("_lang")) * _lookup(fit.topics, F.col("topic"))
-    probability = F.coalesce(F.least(weight / F.lit(fit.largest), F.lit(1.0)), F.lit(1.0))
+    probability = F.coalesce(F.least(weight / F.lit(fit.reference), F.lit(1.0)), F.lit(1.0))
     draw = F.col("row._draw").cast("double") / F.lit(2.0**64) + F.lit(0.5)
     return rows.select(
         F.struct(*[F.col(f"row.`{c}`") for c in names]).alias("row"), "topic", "n_tokens",

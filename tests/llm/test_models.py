@@ -183,7 +183,7 @@ def test_raking_equals_brute_force(spark):
 
 def test_given_targets_and_expected_tokens(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    targets = {"langs": {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1, "xx": 0.5}}
+    targets = {"langs": {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1, "xx": 0.5}, "trim": 0.0}
     got = R.sample_to_targets(df, carry=["doc_id", "lang"], **targets).select("row.*", "n_tokens", "probability", "sampled").collect()
     assert len(got) == 1000 and all(0 < r.probability <= 1 for r in got)
     mass = {k: sum(r.n_tokens * r.probability for r in got if r.lang == k) for k in ("en", "fr", "de", "es")}
@@ -195,6 +195,16 @@ def test_given_targets_and_expected_tokens(spark):
     assert {r.doc_id for r in again} == {r.doc_id for r in got if r.sampled}
 
 
+def test_rare_cells_do_not_thin_out_the_others(spark):
+    """A topic with hardly any token has a large weight; only its own documents are kept whole for it."""
+    text = " ".join(f"common{i % 7}" for i in range(400))
+    rows = [(i, text, "a" if i % 3 else "b", "en") for i in range(300)] + [(1000, "ab", "a", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.probability for r in R.sample_to_targets(df, carry=["doc_id"]).select("row.doc_id", "probability").collect()}
+    exact = {r.doc_id: r.probability for r in R.sample_to_targets(df, carry=["doc_id"], trim=0.0).select("row.doc_id", "probability").collect()}
+    assert got[1000] == 1.0 and exact[1000] == pytest.approx(1.0) and min(got.values()) > 0.85 and min(exact.values()) < 0.5
+
+
 def test_raking_edges(spark):
     rows = [(None, None, None, None, 1), (1, "", "a", "en", 1), (2, "word " * 50, "a", None, 1), (2, "word " * 50, "a", None, 1), (3, "longer words here", None, "en", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic int")
