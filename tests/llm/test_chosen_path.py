@@ -52,7 +52,7 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("size", "options"), [(2, {}), (5, {}), (2, {"small": 8}), (2, {"small": 8, "star_depth": 1, "depth": 2})])
+@pytest.mark.parametrize(("size", "options"), [(2, {}), (5, {}), (2, {"small": 8, "star_depth": 1, "medium": 40, "depth": 2})])
 def test_equals_brute_force(spark, size, options):
     rows = corpus(size)
     df = spark.createDataFrame(rows, "doc_id long, text string")
