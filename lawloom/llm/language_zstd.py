@@ -2,8 +2,8 @@
 language whose dictionary gives the fewest bytes wins.
 
 A dictionary is up to `DICTIONARY_BYTES` of training texts of its language, taken in the order of a hash of the text, so
-it does not depend on partitions. This bounded sample (`SAMPLE_TEXTS` distinct texts per language at most) is all that
-the fit reads into the driver. Texts are reduced to lower-case letters and single spaces and compressed whole, in pieces
+it does not depend on partitions nor on how often a text is repeated. This bounded sample (`SAMPLE_TEXTS` distinct texts
+per language, or all where a language has fewer) is all that the fit reads into the driver. Texts are reduced to lower-case letters and single spaces and compressed whole, in pieces
 of `PIECE` bytes, so that a long text cannot serve as its own dictionary.
 
 Equal sizes go to the language with more training documents, then to the first by name. `accepted` is false where the
@@ -51,9 +51,11 @@ def letters(text: str | None) -> bytes:
 def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from rows with a text and a language. Shares count all of them; dictionaries take a bounded sample."""
     rows = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # A share of each language's hashes, enough for the sample many times over, so that few texts are sorted.
-    low = [(F.col("lang") == k) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) <= (SAMPLE_TEXTS << 23) // n) for k, n in counts.items()]
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("d")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
+    # A share of each language's hashes, enough for the sample eight times over, so that few texts are sorted. It goes by
+    # distinct texts: copies have one hash, so a share by rows would leave too few texts of a language of many copies.
+    low = [(F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) <= (SAMPLE_TEXTS << 23) // max(1, r["d"])) for r in found]
     near = rows.filter(reduce(lambda x, y: x | y, low)) if low else rows
     first = Window.partitionBy("lang").orderBy(F.length("text") > SAMPLE_CHARS, F.xxhash64("text"), "text")
     near = near.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_TEXTS)

@@ -155,6 +155,20 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in L.identify(df, L.fit_languages(df.limit(0))).collect()} == {"und"}
 
 
+def test_copies_do_not_empty_the_dictionary(spark):
+    """A language of 40 texts and 200,000 copies of one more; another of 600 texts, each 300 times."""
+    few = [("en", f"{chr(97 + i % 26) * 3} the cat number {chr(97 + i // 26)} sat on mats") for i in range(40)]
+    many = [("de", f"{chr(97 + i % 26)}{chr(97 + i // 26)} der hund und die katze") for i in range(600)]
+    once = spark.createDataFrame([*few, *many, ("en", "hot text of all")], "lang string, text string")
+    copies = spark.range(200_000).selectExpr("'en' AS lang", "'hot text of all' AS text")
+    repeated = once.filter("lang = 'de'").crossJoin(spark.range(299)).select("lang", "text")
+    model, want = L.fit_languages(once.union(copies).union(repeated)), L.fit_languages(once)
+    assert model.dictionaries == want.dictionaries and all(L.letters(t) in model.dictionaries["en"] for _, t in few)
+    assert sum(L.letters(t) in model.dictionaries["de"] for _, t in many) == L.SAMPLE_TEXTS
+    docs = spark.createDataFrame([("hot text of all",), ("the cat sat on mats",)], "text string")
+    assert {r.lang_pred for r in L.identify(docs, model).collect()} == {"en"}
+
+
 # --- raking -------------------------------------------------------------
 
 
