@@ -12,7 +12,7 @@ the sample have the fitted shares but for that share. With `trim=0` it is the la
 Default targets are the observed shares to the power of `TEMPER`, which lifts small groups and lowers large ones.
 Defined results: null sources, languages and topics are groups named ""; a text without words has no tokens, weighs
 nothing in the fit, and gets the probability of its cell, or 1 where the cell weighs nothing; a null id draws by a hash
-of the text; equal ids draw alike; an empty table gives no rows. Target values that no document has are left out and the
+of the text, so rows of null id and equal text draw alike; equal ids draw alike; an empty table gives no rows. Target values that no document has are left out and the
 others scaled up; result columns replace input columns of the same name.
 """
 
@@ -61,18 +61,21 @@ def topic_of(words: list[str]) -> str:
     return "t-none" if word is None else f"t{zlib.crc32(word.encode('utf-8', 'replace')) % TOPICS}"
 
 
-def with_tokens_and_topic(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """`row` (a struct of the carried columns), n_tokens (words of the whole text) and topic."""
+def with_tokens_and_topic(docs: DataFrame, text: str = "text", carry: list[str] | None = None, topic: str | None = None) -> DataFrame:
+    """`row` (a struct of the carried columns), n_tokens (words of the whole text) and topic: the carried column of that
+    name, or without one the bucket of the text's subject word."""
     names = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [(t.as_py() or "").lower().split() for t in batch.column(1)]
-            columns = [pa.array([len(w) for w in split], pa.int64()), pa.array([topic_of(w) for w in split], pa.string())]
+            topics = [topic_of(w) if topic is None else None for w in split]
+            columns = [pa.array([len(w) for w in split], pa.int64()), pa.array(topics, pa.string())]
             yield pa.record_batch([batch.column(0), *columns], names=["row", "n_tokens", "topic"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.toDDL() + ", n_tokens long, topic string")
+    read = rows.mapInArrow(run, rows.select("row").schema.toDDL() + ", n_tokens long, topic string")
+    return read if topic is None else read.withColumn("topic", _group(topic))
 
 
 def tempered(sums: dict[str, float], power: float = TEMPER) -> dict[str, float]:
@@ -181,16 +184,20 @@ def _group(name: str) -> Column:
 
 
 def sample_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-                      carry: list[str] | None = None, power: float = TEMPER, seed: int = 0, **targets) -> DataFrame:
-    """All rows: `row` (a struct of the carried columns), topic, n_tokens, probability and sampled."""
-    need = [doc_id, source, lang]
-    read = with_tokens_and_topic(docs, text, need)
+                      carry: list[str] | None = None, power: float = TEMPER, seed: int = 0, topic: str | None = None,
+                      **targets) -> DataFrame:
+    """All rows: `row` (a struct of the carried columns), topic, n_tokens, probability and sampled. `topic` names a column
+    of topics; without it the topic is one of TOPICS hash buckets of the text's subject word, or t-none."""
+    need = list(dict.fromkeys([doc_id, source, lang, *([] if topic is None else [topic])]))
+    read = with_tokens_and_topic(docs, text, need, topic)
     groups = [_group(source).alias("source"), _group(lang).alias("lang"), "topic"]
     cells = materialize(read.groupBy(*groups).agg(F.sum("n_tokens").alias("w")), "cells")
     fit = rake(cells, power=power, **targets)
     names = docs.columns if carry is None else carry
-    rows = with_tokens_and_topic(docs.withColumn("_draw", F.coalesce(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").cast("string")), F.lit(0))),
-                                 text, list(dict.fromkeys([*names, *need, "_draw"])))
+    # xxhash64 skips nulls and is never null itself, so a null id must be asked for.
+    drawn_by = F.when(F.col(f"`{doc_id}`").isNull(), F.col(f"`{text}`")).otherwise(F.col(f"`{doc_id}`").cast("string"))
+    rows = with_tokens_and_topic(docs.withColumn("_draw", F.xxhash64(F.lit(seed), drawn_by)),
+                                 text, list(dict.fromkeys([*names, *need, "_draw"])), topic)
     rows = rows.withColumn("_source", _group(source)).withColumn("_lang", _group(lang))
     factors = fit.sources.withColumnRenamed("source", "_source")
     # The source table is broadcast only while it is known to be small.

@@ -230,3 +230,23 @@ def test_raking_edges(spark):
 def test_topics():
     assert R.subject(["bbbbbb", "aaaaaa", "cc"]) == "aaaaaa" and R.subject(["a"]) is None
     assert R.topic_of(["wordword"]) == f"t{zlib.crc32(b'wordword') % R.TOPICS}" and R.topic_of([]) == "t-none"
+
+
+def test_null_ids_draw_by_their_text(spark):
+    rows = [(None, f"common words of text {i}", "a" if i % 4 else "b", "en") for i in range(800)] + [(1, "common words", "a", "en"), (None, None, "a", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = [r for r in R.sample_to_targets(df, power=0.3, trim=0.0).collect() if r.row.text and r.row.doc_id is None]
+    assert sum(r.row.source == "a" and r.probability < 1 for r in got) == 600
+    drawn, p = sum(r.sampled for r in got), [r.probability for r in got]
+    assert abs(drawn - sum(p)) < 4 * sum(x * (1 - x) for x in p) ** 0.5
+    other = [r for r in R.sample_to_targets(df.repartition(3), power=0.3, trim=0.0).collect() if r.row.text and r.row.doc_id is None]
+    assert {r.row.text for r in got if r.sampled} == {r.row.text for r in other if r.sampled}
+
+
+def test_topic_column(spark):
+    kinds = ["law", "law", "law", None, "news"]
+    df = spark.createDataFrame([(i, "same words here " * 5, "a", "en", kinds[i % 5]) for i in range(100)], "doc_id long, text string, source string, lang string, kind string")
+    got = R.sample_to_targets(df, carry=["doc_id"], topic="kind", topics={"law": 0.5, "": 0.25, "news": 0.25}, trim=0.0)
+    mass = {r[0]: r[1] for r in got.groupBy("topic").agg(F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
+    assert sorted(mass) == ["", "law", "news"] and got.columns == ["row", "topic", "n_tokens", "probability", "sampled"]
+    assert mass["law"] == pytest.approx(2 * mass[""], rel=1e-4) and mass["news"] == pytest.approx(mass[""], rel=1e-4)
