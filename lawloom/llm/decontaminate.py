@@ -9,7 +9,8 @@ The benchmark is read in blocks of at most `BLOCK_WORDS` words; each block is on
 passes are put together per document, so the broadcast is bounded whatever the size of the benchmark.
 
 Defined results: null or word-less texts have no words and no hits; items without a word have no windows; equal item
-ids count as one item; rows are judged one by one, so repeated rows are repeated in the result.
+ids count as one item; an item with a null id hits words like any other, but is named and counted nowhere; rows are
+judged one by one, so repeated rows are repeated in the result.
 """
 
 from __future__ import annotations
@@ -53,12 +54,14 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 class WindowSet:
     """Windows of a block of items by length: bit map, sorted hashes, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
         self.items_of: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
         for item, words in items:
             n = min(size, len(words))
             for i in range(len(words) - n + 1) if n else ():
-                self.items_of.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set()).add(item)
+                ids = self.items_of.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set())
+                if item is not None:
+                    ids.add(item)
         self.maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, windows in self.items_of.items():
             h = np.unique(np.concatenate([_window_hashes(_hashes(list(w)), n) for w in windows]))
@@ -79,7 +82,7 @@ class WindowSet:
                 near = near[known[np.minimum(at, len(known) - 1)] == w[near]]
             for i in near.tolist():
                 found = self.items_of[n].get(tuple(words[i : i + n]))
-                if found:
+                if found is not None:
                     hit[i : i + n] = True
                     items |= found
         return hit, items
@@ -90,7 +93,7 @@ def benchmark_blocks(benchmark: DataFrame, item_id="item_id", text="text", block
     block, size = [], 0
     for row in benchmark.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
         words = fold_words(row[1])
-        if row[0] is None or not words:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             yield block

@@ -57,3 +57,14 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame(TEXTS, DOCS), spark.createDataFrame([], BENCH)
     assert D.find_hits(docs, bench, ["doc_id"]).filter("n_hit > 0 OR contaminated").count() == 0
     assert D.find_hits(spark.createDataFrame([], DOCS), spark.createDataFrame(ITEMS, BENCH), ["doc_id"]).count() == 0
+
+
+def test_items_of_null_id_hit_words_and_name_no_item(spark):
+    nameless = " ".join(f"null{i}" for i in range(15))
+    bench = spark.createDataFrame([(None, nameless), (None, "two words"), (5, "two words"), (6, ITEM)], BENCH)
+    docs = spark.createDataFrame([(1, nameless, "x"), (2, "two words", "x"), (3, "free of all", "x"), (4, f"{nameless} {ITEM}", "x")], DOCS)
+    want = {1: (15, [], 0, True), 2: (2, ["5"], 1, True), 3: (0, [], 0, False), 4: (35, ["6"], 1, True)}
+    for block in (D.BLOCK_WORDS, 5):
+        got = D.find_hits(docs, bench, ["doc_id"], block_words=block).collect()
+        assert {r.row.doc_id: (r.n_hit, r["items"], r.n_items, r.contaminated) for r in got} == want
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [3]
