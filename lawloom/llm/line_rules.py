@@ -118,26 +118,33 @@ def frequent_lines(docs: DataFrame, doc_id="doc_id", text="text", host="source",
 
 def judge_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source", limits: LineLimits = LineLimits()) -> DataFrame:
     """All rows with the text rules, `base_failed`, `n_removed_words` and `kept`."""
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+    names = [c for c in docs.columns if c.lower() not in added]
+    return _judged(docs, names, doc_id, text, host, limits, F.sum("n").alias("gone")).select("row.*", "rules.*", *added[5:])
+
+
+def _judged(docs: DataFrame, names: list[str], doc_id: str, text: str, host: str, limits: LineLimits, *sums: Column) -> DataFrame:
+    """All rows: `row` (a struct of the named columns), `text`, `rules`, the verdict, and the aggregates of their lines
+    above the limits; `gone`, the words of these lines, must be among them."""
     removed = (
         _lines(docs, doc_id, text, host)
         .join(frequent_lines(docs, doc_id, text, host, limits), ["host", "line"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "body")
-        .agg(F.sum("n").alias("gone"), F.count("*").alias("lines_gone"))
+        .agg(*sums)
     )
+    more = [c for c in removed.columns if c not in ("id", "body", "gone")]
     rows = docs.groupBy(F.col(doc_id).alias("id"), F.xxhash64(text).alias("body")).agg(F.count("*").alias("rows"))
     removed = removed.join(
         rows, removed["id"].eqNullSafe(rows["id"]) & (removed["body"] == rows["body"])
-    ).select(removed["id"], removed["body"], (F.col("gone") / F.col("rows")).cast("long").alias("gone"))
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
-    names = [c for c in docs.columns if c.lower() not in added]
+    ).select(removed["id"], removed["body"], (F.col("gone") / F.col("rows")).cast("long").alias("gone"), *more)
     based = _rows(docs, names, doc_id, text).withColumn("rules", text_rules(F.col("text")))
     failed = (F.col("rules.n_words") < 20) | (100 * F.col("rules.n_repeat_words") > 30 * F.col("rules.n_words"))
     gone = F.coalesce(F.col("gone"), F.lit(0))
     enough = 100 * (F.col("rules.n_words") - gone) >= limits.left_percent * F.col("rules.n_words")
     joined = based.join(removed, based["row_id"].eqNullSafe(removed["id"]) & (based["row_body"] == removed["body"]), "left")
     return joined.select(
-        "row.*", "rules.*", failed.alias("base_failed"), gone.alias("n_removed_words"), (~failed & enough).alias("kept")
+        "row", "text", "rules", failed.alias("base_failed"), gone.alias("n_removed_words"), (~failed & enough).alias("kept"), *more
     )
 
 
@@ -149,18 +156,8 @@ def _rows(docs: DataFrame, names: list[str], doc_id: str, text: str) -> DataFram
 
 def strip_frequent_lines(docs: DataFrame, doc_id="doc_id", text="text", host="source", limits: LineLimits = LineLimits()) -> DataFrame:
     """Kept documents, their texts without the lines above the limits; other columns as they are."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), *[F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, host))])
-    judged = judge_documents(whole, doc_id, text, host, limits).filter("kept")
-    held = (
-        _lines(docs, doc_id, text, host)
-        .join(frequent_lines(docs, doc_id, text, host, limits), ["host", "line"])
-        .filter(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("id", "body")
-        .agg(F.collect_set("line").alias("gone"))
-    )
-    rows = _rows(judged, ["all"], doc_id, text)
+    judged = _judged(docs, docs.columns, doc_id, text, host, limits, F.sum("n").alias("gone"), F.collect_set("line").alias("gone_lines"))
     lines = F.split(F.col("text"), "\n")
-    left = F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(normal_line(x)))), "\n")
-    joined = rows.join(held, rows["row_id"].eqNullSafe(held["id"]) & (rows["row_body"] == held["body"]), "left")
-    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*[cleaned.alias(c) if c == text else F.col("row.all")[c].alias(c) for c in docs.columns])
+    left = F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col("gone_lines"), F.xxhash64(normal_line(x)))), "\n")
+    cleaned = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(left)
+    return judged.filter("kept").select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,6 @@
 """Stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents, and the texts of kept documents as they
-are.
+again as the next one's docs. All but the last return the columns of documents. The quality rules take the lines above
+their limits out of the texts; the other stages leave the texts of kept documents as they are.
 
 Raking and token files cannot be said in SQL, so the whole has no twin; tests compare it with brute force."""
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lawloom.llm import chosen_path, decontaminate, line_rules, raking, token_files
 from lawloom.llm.columns import table
@@ -15,9 +16,9 @@ from lawloom.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = line_rules.judge_documents(docs)
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that the quality rules keep, without the lines above the limits; n_chars is that of the text left."""
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return line_rules.strip_frequent_lines(docs).withColumn("n_chars", n_chars)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,18 @@ def test_stages_keep_rows_without_ids_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_quality_stage_removes_frequent_lines(spark):
+    """A footer in all texts of a host stays in the first only; a document of little else is rejected."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = {i: " ".join(f"{chr(97 + i % 26)}{i // 26}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(40)) for i in range(30)}
+    footer = "All rights\treserved 2024"
+    texts = {i: f"{own[i]}\n{footer.replace('2024', str(2000 + i))}\n\nend {chr(97 + i % 26)}{i // 26}z" for i in own} | {99: "\n".join([footer] * 10)}
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}
+    want = {i: texts[i] if i == 0 else "\n".join(x for x in texts[i].split("\n") if "rights" not in x) for i in own}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_clashing_names_do_no_harm(spark):
     """Extra columns with names that the operators use inside."""
     from lawloom.llm import chosen_path, decontaminate, html_mincut, language_zstd, line_rules, passage_mil, raking, url_rules
