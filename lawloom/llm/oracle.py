@@ -108,4 +108,26 @@ SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_dige
 FROM d LEFT JOIN k ON d.digest = k.digest AND d.n >= 1000
 """
 
-ORACLE = {"op1_warc": OP1, "op5_decontaminate": OP5, "op7_line_rules": OP7, "op10_url_rules": OP10}
+OP11 = """
+WITH scaled AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM scaled a JOIN scaled b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score
+  FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLE = {"op1_warc": OP1, "op5_decontaminate": OP5, "op7_line_rules": OP7, "op10_url_rules": OP10, "op11_hard_negatives": OP11}

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm import chosen_path, decontaminate, html_mincut, language_zstd, line_rules, passage_mil, raking, token_files, url_rules, warc
+from lawloom.llm import (
+    chosen_path, decontaminate, hard_negatives, html_mincut, language_zstd, line_rules, passage_mil, raking, token_alignment,
+    token_files, url_rules, warc,
+)
 from lawloom.llm.columns import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +91,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "pattern_rule", "verdict")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_documents(docs, a, b, carry=["doc_id"]).select("row.*", "*").drop("row")
