@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.llm import (
-    chosen_path, decontaminate, hard_negatives, html_mincut, language_zstd, line_rules, passage_mil, raking, token_alignment,
-    token_files, url_rules, warc,
+    chosen_path, decontaminate, hard_negatives, html_mincut, language_zstd, line_rules, partenum_join, passage_mil, raking,
+    token_alignment, token_files, url_rules, warc,
 )
 from lawloom.llm.columns import table
 
@@ -105,3 +105,8 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_alignment.align_documents(docs, a, b, carry=["doc_id"]).select("row.*", "*").drop("row")
+
+
+@query
+def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))

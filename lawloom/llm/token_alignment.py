@@ -40,6 +40,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ from lawloom.sources.blocks import BlockTable, slices, write_blocks
 
 CHUNK = 1 << 15  # characters of a byte range
 FAN = 16  # fragments that are composed at once
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 250_000
+TEXT_BYTES = 3 << 20  # text that is worked on at once
 COUNT_ROWS = 1 << 20
 SLICE_BYTES = 48 << 20
 PAIRS_HELD = 4_000_000
@@ -304,6 +306,16 @@ def look_up(codes: np.ndarray, counts: BlockTable) -> tuple[np.ndarray, np.ndarr
     return n[back], best[back]
 
 
+def _limited(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about TEXT_BYTES of their text column, one row at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // TEXT_BYTES, prepend=0))
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def _texts(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
     return [None if not t else " " + t for t in column.to_pylist()]
 
@@ -341,7 +353,7 @@ def _parts_of_texts(docs: DataFrame, paths: tuple[str, str], code_type: str, ful
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(_tokenizers(*paths))
-        for batch in batches:
+        for batch in _limited(batches, 1):
             texts = _texts(batch.column(1))
             numbers, out = iter(units.numbers([t for t in texts if t])), []
             for t in texts:
@@ -351,7 +363,7 @@ def _parts_of_texts(docs: DataFrame, paths: tuple[str, str], code_type: str, ful
                 else:
                     out.append([0, 0, 0, 0, b"", b"", ""])
             types = [*[pa.int64()] * 4, pa.binary(), pa.binary(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
             yield pa.record_batch([batch.column(0), *columns], names=["row", "n_a", "n_b", "n_groups", "n_links", "codes", "times", "groups"])
 
     return docs.select("row", "text").mapInArrow(run, _with_row(docs, f"{_SUMS}, groups string"))
@@ -478,7 +490,7 @@ def _fragments(ranges: DataFrame, paths: tuple[str, str], code_type: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(_tokenizers(*paths))
-        for batch in batches:
+        for batch in _limited(batches, 2):
             key, k, texts, start, end = (c.to_pylist() for c in batch.columns)
             out = []
             for i, n in enumerate(units.numbers(texts)):
