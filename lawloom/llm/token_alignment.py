@@ -49,7 +49,7 @@ from lawloom.sources.blocks import BlockTable, slices, write_blocks
 
 CHUNK = 1 << 15  # characters of a byte range
 FAN = 16  # fragments that are composed at once
-KNOWN_UNITS = 250_000
+KNOWN_UNITS = 180_000
 TEXT_BYTES = 3 << 20  # text that is worked on at once
 COUNT_ROWS = 1 << 20
 SLICE_BYTES = 48 << 20
@@ -130,7 +130,7 @@ def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
 _MARKS = ",|;"
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 17)
 def _marked(number: int) -> str:
     """An id with the mark that follows it."""
     return f"{number // len(_MARKS)}{_MARKS[number % len(_MARKS)]}"

@@ -96,18 +96,86 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_page_with_everything():
-    text = H.main_text(PAGE, np.zeros(H.N_FEATURES))
+    text = H.main_text(PAGE, np.array(H.PRIOR))
     assert text == "Head&line First paragraph with a link. Second <one> é line end. a b text more"
 
 
 def test_broken_pages():
-    zero = np.zeros(H.N_FEATURES)
+    zero = np.array(H.PRIOR)
     assert H.main_text(None, zero) == H.main_text("", zero) == H.main_text("<script>x", zero) == H.main_text("<!-- a", zero) == ""
     assert H.main_text("<article>a < b &bogus; <p title='x", zero) == "a < b &bogus; <p title='x"
     assert H.main_text("<article>" + "<div>" * 500 + "deep", zero) == "deep"
     assert H.main_text("<article></p></div>x</article>" * 2, zero) == "x x"
 
 
+LINES = [
+    "The council met on Monday evening to decide on the budget for the coming year, and the debate went on for hours.",
+    "Several members asked for more money for schools, while others pointed to the state of the roads and bridges.",
+    "In the end a narrow majority voted for the plan, which will now go to the regional office for a last review.",
+    "Residents who want to comment can write to the office until the end of the month, said the mayor on Tuesday.",
+]
+MENU = "".join(f'<li><a href="/{i}">Page {i}</a></li>' for i in range(8))
+
+
+def page(article, before="", after="", outer="div", attributes=""):
+    return f"<html><body><div><ul>{MENU}</ul></div>{before}<{outer} {attributes}>{article}</{outer}>{after}<div><a href=/>Legal</a> <a href=/x>Terms</a></div></body></html>"
+
+
+def paragraphs(lines=LINES, inner=""):
+    return "".join(f"<p>{x}</p>{inner}" for x in lines)
+
+
+def test_pages_without_helpful_landmarks():
+    """No article or main element, a class name that says the opposite, and the whole body in one form."""
+    weights, text = np.array(H.PRIOR), " ".join(LINES)
+    assert H.main_text(page(paragraphs()), weights) == text
+    assert H.main_text(page(paragraphs(), attributes='class="page-header sidebar-right"'), weights) == text
+    whole = "<html><body><form action=/x>" + page(paragraphs())[12:-14] + "</form></body></html>"
+    assert H.main_text(whole, weights) == text
+
+
+def test_the_cut_changes_labels(monkeypatch):
+    """Short blocks inside the text follow it, and what looks like text among links follows the links."""
+    ran, flow = [], H._max_flow
+    monkeypatch.setattr(H, "_max_flow", lambda nodes, *rest: (ran.extend(nodes), flow(nodes, *rest))[1])
+    weights = np.array(H.PRIOR)
+    found = H.blocks_of(page("<h2>Vote</h2>" + paragraphs(inner="<div>Yes.</div>")))
+    alone, cut = H.gains(found, weights) > 0, H.minimum_cut(H.gains(found, weights), H.smoothness(found))
+    kept = [b.text for b, k in zip(found, cut) if k]
+    assert (alone != cut).sum() >= 3 and kept[0] == "Vote" and kept.count("Yes.") >= 3 and "Page 1" not in kept
+    rng = random.Random(2)
+    for _ in range(40):  # made-up pages on which neither evidence nor edges settle all at once
+        parts = [rng.choice(["<p>Short words here now.</p>", f"<p>{rng.choice(LINES)}</p>", "<li><a href=x>Go on</a> or stay</li>"]) for _ in range(30)]
+        blocks = H.blocks_of("<body>" + "".join(parts))
+        gain, edges = H.gains(blocks, weights), H.smoothness(blocks)
+        cost = lambda x: np.where(x, np.maximum(0, -gain), np.maximum(0, gain)).sum() + sum(w for i, j, w in edges if x[i] != x[j])  # noqa: E731, B023
+        assert cost(H.minimum_cut(gain, edges)) <= cost(gain > 0) + 1e-9
+    assert len(ran) > 0
+
+
+def test_any_page_takes_time_in_proportion():
+    import time
+
+    weights = np.array(H.PRIOR)
+    bad = ["<a", "<script ", "<a href='", '<a ">" ', "<a \"'>", "<!", "<!--", "</p", "<p title=\">\" '", "<div>x", "<b><p>y</b>", "</div>", "<a 'x\"> "]
+    for piece in bad:
+        text = piece * (1_000_000 // len(piece))
+        for t in (text, text + ">", text + "'\">"):
+            start = time.process_time()
+            found = list(H._Tags(t))
+            assert time.process_time() - start < 8, piece
+            assert all(a < b for a, b, *_ in found)
+    start = time.process_time()
+    H.main_text("<div>x" * 20_000 + "</div>" * 20_000, weights)
+    assert time.process_time() - start < 60
+
+
+def test_text_of_foreign_elements_stays():
+    inner = "<noscript>Seen without scripts.</noscript><math><mi>x</mi><mo>=</mo><mn>2</mn></math><svg><text>A label.</text></svg>"
+    text = H.main_text(f"<article>{paragraphs()}<p>Formula: {inner}</p></article>", np.array(H.PRIOR))
+    assert text == " ".join([*LINES, "Formula: Seen without scripts.x=2A label."])
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (None, None, None, 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, n_chars long")
     got = H.extract(df, H.fit_classifier(df)).collect()
