@@ -87,13 +87,19 @@ _SYLLABLE = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}]"
 _DECOMPOSED = "[\u0900-\u1cff\uac00-\ud7a3\U00011000-\U0001d1ff]"
 
 
+def literal_map(entries: dict[str, str]) -> Column:
+    """A constant map as one expression that is folded once, where a call with all entries would be planned entry by entry."""
+    between, after = "\u0001", "\u0002"
+    return F.str_to_map(F.lit(after.join(f"{k}{between}{v}" for k, v in entries.items())), F.lit(after), F.lit(between))
+
+
 def _decomposed(ch: Column) -> Column:
     """One character as the several that it decomposes into."""
     s = F.ascii(ch) - _HANGUL_FIRST
     pick = lambda letters, at: F.substring(F.lit(letters), at.cast("int") + 1, F.lit(1))
     tail = F.when(s % 28 != 0, pick(_TAILS, s % 28 - 1)).otherwise("")
     syllable = F.concat(pick(_LEADS, F.floor(s / 588)), pick(_VOWELS, F.floor(s % 588 / 28)), tail)
-    other = F.create_map(*[F.lit(x) for kv in _FOLD_LONGER.items() for x in kv])
+    other = literal_map(_FOLD_LONGER)
     return F.when(ch.rlike(_SYLLABLE), syllable).otherwise(F.coalesce(F.try_element_at(other, ch), ch))
 
 
@@ -106,7 +112,12 @@ def fold(c: Column) -> Column:
     def spread(x: Column) -> Column:
         return F.array_join(F.transform(F.split(F.lower(x), ""), _decomposed), "")
 
-    return let(c, lambda x: F.when(x.rlike(_DECOMPOSED), plain(spread(x))).otherwise(plain(x)))
+    return let(
+        c,
+        lambda x: F.when(~x.rlike(r"[^\x00-\x7f]"), F.lower(x))  # nothing else to do for plain letters
+        .when(x.rlike(_DECOMPOSED), plain(spread(x)))
+        .otherwise(plain(x)),
+    )
 
 
 def collapse(c: Column) -> Column:
@@ -282,8 +293,7 @@ _MARK_OPEN, _MARK_CLOSE, _MARK_TAG = "\u0001", "\u0002", "\u0003"
 
 
 def _entity_map() -> Column:
-    pairs = [F.lit(x) for name, cp in sorted(html.entities.name2codepoint.items()) for x in (name, chr(cp))]
-    return F.create_map(F.lit("apos"), F.lit("'"), *pairs)
+    return literal_map({"apos": "'"} | {name: chr(cp) for name, cp in sorted(html.entities.name2codepoint.items())})
 
 
 def _from_code_point(n: Column) -> Column:
@@ -317,7 +327,7 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
-def _visible_text(markup: Column) -> Column:
+def visible_text(markup: Column) -> Column:
     marked = F.regexp_replace(F.regexp_replace(markup, _HIDDEN, _MARK_TAG), r"(?s)<[/a-zA-Z!][^>]*>", _MARK_TAG)
     parts = F.transform(F.split(marked, _MARK_TAG), lambda x: strip(unescape(x)))
     return F.array_join(F.filter(parts, lambda x: x != ""), " ")
@@ -329,7 +339,7 @@ def html_blocks_to_text(c: Column) -> Column:
 
     def piece(x: Column, i: Column) -> Column:
         shown = lambda t: F.when(t == "", F.lit("\n")).otherwise(F.concat(F.lit("\n"), t, F.lit("\n")))
-        return F.when(i % 2 == 1, let(_visible_text(x), shown)).otherwise(x)
+        return F.when(i % 2 == 1, let(visible_text(x), shown)).otherwise(x)
 
     blocks = F.array_join(F.transform(F.split(marked, f"[{_MARK_OPEN}{_MARK_CLOSE}]"), piece), "")
     return F.when(c.rlike(r"<[/a-zA-Z]"), F.regexp_replace(blocks, _INLINE, "")).otherwise(c)
@@ -361,6 +371,10 @@ _TRAILING_HEADING = r"(?iu)^(.{20,}?)\s+(\d+\.\s+[A-ZÀ-Ỵa-zà-ỵ][^\n]{1,80}
 TRAILING_PHRASES = "bang quy doi|khung nang luc|phu luc"
 
 
+# White space within a line, after some text.
+_TRAILING_NUMBER = r"\S[^\S\n]+\d+\.\s"
+
+
 def _split_trailing_line(raw: Column) -> Column:
     def split(line: Column) -> Column:
         before = strip(F.regexp_extract(line, _TRAILING_HEADING, 1))
@@ -370,14 +384,16 @@ def _split_trailing_line(raw: Column) -> Column:
             lambda b: F.when((b != "") & fold(b).rlike(TRAILING_PHRASES), F.concat(b, F.lit("\n"), heading)).otherwise(raw),
         )
 
-    # the phrase must be in the line and a numbered heading must follow, both cheap to test first
-    possible = raw.rlike(r"\s\d+\.\s") & fold(raw).rlike(TRAILING_PHRASES)
+    # a numbered heading must follow, which is cheap to test, and the phrase must be in the line
+    possible = raw.rlike(_TRAILING_NUMBER) & fold(raw).rlike(TRAILING_PHRASES)
     return F.when(possible, let(strip(raw), split)).otherwise(raw)
 
 
 def split_trailing_headings(c: Column) -> Column:
     out = F.array_join(F.transform(text_lines(c), _split_trailing_line), "\n")
-    return F.when(fold(c).rlike(TRAILING_PHRASES), out).otherwise(c)
+    # no line can change without such a number, but line breaks of other kinds become line feeds
+    possible = c.rlike(_TRAILING_NUMBER) | c.rlike(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return F.when(possible & fold(c).rlike(TRAILING_PHRASES), out).otherwise(c)
 
 
 # Folded words that turn an article mention into a reference.
@@ -386,8 +402,8 @@ REFERENCE_WORDS = ("theo", "tai", "xem", "can cu")
 LOOK_BEHIND = 80
 
 
-def _any_accent(phrase: str) -> str:
-    """A pattern that matches the phrase with any accents on its letters."""
+def any_accent(phrase: str) -> str:
+    """A pattern that matches the phrase, in lower case, with any accents on its letters."""
     variants = dict.fromkeys(_FOLD_TO, "")
     for ch, base in zip(_FOLD_FROM, _FOLD_TO):
         variants[base] += ch
@@ -395,7 +411,7 @@ def _any_accent(phrase: str) -> str:
     return "".join(gap if ch == " " else f"[{ch}{variants.get(ch, '')}]\\p{{Mn}}{{0,8}}" for ch in phrase)
 
 
-_REFERENCE = "|".join(_any_accent(w) for w in REFERENCE_WORDS)
+_REFERENCE = "|".join(any_accent(w) for w in REFERENCE_WORDS)
 # The look-ahead comes first: most gaps between words fail it at once.
 _INLINE_ARTICLE = (
     r"(?iu)(?<=\S)(?=[^\S\n]+(?:điều|dieu)\s+\d)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions.text import collapse, fold, let, normalize_text, strip
+from lawloom.functions.text import any_accent, collapse, fold, let, normalize_text, strip
 
 ID = "doc_id"
 
@@ -25,8 +25,11 @@ RULE = r"(?U)\s*={5,}\s*"
 
 
 def may_be_directory(c: Column) -> Column:
-    """A cheap necessary condition on the raw text; markup may hide the title, so it passes too."""
-    return c.rlike("[<&]") | fold(c).rlike(r"giang[ \t]+vien")
+    """A cheap necessary condition on the raw text: the words of the title, once tags between them are gone. Texts whose
+    letters may come from character references, or that hide parts in comments or scripts, pass as well."""
+    hidden = r"(?i)&(?:#\w+|[a-z][a-z0-9]*);|<(?:!--|script\b|style\b|template\b)"
+    bare = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "<[^>]*>", "")).otherwise(c)
+    return c.rlike(hidden) | F.lower(bare).rlike(rf"(?U){any_accent('giang')}\s*{any_accent('vien')}")
 
 
 def is_directory(c: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,13 +14,15 @@ from pyspark.sql.window import Window
 from lawloom.functions import legal as L
 from lawloom.functions.hooks import pair_score
 from lawloom.functions.text import collapse, fold_collapsed, strip
+from lawloom.operators.nearest import Clusters
 from lawloom.operators.ordered import top_per_key
 from lawloom.session import materialize
+from lawloom.sources.blocks import BlockTable, slices, write_blocks
 
-# Queries go to the tasks in blocks of this many bytes; a task scores slices of vectors that stay below SCORE_BYTES.
+# A task holds points of this many bytes and reads the queries in blocks of this many.
+SLICE_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK_BYTES = 8 * 1024 * 1024
-SCORE_BYTES = 32 * 1024 * 1024
-FILTER_SETS = 64  # combinations of filters that share a block, and so a scan with their filters pushed down
+FILTER_SETS = 64  # combinations of filters that reach the scan
 MAX_CANDIDATES = 30
 CANDIDATE_CHARS = 8000
 RELATED_LIMIT = 5
@@ -30,25 +33,6 @@ QUERY = ["query_id", "query_index"]
 # --- vector search -----------------------------------------------------------------
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[list]:
-    """Blocks of bounded size, read one after the other; queries without filters never share a block with others."""
-    choice = F.array_join(F.array_sort(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&")
-    ordered = queries.select(*QUERY, "vector", "k", "filters").orderBy(F.coalesce(choice, F.lit("")), *QUERY)
-    block, size, sets = [], 0, set()
-    for row in ordered.toLocalIterator():
-        bytes_of_row = 8 * len(row["vector"] or ()) + 256
-        rule = tuple(sorted((row["filters"] or {}).items()))
-        full = size + bytes_of_row > block_bytes or (() in sets and rule) or len(sets | {rule}) > FILTER_SETS
-        if block and full:
-            yield block
-            block, size, sets = [], 0, set()
-        block.append(row)
-        size += bytes_of_row
-        sets.add(rule)
-    if block:
-        yield block
-
-
 def vector_topk(
     points: DataFrame,
     queries: DataFrame,
@@ -60,47 +44,38 @@ def vector_topk(
     ``points``: id, embedding, and the filter columns; ``queries``: query_id, query_index, vector, k,
     filters (map of column to required value, may be NULL or empty).
 
-    Each task multiplies slices of its vectors with one block of queries and keeps the best k per
-    query, so no (query, point) pairs are ever written out. One pass over the points per query block; the
-    driver holds one block, and the results of a pass are written before the next block is read.
+    The queries are a written table. The points are read once: each task holds a slice of bounded bytes, reads the queries
+    block by block, and keeps the best k per query and slice, so no (query, point) pairs are ever written out and more
+    queries mean no more scans. Where all queries have filters, and few different ones, these reach the scan.
     Scores are rounded to 6 decimals, ties go to the smaller id.
     """
-    blocks = _query_blocks(queries, block_bytes)
-    block, found = next(blocks, []), None
-    while True:
-        after = next(blocks, None)
-        part = _topk_pass(points, queries, block, filter_columns)
-        part = part if after is None and found is None else materialize(part, "hits")
-        found = part if found is None else found.unionByName(part)
-        if after is None:
-            break
-        block = after
-    # a literal bound first, so that Spark limits rows per query before the shuffle
-    largest = queries.agg(F.max("k")).first()[0] or 0
-    ranked = top_per_key(found, QUERY, [F.col("score").desc(), F.col("id")], largest)
-    return ranked.filter(F.col("rank") <= F.col("k")).drop("k")
-
-
-def _topk_pass(points: DataFrame, queries: DataFrame, rows: list, filter_columns: tuple[str, ...]) -> DataFrame:
-    wanted = [tuple(sorted((r["filters"] or {}).items())) for r in rows]
-    unknown = {c for rule in wanted for c, _ in rule} - set(filter_columns)
-    if unknown:
-        raise ValueError(f"no such filter columns: {sorted(unknown)}")
-    corpus = points.select(
-        "id", F.col("embedding"), *[F.col(c).cast("string").alias(c) for c in filter_columns]
-    ).filter("embedding IS NOT NULL")
-    choices = set(wanted)
-    if choices and () not in choices:
-        corpus = corpus.filter(_any_choice(choices))
+    rule = F.array_sort(F.map_entries(F.coalesce("filters", F.expr("cast(map() as map<string,string>)"))))
+    asked = queries.select(*QUERY, F.col("vector").cast("array<double>").alias("vector"), F.coalesce(F.col("k").cast("int"), F.lit(0)).alias("k"), rule.alias("rule"))
+    blocks = write_blocks(asked.filter("vector IS NOT NULL"), "queries")
+    written = queries.sparkSession.read.schema(asked.schema).parquet(blocks.folder)
+    largest, width = written.agg(F.max("k"), F.max(F.size("vector"))).first()
+    corpus = points.select("id", "embedding", *[F.col(c).cast("string").alias(c) for c in filter_columns]).filter("embedding IS NOT NULL")
+    corpus = _with_shared_filters(corpus, written, filter_columns)
     id_type = points.schema["id"].dataType.simpleString()
     schema = (
         f"query_id {queries.schema['query_id'].dataType.simpleString()},"
         f"query_index {queries.schema['query_index'].dataType.simpleString()},k int,id {id_type},score double"
     )
-    search = _searcher(
-        [(r["query_id"], r["query_index"]) for r in rows], [r["vector"] for r in rows], [r["k"] for r in rows], wanted
-    )
-    return corpus.mapInPandas(search, schema)
+    found = corpus.mapInArrow(_searcher(blocks, max(1, block_bytes // (8 * (width or 0) + 256))), schema)
+    # a literal bound first, so that Spark limits rows per query before the shuffle
+    ranked = top_per_key(found, QUERY, [F.col("score").desc(), F.col("id")], largest or 0)
+    return ranked.filter(F.col("rank") <= F.col("k")).drop("k")
+
+
+def _with_shared_filters(corpus: DataFrame, queries: DataFrame, filter_columns: tuple[str, ...]) -> DataFrame:
+    """The points that any query may see, where at most FILTER_SETS different filters say so."""
+    rules = [tuple((e["key"], e["value"]) for e in r["rule"]) for r in queries.select("rule").distinct().limit(FILTER_SETS + 1).collect()]
+    named = queries.select(F.explode("rule.key").alias("c")).distinct().filter(~F.col("c").isin(list(filter_columns))).limit(5).collect()
+    if named:
+        raise ValueError(f"no such filter columns: {sorted(r['c'] for r in named)}")
+    if not rules or () in rules or len(rules) > FILTER_SETS:
+        return corpus
+    return corpus.filter(_any_choice(set(rules)))
 
 
 def _any_choice(choices: set[tuple]) -> Column:
@@ -113,70 +88,44 @@ def _any_choice(choices: set[tuple]) -> Column:
     return out
 
 
-class _Best:
-    """The best k points of each query of one filter set: flat arrays, ordered by query, score and id."""
-
-    def __init__(self, matrix: np.ndarray, k: int):
-        self.matrix, self.k = matrix, k
-        self.floor = np.full(len(matrix), -np.inf)
-        self.query, self.ids, self.score = np.empty(0, np.int64), None, np.empty(0)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, SCORE_BYTES // (8 * len(self.matrix)))
-        for i in range(0, len(ids), step):
-            scores = np.round(self.matrix @ vectors[i : i + step].T, 6)
-            least = self.floor
-            if scores.shape[1] > self.k:
-                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
-            query, at = np.nonzero(scores >= least[:, None])
-            near = ids[i : i + step][at]
-            query, score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[query, at]])
-            near = near if self.ids is None else np.concatenate([self.ids, near])
-            order = np.lexsort((near, -score, query))
-            query, near, score = query[order], near[order], score[order]
-            place = np.arange(len(query)) - np.searchsorted(query, query)
-            last = place == self.k - 1
-            self.floor[query[last]] = score[last]
-            kept = place < self.k
-            self.query, self.ids, self.score = query[kept], near[kept], score[kept]
-
-
-def _searcher(keys: list, vectors: list, ks: list, wanted: list[tuple]) -> Callable:
-    """Per-task search: best k ids and scores per query over all batches of the task, one filter set at a time."""
-    matrix = np.asarray(vectors, dtype=np.float64) if vectors else np.zeros((0, 1))
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(norms == 0, 1.0, norms)
-    members: dict[tuple, list[int]] = {}
-    for q, rule in enumerate(wanted):
-        members.setdefault(rule, []).append(q)
-    asked = pd.DataFrame({"query_id": [k[0] for k in keys], "query_index": [k[1] for k in keys], "k": ks})
-    largest = max([1, *(k or 0 for k in ks)])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = {rule: _Best(matrix[at], largest) for rule, at in members.items()}
-        for batch in batches:
-            if not len(batch) or not len(keys):
-                continue
-            ids = batch["id"].to_numpy()
-            ids = ids.astype(str) if ids.dtype == object else ids
-            block = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            lengths = np.linalg.norm(block, axis=1)
-            block = block / np.where(lengths == 0, 1.0, lengths)[:, None]
-            for rule, kept in best.items():
-                mask = np.ones(len(ids), dtype=bool)
-                for column, value in rule:
-                    mask &= (batch[column] == value).to_numpy(dtype=bool)
-                if mask.any():
-                    kept.add(ids[mask], block[mask])
-        for rule, kept in best.items():
-            if kept.ids is not None and len(kept.ids):
-                out = asked.iloc[np.asarray(members[rule])[kept.query]].reset_index(drop=True)
-                ids = kept.ids.astype(object) if kept.ids.dtype.kind == "U" else kept.ids
-                yield out.assign(id=ids, score=kept.score + 0.0)
+def _searcher(blocks: BlockTable, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task: the best k points of every query in each slice of the task's points."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE_BYTES):
+            ids = pa.concat_arrays(part.column("id").chunks)
+            vectors = pa.concat_arrays(part.column("embedding").chunks).flatten().to_numpy(zero_copy_only=False)
+            ranks = np.empty(len(ids), np.int64)
+            ranks[np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(ids))
+            clusters, masks = Clusters(vectors.reshape(len(ids), -1), ranks), {}
+            for block in blocks.blocks(rows):
+                members: dict[tuple, list[int]] = {}
+                for q, entries in enumerate(block.column("rule").to_pylist()):
+                    members.setdefault(tuple((e["key"], e["value"]) for e in entries), []).append(q)
+                for rule, at in members.items():
+                    if rule not in masks:
+                        masks = masks if len(masks) < FILTER_SETS else {}
+                        masks[rule] = _mask(part, rule)
+                    asked = block.take(pa.array(at))
+                    queries = asked.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                    query, point, score = clusters.best(queries, asked.column("k").to_numpy(zero_copy_only=False), masks[rule])
+                    if len(query):
+                        of_query = asked.select([*QUERY, "k"]).take(pa.array(query))
+                        columns = [*of_query.columns, ids.take(pa.array(point)), pa.array(score)]
+                        yield pa.record_batch(columns, names=[*QUERY, "k", "id", "score"])
 
     return search
 
 
+def _mask(part: pa.Table, rule: tuple) -> np.ndarray | None:
+    """Points that have the values of the rule; None for all."""
+    out = None
+    for column, value in rule:
+        same = pc.fill_null(pc.equal(part.column(column), value), False).to_numpy()
+        out = same if out is None else out & same
+    return out
+
+
 def with_payload(hits: DataFrame, points: DataFrame) -> DataFrame:
     """Join the stored fields back for the ranked rows only; vectors stay behind."""
     return hits.join(points.drop("embedding"), "id")

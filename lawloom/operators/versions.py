@@ -27,8 +27,7 @@ def link_versions(uploads: DataFrame, existing: DataFrame | None = None) -> Data
 
     Numbers continue after the latest existing version; each version names the one before it.
     """
-    batch = ordered.numbered(uploads, ["document_id"], ["upload_no"], "rn")
-    batch = ordered.previous(batch, ["document_id"], ["upload_no"], F.col("version_id"), "in_batch")
+    batch = ordered.scan(uploads, ["document_id"], ["upload_no"], number="rn", before={"in_batch": F.col("version_id")})
     if existing is None:
         latest = None
         base, before = F.lit(0).cast("bigint"), F.lit(None).cast("string")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lawloom.operators import retrieval as R
 from lawloom.operators import routing as Q
+from lawloom.operators.nearest import Clusters, unit_rows
 
 SCHEMA_P = "id long, embedding array<float>, kind string, n string"
 SCHEMA_Q = "query_id long, query_index int, vector array<double>, k int, filters map<string,string>"
@@ -188,3 +189,34 @@ def test_one_failing_batch_falls_back_for_its_queries_only(spark):
     assert [(r.query_id, r.id, r.rerank_model) for r in out] == [
         (1, 2, "lexical_overlap"), (1, 1, "lexical_overlap"), (2, 4, R.FALLBACK_MODEL), (2, 3, R.FALLBACK_MODEL)
     ]
+
+
+def test_clusters_skip_and_stay_exact():
+    """Points in tight groups: most clusters are skipped, and the best k are those of the full sort, ties included."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    vectors = np.concatenate([c + rng.normal(scale=0.05, size=(100, 16)) for c in centres])
+    vectors[50:60] = vectors[40]
+    vectors[7] = 0
+    queries = np.concatenate([centres, vectors[40:44], np.zeros((1, 16))])
+    for order in (np.arange(len(vectors)), rng.permutation(len(vectors))):
+        clusters = Clusters(vectors, order)
+        ks = np.array([1 + q % 9 for q in range(len(queries))])
+        mask = rng.random(len(vectors)) < 0.7
+        for kept in (None, mask):
+            query, point, score = clusters.best(queries, ks, kept)
+            scores = np.round(unit_rows(queries) @ unit_rows(vectors).T, 6)
+            for q in range(len(queries)):
+                usable = [i for i in range(len(vectors)) if kept is None or kept[i]]
+                want = sorted(usable, key=lambda i: (-scores[q, i], order[i]))[: ks[q]]
+                assert point[query == q].tolist() == want and score[query == q].tolist() == (scores[q, want] + 0.0).tolist()
+    assert clusters.skipped > 5 * clusters.visited
+
+
+def test_points_are_read_once(spark):
+    """Many blocks of queries, one scan of the points."""
+    _, points = corpus(spark)
+    rows = [(i, 0, [1.0] * 7 + [float(i)], 2, None) for i in range(200)]
+    out = R.vector_topk(points, spark.createDataFrame(rows, SCHEMA_Q), (), block_bytes=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and out.count() == 400

@@ -46,10 +46,10 @@ def test_tables(one):
         "<tr><td>1</td></tr></table>"
     )
     expected = "\n| A | B\\|C - D | E |\n| --- | --- | --- |\n| 1 |  |  |\n"
-    assert table_markdown(html) == expected
+    assert one(html, table_markdown) == expected
     assert one(f"x {html} y", html_tables_to_markdown) == f"x {expected} y"
-    assert table_markdown("<table><tr><th>a &amp; b</th></tr></table>") == "\n| a & b |\n| --- |\n"
-    assert table_markdown("<table></table>") == "<table></table>"
+    assert one("<table><tr><th>a &amp; b</th></tr></table>", table_markdown) == "\n| a & b |\n| --- |\n"
+    assert one("<table></table>", table_markdown) == "<table></table>"
 
 
 def test_html_blocks(one):
