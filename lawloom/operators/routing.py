@@ -335,3 +335,17 @@ def answer_prompt(question: Column, context: Column, history: Column, now: Colum
 def low_context_prompt(question: Column, history: Column, now: Column, instructions: str = "") -> Column:
     past = F.concat(F.lit("[CHAT_HISTORY]\n"), F.nullif(history, F.lit("")), F.lit("\n[/CHAT_HISTORY]"))
     return F.concat_ws("\n\n", time_context(now), past, F.nullif(F.lit(instructions), F.lit("")), question)
+
+
+# Labels of the question in the prompts that expand and route it.
+EXPAND_LABEL, ROUTE_LABEL = "Câu hỏi cần mở rộng: ", "Câu hỏi: "
+
+
+def expand_prompt(question: Column, now: Column, instructions: str = "") -> Column:
+    """Time, instructions and the question to write search queries for (see ``expansion_list`` for the answer)."""
+    return F.concat_ws("\n\n", time_context(now), F.nullif(F.lit(instructions), F.lit("")), F.concat(F.lit(EXPAND_LABEL), question))
+
+
+def route_prompt(question: Column, now: Column, instructions: str = "") -> Column:
+    """Time, instructions and the question to route (see ``model_decision`` for the answer)."""
+    return F.concat_ws("\n\n", time_context(now), F.nullif(F.lit(instructions), F.lit("")), F.concat(F.lit(ROUTE_LABEL), question))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lawloom.functions.text import clean
 from lawloom.operators import ordered
 
+# The job states `pending`, `processing`, `completed` and `failed` below, and the sentences of upload checks.
 MAX_RETRIES = 3
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 # Accepted upload types.

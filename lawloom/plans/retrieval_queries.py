@@ -299,6 +299,18 @@ def ret_29_prompts(spark, sf_dir):
     return q.select("session_id", Q.answer_prompt(F.col("question"), F.lit("ctx"), F.col("history"), now).alias("prompt"))
 
 
+@query
+def ret_29_model_prompts(spark, sf_dir):
+    """Prompts for every user question: to expand it, to route it, and to answer it without context."""
+    q = I.questions(spark, sf_dir)
+    now = F.lit("2024-05-06 20:30:00").cast("timestamp")
+    asked = F.col("question")
+    return q.select(
+        "conv_id", "turn", Q.expand_prompt(asked, now, "expand").alias("expand"), Q.route_prompt(asked, now, "route").alias("route"),
+        Q.low_context_prompt(asked, F.lit(None).cast("string"), now, "low").alias("low"),
+    )
+
+
 @query
 def ret_30_answer_batch(spark, sf_dir):
     """Questions (mean vectors of each label) to cited context: search, fallback ranking, citations."""

@@ -15,19 +15,23 @@ VERSIONS = "version_id string, checksum string, error string, batch int"
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
     """The newest stored state of every version."""
     try:
-        rows = spark.read.schema(VERSIONS).parquet(f"{folder}/versions")
-    except AnalysisException:
-        rows = spark.createDataFrame([], VERSIONS)
-    return rows
+        return spark.read.schema(VERSIONS).parquet(f"{folder}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VERSIONS)
 
 
 def _newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("version_id").agg(F.max_by(F.struct("checksum", "error", "batch"), "batch").alias("r")).select("version_id", "r.*")
 
 
-def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int = 64) -> None:
+def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int = 64, order: str | None = None) -> None:
     """Ingest a stream of (doc_id, text, carried fields) until no more input is there.
 
+    Of several texts of one version in a micro-batch the last by the column `order` counts (a version number or an arrival
+    time), of those the one with the largest checksum; without `order` the checksum alone decides.
+
     A version is ingested when it is new or its text has changed; the stored checksums tell, so no state grows in the
     stream, and a stopped stream goes on where it was. Every micro-batch writes its own directories, so a repeated one
     replaces its output. Versions without text are stored with an error and do not stop the stream.
@@ -36,9 +40,9 @@ def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int =
 
     def step(batch: DataFrame, batch_id: int) -> None:
         checksum = F.sha2(F.coalesce("text", F.lit("")), 256)
-        one = batch.withColumn("checksum", checksum).groupBy("version_id").agg(
-            F.max_by(F.struct("doc_id", "text", *[c for c in CARRY if c != "version_id"], "checksum"), "checksum").alias("r")
-        ).select("version_id", "r.*")
+        row = F.struct("doc_id", "text", *[c for c in CARRY if c != "version_id"], "checksum")
+        last = F.struct(*([F.col("__order")] if order else []), F.col("checksum"))
+        one = batch.withColumn("checksum", checksum).groupBy("version_id").agg(F.max_by(row, last).alias("r")).select("version_id", "r.*")
         known = _newest(_versions(spark, folder).filter(F.col("batch") < batch_id)).select("version_id", "checksum")
         fresh = one.join(known, ["version_id", "checksum"], "left_anti")
         error = F.when(blank_to_null(F.col("text")).isNull(), F.lit("No text"))
@@ -47,7 +51,7 @@ def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int =
         found.sortWithinPartitions("chunk_kind", "article_number").write.mode("overwrite").parquet(f"{folder}/points/batch={batch_id}")
 
     job = (
-        documents.select("doc_id", "text", *CARRY)
+        documents.select("doc_id", "text", *CARRY, *([F.col(order).alias("__order")] if order else []))
         .writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     job.awaitTermination()

@@ -116,7 +116,9 @@ def _newest(spark: SparkSession, table: str, schema: str, keys: list[str], befor
 def _has_table(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
     return True
 

@@ -952,6 +952,16 @@ add(
       '[CONTEXT]' || chr(10) || 'ctx' || chr(10) || '[/CONTEXT]', '[QUESTION]' || chr(10) || question || chr(10) || '[/QUESTION]') AS prompt
     FROM asked a LEFT JOIN pasts USING (session_id)""",
 )
+_now = """'Ngày hiện tại: 07/05/2024' || chr(10) || 'Giờ hiện tại: 03:30:00' || chr(10) || 'Múi giờ: Asia/Ho_Chi_Minh'
+  || chr(10) || 'Tháng hiện tại: 5' || chr(10) || 'Năm hiện tại: 2024'"""
+add(
+    "ret_29_model_prompts",
+    f"""SELECT conv_id, turn,
+    concat_ws(chr(10) || chr(10), {_now}, 'expand', 'Câu hỏi cần mở rộng: ' || question) AS expand,
+    concat_ws(chr(10) || chr(10), {_now}, 'route', 'Câu hỏi: ' || question) AS route,
+    concat_ws(chr(10) || chr(10), {_now}, 'low', question) AS low
+    FROM questions""",
+)
 _vowel = lambda v: f"(length(text) - length(replace(text, '{v}', '')))::DOUBLE"
 _norm = "sqrt(" + " + ".join(f"{_vowel(v)} * {_vowel(v)}" for v in "aeiou") + ")"
 add(

@@ -94,3 +94,17 @@ def test_ingest_stream_takes_changes_and_goes_on(spark, tmp_path):
     assert sorted((r.version_id, r.article_number) for r in ingest.current_points(spark, out).collect()) == [("v1", "7"), ("v2", "9"), ("v3", "2")]
     assert ingest.ingest_errors(spark, out).count() == 0
     assert spark.read.parquet(f"{out}/points").filter("version_id = 'v3'").select("batch").distinct().count() == 1
+
+
+def test_the_last_text_of_a_version_counts(spark, tmp_path):
+    """Several texts of one version in one micro-batch: the order column decides, not the checksum."""
+    schema = "doc_id long, text string, title string, version_id string, upload_no int"
+    folder = str(tmp_path / "in")
+    os.makedirs(folder)
+    rows = [(1, f"Điều {n}. A\nx", "T", "v1", at) for at, n in enumerate((4, 8, 3, 9, 5))]
+    for run, part in enumerate((rows, rows[::-1])):
+        out = str(tmp_path / f"out{run}")
+        arrive(spark, folder, part, schema, run)
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+        ingest.ingest_stream(stream, out, str(tmp_path / f"cp{run}"), dim=16, order="upload_no")
+        assert [r.article_number for r in ingest.current_points(spark, out).collect()] == ["5"]

@@ -175,3 +175,16 @@ def test_inner_headings(spark):
     for r in rows:
         assert (tuple(r.h) if r.h else None) == cases[r.t], r.t
         assert (r.a is not None) == (r.t == "2. Tên"), r.t
+
+
+def test_spans_of_tables_are_bounded(one):
+    wide = one("<table><tr><td colspan=3000000 rowspan=99999999>a</td><td>b</td></tr><tr><td>c</td></tr></table>", table_markdown)
+    header = wide.split("\n")[1].split(" | ")
+    assert len(header) == 1001 and header[0] == "| a" and header[-1] == "b - c |"
+    odd = "<table><tr><td colspan='0' rowspan=x>a<td colspan=2x>b<!-- <tr><td>no --></tr><tr></tr><tr><td>c</td>lost</table>"
+    assert one(odd, table_markdown) == "\n| a | b |\n| --- | --- |\n| c |  |\n"
+
+
+def test_a_cell_reaches_down_over_several_rows(one):
+    html = "<table><tr><td>h<td>i<td>j</tr><tr><td>k<td>l<td>m</tr><tr><td rowspan=3>A<td>1<td rowspan=2>B</tr><tr><td>2</tr><tr><td>3</tr></table>"
+    assert one(html, table_markdown) == "\n| h - k | i - l | j - m |\n| --- | --- | --- |\n| A | 1 | B |\n| A | 2 | B |\n| A | 3 |  |\n"
