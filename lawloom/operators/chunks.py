@@ -176,7 +176,7 @@ def chunk_metadata(title: Column, path: Column, has: set[str]) -> Column:
         "ocr_pages": doc("ocr_pages", "array<int>"),
         "chunk_kind": F.col("chunk_kind"),
         "status": F.lit("active"),
-        "is_current": F.lit(True),
+        "is_current": F.coalesce(doc("is_current", "boolean"), F.lit(True)),
         "part": F.col("part_title"),
         "chapter": F.col("chapter_title"),
         "section": F.col("section_title"),

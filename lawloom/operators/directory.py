@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lawloom.functions.text import any_accent, collapse, fold, let, normalize_text, strip
+from lawloom.functions.text import any_accent, collapse, fold, let, normalize_text, parser_line, strip, text_lines
 
 ID = "doc_id"
 
@@ -88,13 +89,17 @@ def is_valid_record(r: Column) -> Column:
     return F.coalesce(named & other.isNotNull(), F.lit(False))
 
 
-def directory_records(c: Column) -> Column:
-    """Valid records of a directory text, in order."""
-    blocks = F.filter(
+def _record_blocks(c: Column) -> Column:
+    """Texts between the rules of a directory, without its title."""
+    return F.filter(
         F.transform(F.split(c, RULE), normalize_text),
         lambda b: (b != "") & (strip(fold(b)) != DIRECTORY_TITLE),
     )
-    return F.filter(F.transform(blocks, directory_record), is_valid_record)
+
+
+def directory_records(c: Column) -> Column:
+    """Valid records of a directory text, in order."""
+    return F.filter(F.transform(_record_blocks(c), directory_record), is_valid_record)
 
 
 def unit_content(unit: Column, records: Column) -> Column:
@@ -147,3 +152,20 @@ def directory_chunks(docs: DataFrame, text: Column | None = None, carry: tuple[s
         "lecturer_unit",
         "lecturers",
     )
+
+
+def directory_lines(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """(doc_id, block_id, item, line): the lines of all records of a unit; item is the place of its first record."""
+    text = F.col("text") if text is None else text
+    pair = lambda b: F.struct(directory_record(b).alias("r"), b.alias("block"))
+    found = let(
+        text,
+        lambda t: F.when(is_directory(t), F.filter(F.transform(_record_blocks(t), pair), lambda x: is_valid_record(x["r"]))),
+    )
+    records = docs.select(ID, F.posexplode(found).alias("pos", "x")).withColumn(
+        "unit", F.coalesce(F.col("x.r.unit"), F.lit(UNKNOWN_UNIT))
+    )
+    first = F.min("pos").over(Window.partitionBy(ID, "unit"))
+    return records.withColumn("item", first.cast("bigint")).select(
+        ID, F.lit(0).cast("bigint").alias("block_id"), "item", F.explode(F.transform(text_lines(F.col("x.block")), parser_line)).alias("line")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions.text import collapse, fold, let, strip
+from lawloom.session import materialize
 
 ID = "doc_id"
 
@@ -243,33 +244,41 @@ def _content_mark(c: Column) -> Column:
     return let(F.split(c, " "), lambda t: F.when(F.size(t) > 2, longest(t)).otherwise(grams))
 
 
-def _contained(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(doc_id, small, large) pairs of distinct texts where ``small`` occurs in ``large``.
+def match_texts(line_texts: DataFrame, entry_texts: DataFrame) -> DataFrame:
+    """(doc_id, line, entry) of distinct folded texts that are equal or contain each other.
 
-    An equi join on marks finds the candidates. Only hashes pass through it; the texts join back to the
+    All texts of a document are one table that says on which side each occurs, so equal texts need no join. An equi join
+    on marks finds the candidates of both directions at once. Only hashes pass through it; the texts join back to the
     candidates, and the exact test runs on them.
     """
-    small = small.filter(F.length("small") >= MIN_CONTAINED).withColumn("s", F.xxhash64("small"))
-    large = large.filter(F.length("large") >= MIN_CONTAINED).withColumn("l", F.xxhash64("large"))
-    marks = large.select(ID, "l", F.explode(_container_marks(F.col("large"))).alias("mark"))
-    keyed = small.select(ID, "s", _content_mark(F.col("small")).alias("mark"))
-    pairs = keyed.join(marks, [ID, "mark"]).select(ID, "s", "l").distinct()
-    found = pairs.join(large, [ID, "l"]).join(small, [ID, "s"]).filter(F.contains("large", F.col("small")))
-    return found.select(ID, "small", "large")
-
-
-def match_texts(line_texts: DataFrame, entry_texts: DataFrame) -> DataFrame:
-    """(doc_id, line, entry) of distinct folded texts that are equal or contain each other."""
-    lines = line_texts.filter(F.length("line") >= MIN_LINE)
-    entries = entry_texts.filter(F.length("entry") >= MIN_ENTRY)
-    same = lines.join(entries.withColumn("line", F.col("entry")), [ID, "line"]).select(ID, "line", "entry")
-    inside = _contained(
-        lines.withColumnRenamed("line", "small"), entries.withColumnRenamed("entry", "large")
-    ).select(ID, F.col("small").alias("line"), F.col("large").alias("entry"))
-    around = _contained(
-        entries.withColumnRenamed("entry", "small"), lines.withColumnRenamed("line", "large")
-    ).select(ID, F.col("large").alias("line"), F.col("small").alias("entry"))
-    return same.unionByName(inside).unionByName(around).distinct()
+    side = lambda rows, c, least, line: rows.filter(F.length(c) >= least).select(
+        ID, F.col(c).alias("text"), F.lit(line).alias("line"), F.lit(not line).alias("entry")
+    )
+    sides = side(line_texts, "line", MIN_LINE, True).unionByName(side(entry_texts, "entry", MIN_ENTRY, False))
+    texts = materialize(
+        sides.groupBy(ID, "text").agg(F.max("line").alias("line"), F.max("entry").alias("entry"))
+        .withColumn("key", F.xxhash64("text")), "texts",
+    )
+    same = texts.filter("line AND entry").select(ID, F.col("text").alias("line"), F.col("text").alias("entry"))
+    named = lambda p: texts.filter(F.length("text") >= MIN_CONTAINED).select(
+        ID, *[F.col(c).alias(f"{p}_{c}") for c in ("text", "line", "entry", "key")]
+    )
+    flags = ["line", "entry", "key"]
+    outer = named("o").select(ID, *[f"o_{c}" for c in flags], F.explode(_container_marks(F.col("o_text"))).alias("mark"))
+    inner = named("i").select(ID, *[f"i_{c}" for c in flags], _content_mark(F.col("i_text")).alias("mark"))
+    across = (F.col("i_line") & F.col("o_entry")) | (F.col("i_entry") & F.col("o_line"))
+    pairs = inner.join(outer, [ID, "mark"]).filter(across & (F.col("i_key") != F.col("o_key"))).select(ID, "i_key", "o_key")
+    found = (
+        pairs.distinct()
+        .join(named("o"), [ID, "o_key"])
+        .join(named("i"), [ID, "i_key"])
+        .filter(F.contains("o_text", F.col("i_text")))
+    )
+    both = F.array(
+        F.when(F.col("i_line") & F.col("o_entry"), F.struct(F.col("i_text").alias("line"), F.col("o_text").alias("entry"))),
+        F.when(F.col("i_entry") & F.col("o_line"), F.struct(F.col("o_text").alias("line"), F.col("i_text").alias("entry"))),
+    )
+    return same.unionByName(found.select(ID, F.explode(F.array_compact(both)).alias("p")).select(ID, "p.*"))
 
 
 def lines_to_layout(lines: DataFrame, entries: DataFrame, unit: list[str]) -> DataFrame:
@@ -277,9 +286,11 @@ def lines_to_layout(lines: DataFrame, entries: DataFrame, unit: list[str]) -> Da
 
     Texts are matched once per document however often they repeat. ``lines``: doc_id, unit columns, line.
     """
-    folded = lines.select(ID, *unit, layout_match_text(F.col("line")).alias("line")).distinct()
-    boxes = entries.select(ID, F.col("folded").alias("entry"), "bbox", "page_idx", "page_size").distinct()
-    pairs = match_texts(folded.select(ID, "line").distinct(), boxes.select(ID, "entry").distinct())
+    folded = lines.select(ID, *unit, layout_match_text(F.col("line")).alias("line"))
+    folded = materialize(folded.filter(F.length("line") >= MIN_LINE).distinct(), "lines")
+    boxes = entries.select(ID, F.col("folded").alias("entry"), "bbox", "page_idx", "page_size")
+    boxes = materialize(boxes.filter(F.length("entry") >= MIN_ENTRY).distinct(), "entries")
+    pairs = match_texts(folded.select(ID, "line"), boxes.select(ID, "entry"))
     found = folded.join(pairs, [ID, "line"]).join(boxes, [ID, "entry"])
     return found.select(ID, *unit, "bbox", "page_idx", "page_size").distinct()
 
@@ -305,20 +316,18 @@ def layout_payload(matches: DataFrame, unit: list[str]) -> DataFrame:
 
 
 def attach_layout(parsed: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """Layout of each parsed chunk. ``lines``: doc_id, block_id, item, line; item is NULL for lines that count for
-    every chunk of their block."""
-    per_block = layout_payload(
-        lines_to_layout(lines.filter("item IS NULL"), entries, ["block_id"]), ["block_id"]
-    ).withColumn("item", F.lit(None).cast("bigint"))
-    per_item = layout_payload(
-        lines_to_layout(lines.filter("item IS NOT NULL"), entries, ["block_id", "item"]), ["block_id", "item"]
-    )
-    found = per_block.unionByName(per_item)
-    keyed = parsed.withColumn("__item", F.when(F.col("block_id") == 0, F.col("item")))
-    return (
-        keyed.join(
-            found.withColumnsRenamed({"item": "__i", ID: "__d", "block_id": "__b"}),
-            (F.col(ID) == F.col("__d")) & (F.col("block_id") == F.col("__b")) & F.col("__item").eqNullSafe(F.col("__i")),
-            "left",
-        ).drop("__item", "__i", "__d", "__b")
-    )
+    """Boxes, page sizes and page numbers of each parsed chunk; NULL where no line matches.
+
+    ``lines``: doc_id, block_id, item, line; item is NULL for lines that count for every chunk of their block. A chunk of
+    block 0 takes the boxes of all its ``items`` (of its item, where ``parsed`` has no such column or it is NULL).
+    """
+    matches = lines_to_layout(lines, entries, ["block_id", "item"])
+    own = F.array("item")
+    items = F.coalesce("items", own) if "items" in parsed.columns else own
+    units = parsed.filter("block_id = 0").select(ID, F.col("item").alias("head"), F.explode(items).alias("item"))
+    free = matches.filter("block_id = 0").join(units, [ID, "item"]).withColumn("item", F.col("head")).drop("head")
+    found = layout_payload(matches.filter("block_id > 0").unionByName(free.select(matches.columns)), ["block_id", "item"])
+    found = found.withColumnsRenamed({ID: "__d", "block_id": "__b", "item": "__i"})
+    item = F.when(F.col("block_id") == 0, F.col("item"))
+    same = (F.col(ID) == F.col("__d")) & (F.col("block_id") == F.col("__b")) & item.eqNullSafe(F.col("__i"))
+    return parsed.join(found, same, "left").drop("__d", "__b", "__i")

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from lawloom.functions import legal as L
 from lawloom.functions import text as T
 from lawloom.functions.tables import html_tables_to_markdown
-from lawloom.operators.directory import directory_chunks, is_directory, may_be_directory
+from lawloom.operators.directory import directory_chunks, directory_lines, is_directory, may_be_directory
 
 ID = "doc_id"
 # Split after each line break, so that the pieces still add up to the text.
@@ -432,9 +432,10 @@ def section_groups(chunks: Column, max_chars: int, min_chars: int) -> Column:
 
 
 def merge_small_sections(
-    parsed: DataFrame, max_chars: int = L.MAX_CHUNK_CHARS, min_chars: int = L.MIN_SECTION_CHARS
+    parsed: DataFrame, max_chars: int = L.MAX_CHUNK_CHARS, min_chars: int = L.MIN_SECTION_CHARS, keep_items: bool = False
 ) -> DataFrame:
-    """Merge neighbouring section chunks while the left one is small; other chunks pass unchanged.
+    """Merge neighbouring section chunks while the left one is small; other chunks pass unchanged. With ``keep_items``
+    each chunk lists in ``items`` the items that it was merged from.
 
     Every step is keyed by the document, so the chunks stay where the parser left them.
     """
@@ -459,10 +460,12 @@ def merge_small_sections(
         F.expr("listagg(piece, '\\n\\n') WITHIN GROUP (ORDER BY rn)").alias("merged"),
         F.expr("listagg(section_path, ' > ') WITHIN GROUP (ORDER BY rn)").alias("path"),
         F.count("*").alias("parts"),
+        *([F.array_sort(F.collect_set("item")).alias("items")] if keep_items else []),
     )
     text = F.when(F.col("parts") > 1, T.normalize_text(F.col("merged"))).otherwise(F.col("head.content"))
     kept = {"content": text, "section_path": F.col("path")}
-    return merged.select(ID, *[kept.get(c, F.col(f"head.{c}")).alias(c) for c in parsed.columns if c != ID])
+    more = ["items"] if keep_items else []
+    return merged.select(ID, *[kept.get(c, F.col(f"head.{c}")).alias(c) for c in parsed.columns if c != ID], *more)
 
 
 def _by_position(left: Column, right: Column) -> Column:
@@ -487,12 +490,44 @@ def parse_documents(
     carry: tuple[str, ...] = (),
     max_chars: int = L.MAX_CHUNK_CHARS,
     min_section_chars: int = L.MIN_SECTION_CHARS,
+    prepared: bool = False,
+    keep_items: bool = False,
 ) -> DataFrame:
-    """Parsed, numbered chunks of every document: directory, major blocks, numbered headings, or one chunk."""
+    """Parsed, numbered chunks of every document: directory, major blocks, numbered headings, or one chunk. Texts that
+    `prepare_text` has repaired before are marked by ``prepared``."""
     source = docs.select(ID, *carry, F.col(text).alias("text"))
-    ready = prepare_text(F.col("text"))
+    ready = F.col("text") if prepared else prepare_text(F.col("text"))
     directory = directory_chunks(source.filter(may_be_directory(F.col("text"))), ready, carry)
     lines = document_lines(source, ready, carry, skip_directories=True)
     parsed = parse_items(item_lines(block_lines(line_events(lines)), max_chars))
-    merged = merge_small_sections(parsed, max_chars, min_section_chars)
+    merged = merge_small_sections(parsed, max_chars, min_section_chars, keep_items)
     return number_chunks(merged).unionByName(number_chunks(directory), allowMissingColumns=True)
+
+
+def layout_lines(docs: DataFrame, text: str = "text", prepared: bool = False) -> DataFrame:
+    """(doc_id, block_id, item, line): the lines whose page boxes belong to a chunk.
+
+    The title and the lines of a block count for all its chunks (item is NULL). In documents without blocks block_id is 0:
+    a heading item has its own lines, the first one also those before it; a text without headings is item 0; the chunk of
+    a directory's unit, named by its first record, has the lines of its records.
+    """
+    source = docs.select(ID, F.col(text).alias("text"))
+    ready = F.col("text") if prepared else prepare_text(F.col("text"))
+    state = block_lines(line_events(document_lines(source, ready, skip_directories=True)))
+    whole = Window.partitionBy(ID)
+    headed = F.col("headings") > 0
+    units = (
+        state.withColumn("has_block", F.max("content").over(whole))
+        .withColumn("heading", L.accepted_heading(F.col("line"), "roman", "numbered", "clause").isNotNull())
+        .withColumn("headings", F.count(F.when(F.col("heading"), True)).over(whole))
+        .withColumn("so_far", F.count(F.when(F.col("heading"), True)).over(_up_to()))
+        .filter(F.col("line").isNotNull() & (~F.col("has_block") | F.col("opens") | F.col("content")))
+        .select(
+            ID,
+            F.when(F.col("has_block"), F.col("block_id")).otherwise(0).cast("bigint").alias("block_id"),
+            F.when(~F.col("has_block"), F.when(headed, F.greatest("so_far", F.lit(1))).otherwise(0)).cast("bigint").alias("item"),
+            F.when(F.col("has_block") | ~headed, F.col("line")).otherwise(T.parser_line(F.col("line"))).alias("line"),
+        )
+    )
+    directories = directory_lines(source.filter(may_be_directory(F.col("text"))), ready)
+    return units.unionByName(directories).filter(F.col("line").isNotNull())

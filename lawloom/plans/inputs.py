@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.operators import versions as V
@@ -284,6 +284,23 @@ def layout_rows(spark, sf_dir) -> DataFrame:
     )
 
 
+def layout_json(lines: DataFrame, spans: Column) -> DataFrame:
+    """(doc_id, layout): lines as layout JSON, ten lines a page, one block a line with the given spans."""
+    y = (F.col("line_no") % 10 * 10).cast("double")
+    bbox = F.array(F.lit(0.0), y, F.lit(500.0), y + 9)
+    block = F.struct(bbox.alias("bbox"), F.array(F.struct(bbox.alias("bbox"), spans.alias("spans"))).alias("lines"))
+    pages = (
+        lines.withColumn("block", block)
+        .groupBy("doc_id", F.expr("CAST(line_no div 10 AS INT)").alias("page_idx"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "block"))).alias("b"))
+    )
+    size = F.array(F.lit(595.0), F.lit(842.0)).alias("page_size")
+    page = F.struct("page_idx", size, F.transform("b", lambda x: x["block"]).alias("para_blocks"))
+    per_doc = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", page.alias("p")))).alias("ps"))
+    info = F.transform("ps", lambda x: x["p"])
+    return per_doc.select("doc_id", F.to_json(F.struct(info.alias("pdf_info"))).alias("layout"))
+
+
 QUESTION_TAIL = """
 CASE turn % 8 WHEN 0 THEN concat(text, ' Điều ', CAST(conv_id % 30 AS {text}), ' quy định gì')
 WHEN 2 THEN concat(text, ' Phụ lục ', CAST(conv_id % 9 + 1 AS {text}))

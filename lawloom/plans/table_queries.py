@@ -53,26 +53,13 @@ def src_3_ocr_pages(spark, sf_dir):
 
 def layout_documents(spark, sf_dir):
     """Documents as layout JSON: ten lines a page, one block a line, its two halves as spans."""
-    d = I.table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     cut = F.expr("CAST(length(line) div 2 AS INT)")
     y = (F.col("line_no") % 10 * 10).cast("double")
     span = lambda text, x0, x1: F.struct(
         F.lit("text").alias("type"), text.alias("content"), F.array(F.lit(x0), y, F.lit(x1), y + 9).alias("bbox")
     )
     halves = F.array(span(F.left("line", cut), 0.0, 250.0), span(F.expr("substring(line, length(line) div 2 + 1)"), 250.0, 500.0))
-    bbox = F.array(F.lit(0.0), y, F.lit(500.0), y + 9)
-    block = F.struct(bbox.alias("bbox"), F.array(F.struct(bbox.alias("bbox"), halves.alias("spans"))).alias("lines"))
-    pages = (
-        lines.withColumn("block", block)
-        .groupBy("doc_id", F.expr("CAST(line_no div 10 AS INT)").alias("page_idx"))
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "block"))).alias("b"))
-    )
-    size = F.array(F.lit(595.0), F.lit(842.0)).alias("page_size")
-    page = F.struct("page_idx", size, F.transform("b", lambda x: x["block"]).alias("para_blocks"))
-    per_doc = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", page.alias("p")))).alias("ps"))
-    info = F.transform("ps", lambda x: x["p"])
-    return per_doc.select("doc_id", F.to_json(F.struct(info.alias("pdf_info"))).alias("layout"))
+    return I.layout_json(I.plain_lines(I.table(spark, sf_dir, "documents")), halves)
 
 
 @query

@@ -11,7 +11,9 @@ from lawloom.operators import chunks as C
 from lawloom.operators import directory as D
 from lawloom.operators import layout as Y
 from lawloom.operators import segmentation as S
+from lawloom.operators import versions as V
 from lawloom.plans import inputs as I
+from lawloom.plans.ingest import laid_out_chunks
 from lawloom.plans.registry import query
 
 
@@ -376,9 +378,32 @@ def chunk_table(spark, sf_dir):
     return C.build_chunks(S.parse_documents(chunk_documents(spark, sf_dir), carry=CARRY))
 
 
+def laid_out_chunk_table(spark, sf_dir):
+    """Chunks of legal texts with the pages and boxes of their lines: each text is laid out ten lines a page."""
+    d = I.legal(spark, sf_dir)
+    lines = I.plain_lines(d)
+    whole = F.array(F.struct(F.lit("text").alias("type"), F.col("line").alias("content")))
+    current = V.with_is_current(I.versions(spark, sf_dir)).select("version_id", "is_current")
+    number = F.col("doc_id")
+    docs = chunk_documents(spark, sf_dir).join(current, "version_id").withColumns(
+        {
+            "previous_version_number": F.when(F.col("previous_version_id").isNotNull(), F.col("version_no") - 1),
+            "file_name": F.concat(number.cast("string"), F.lit(".txt")),
+            "page_count": F.ceil(F.size(F.split("text", "\n")) / 10).cast("int"),
+            "ocr_enabled": number % 2 == 0,
+            "force_ocr": number % 10 == 0,
+            "ocr_pages": F.when(number % 2 == 0, F.array(F.lit(1))),
+        }
+    )
+    carry = (*CARRY, "previous_version_number", "file_name", "page_count", "ocr_enabled", "force_ocr", "ocr_pages", "is_current")
+    return laid_out_chunks(docs, carry, I.layout_json(lines, whole))
+
+
 @query
 def str_25_chunk_rows(spark, sf_dir):
-    return chunk_table(spark, sf_dir).select("chunk_id", "document_id", "version_id", "chunk_index", "total_chunks")
+    return laid_out_chunk_table(spark, sf_dir).select(
+        "chunk_id", "document_id", "version_id", "chunk_index", "total_chunks", "page_number", "page_end"
+    )
 
 
 @query
@@ -393,9 +418,19 @@ def str_27_chunk_texts(spark, sf_dir):
 
 @query
 def str_28_chunk_metadata(spark, sf_dir):
-    shown = (
-        "chunk_kind", "doc_title", "chunk_title", "section_path", "version_number", "previous_version_id", "chapter",
-        "article_title", "article_number", "appendix_number", "is_amendment", "source_article_number", "change_type",
-        "amendment_order_number", "heading_number", "status",
-    )
-    return chunk_table(spark, sf_dir).select("chunk_id", *[f"metadata.{c}" for c in shown])
+    """All fields of the metadata; lists and maps as text."""
+    m = F.col("metadata")
+    listed = lambda c: F.array_join(c, ",")
+    box = lambda b: F.concat(F.array_join(b["bbox"], ","), F.lit("@"), b["page_idx"])
+    size = lambda e: F.concat_ws("x", F.concat(e["key"], F.lit(":"), e["value"]["width"]), e["value"]["height"])
+    texts = {
+        "ocr_pages": listed(m["ocr_pages"]),
+        "bboxes": F.array_join(F.transform(m["bboxes"], box), "|"),
+        "page_sizes": F.array_join(F.transform(F.map_entries(m["page_sizes"]), size), ","),
+        "page_indices": listed(m["page_indices"]),
+        "lecturers": F.to_json(m["lecturers"]),
+        **{c: listed(m[c]) for c in ("lecturer_names", "lecturer_emails", "lecturer_phones")},
+    }
+    chunks = laid_out_chunk_table(spark, sf_dir)
+    fields = chunks.schema["metadata"].dataType.names
+    return chunks.select("chunk_id", *[texts.get(c, m[c]).alias(c) for c in fields])

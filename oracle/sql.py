@@ -274,7 +274,35 @@ CTES["chunk_texts"] = f"""SELECT *, CASE chunk_kind
     'Cấp mục: ' || heading_level, 'Mục cha: ' || nullif(section_title, ''), 'Tiêu đề mục: ' || title, 'Nội dung:', content)
   ELSE concat_ws(chr(10), head, 'Loại chunk: ' || chunk_kind, 'Tiêu đề: ' || title, 'Nội dung:', content) END AS chunk_text
   FROM (SELECT *, 'Tài liệu: Document ' || doc_id AS head FROM chunk_rows)"""
-add("str_25_chunk_rows", "SELECT chunk_id, doc_id AS document_id, version_id, chunk_index, total_chunks FROM chunk_rows")
+# Pages and boxes: every line of a legal text lies on a page of ten lines; lines of blocks and items are matched to them.
+CTES["unit_lines"] = f"""SELECT doc_id, block_id, CAST(NULL AS BIGINT) AS item, line
+  FROM (SELECT *, bool_or(content) OVER (PARTITION BY doc_id) AS has_block FROM blocks_of_lines)
+  WHERE has_block AND (opens OR content) AND line IS NOT NULL
+  UNION ALL SELECT doc_id, 0, item, CASE WHEN branch = 'section' THEN {parser_line('line')} ELSE line END
+  FROM itemed WHERE NOT has_block AND line IS NOT NULL"""
+CTES["unit_keys"] = f"SELECT DISTINCT doc_id, block_id, item, {fold(collapse('line'))} AS lf FROM unit_lines"
+CTES["legal_entries"] = f"SELECT doc_id, line_no AS at, {fold(collapse('line'))} AS ef FROM legal_plain"
+CTES["unit_boxes"] = """SELECT DISTINCT u.doc_id, u.block_id, u.item, e.at % 10 * 10 AS y, e.at // 10 AS page
+  FROM unit_keys u JOIN legal_entries e ON e.doc_id = u.doc_id AND length(u.lf) >= 10 AND length(e.ef) >= 8
+    AND (e.ef = u.lf OR (length(u.lf) >= 20 AND contains(e.ef, u.lf)) OR (length(e.ef) >= 20 AND contains(u.lf, e.ef)))"""
+CTES["chunk_items"] = """SELECT s.doc_id, s.item, first_value(s.item) OVER (PARTITION BY s.doc_id, f.grp ORDER BY s.pos) AS head
+  FROM seq s JOIN fold_steps f USING (doc_id, pos) WHERE s.block_id = 0"""
+CTES["chunk_boxes"] = """SELECT b.doc_id, b.block_id, c.head AS item, b.y, b.page
+  FROM unit_boxes b JOIN chunk_items c ON c.doc_id = b.doc_id AND c.item = b.item WHERE b.block_id = 0
+  UNION SELECT doc_id, block_id, NULL, y, page FROM unit_boxes WHERE block_id > 0"""
+CTES["chunk_pages"] = """SELECT doc_id, block_id, item, min(page) + 1 AS page_start, max(page) + 1 AS page_end,
+  string_agg('0.0,' || y || '.0,500.0,' || (y + 9) || '.0@' || page, '|' ORDER BY page, y) AS bboxes,
+  array_to_string(list_transform(list_sort(list_distinct(list(page))), lambda p: p || ':595.0x842.0'), ',') AS page_sizes,
+  array_to_string(list_sort(list_distinct(list(page))), ',') AS page_indices
+  FROM chunk_boxes GROUP BY doc_id, block_id, item"""
+CTES["paged_chunks"] = """SELECT c.*, p.page_start, p.page_end, p.bboxes, p.page_sizes, coalesce(p.page_indices, '') AS page_indices
+  FROM chunk_rows c LEFT JOIN chunk_pages p ON p.doc_id = c.doc_id AND p.block_id = c.block_id
+    AND p.item IS NOT DISTINCT FROM (CASE WHEN c.block_id = 0 THEN c.item END)"""
+add(
+    "str_25_chunk_rows",
+    """SELECT chunk_id, doc_id AS document_id, version_id, chunk_index, total_chunks, page_start AS page_number, page_end
+    FROM paged_chunks""",
+)
 add(
     "str_26_chunk_paths",
     """SELECT doc_id AS document_id, chunk_index, chunk_type, chunk_title AS title, chunk_path AS section_path
@@ -934,14 +962,29 @@ add(
     r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\n(Điều \d+\.)', ' \1', 'g'),
     '([^\s])[ ]+((?:điều|dieu|Điều|ĐIỀU)\s+\d+[a-zA-Z]?\s*[.:]\s*)', '\1' || chr(10) || '\2', 'g') AS text FROM legal""",
 )
+_only = lambda cond, c: f"CASE WHEN {cond} THEN {c} END"
+_amendment = "c.chunk_kind = 'amendment'"
 add(
     "str_28_chunk_metadata",
-    """SELECT c.chunk_id, c.chunk_kind, 'Document ' || c.doc_id AS doc_title, c.chunk_title, c.chunk_path AS section_path,
-    v.version_no AS version_number, v.previous_version_id, c.chapter_title AS chapter, c.article_title,
-    CASE WHEN c.chunk_kind = 'amendment' THEN coalesce(nullif(c.target_article_number, ''), c.article_number) ELSE c.article_number END AS article_number,
-    c.appendix_number, c.chunk_kind = 'amendment' AS is_amendment, CASE WHEN c.chunk_kind = 'amendment' THEN c.article_number END AS source_article_number,
-    c.action AS change_type, c.order_number AS amendment_order_number, c.heading_number, 'active' AS status
-    FROM chunk_rows c JOIN versions v USING (version_id)""",
+    f"""SELECT c.chunk_id, d.source, 'upload' AS source_type, 'Document ' || c.doc_id AS doc_title, c.chunk_title,
+    c.chunk_path AS section_path, c.chunk_index, c.total_chunks, c.doc_id::VARCHAR AS document_id,
+    c.version_id AS document_version_id, v.version_no AS version_number, v.previous_version_id,
+    CASE WHEN v.previous_version_id IS NOT NULL THEN v.version_no - 1 END AS previous_version_number,
+    c.doc_id || '.txt' AS file_name, (len(string_split(l.text, chr(10))) + 9) // 10 AS page_count,
+    c.doc_id % 2 = 0 AS ocr_enabled, c.doc_id % 10 = 0 AS force_ocr, CASE WHEN c.doc_id % 2 = 0 THEN '1' END AS ocr_pages,
+    c.chunk_kind, 'active' AS status, v.version_no = v.latest AS is_current, c.part_title AS part, c.chapter_title AS chapter,
+    c.section_title AS section, c.appendix_title, c.appendix_number, c.article_title,
+    CASE WHEN {_amendment} THEN coalesce(nullif(c.target_article_number, ''), c.article_number) ELSE c.article_number END AS article_number,
+    c.heading_level, c.heading_number, c.bboxes, c.page_sizes, c.page_indices, c.page_start, c.page_end,
+    {_amendment} AS is_amendment, {_only(_amendment, 'c.action')} AS change_type,
+    {_only(_amendment, 'c.article_number')} AS source_article_number,
+    {_only(_amendment, 'c.target_article_number')} AS target_article_number,
+    {_only(_amendment, 'c.target_clause_text')} AS target_clause_text, {_only(_amendment, 'c.target_point_text')} AS target_point_text,
+    {_only(_amendment, 'c.order_number')} AS amendment_order_number, {_only(_amendment, 'c.title')} AS amendment_title,
+    NULL::VARCHAR AS entity_type, NULL::VARCHAR AS lecturer_unit, NULL::INT AS lecturer_count, NULL::VARCHAR AS lecturer_names,
+    NULL::VARCHAR AS lecturer_emails, NULL::VARCHAR AS lecturer_phones, NULL::VARCHAR AS lecturers
+    FROM paged_chunks c JOIN documents d USING (doc_id) JOIN legal l USING (doc_id)
+    JOIN (SELECT *, max(version_no) OVER (PARTITION BY document_id) AS latest FROM versions) v USING (version_id)""",
 )
 add("ret_1_embeddings", f"SELECT doc_id, 64 AS dim, CASE WHEN {keyword_text('text')} = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents")
 add(

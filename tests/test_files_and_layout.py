@@ -169,6 +169,64 @@ def test_attach_layout(spark):
     assert a.page_indices == [4] and a.bboxes[0].page_idx == 4 and a.page_sizes[4].width == 5.0 and b.bboxes is None
 
 
+def test_merged_chunks_take_the_boxes_of_all_their_items(spark):
+    parsed = spark.createDataFrame([(1, 0, 1, [1, 2]), (1, 0, 3, None)], "doc_id long, block_id long, item long, items array<long>")
+    lines = spark.createDataFrame([(1, 0, i, f"dòng thứ {w} của văn bản") for i, w in ((1, "nhất"), (2, "hai"), (3, "ba"))], "doc_id long, block_id long, item long, line string")
+    entries = spark.createDataFrame(
+        [(1, f"dong thu {w} cua van ban", [float(p)], p, None) for p, w in ((0, "nhat"), (4, "hai"), (7, "ba"))],
+        "doc_id long, folded string, bbox array<double>, page_idx int, page_size struct<width:double,height:double>",
+    )
+    a, b = Y.attach_layout(parsed, lines, entries).orderBy("item").collect()
+    assert (a.page_indices, [x.bbox for x in a.bboxes], a.page_sizes) == ([0, 4], [[0.0], [4.0]], {}) and b.page_indices == [7]
+
+
+def test_texts_match_in_both_directions_like_brute_force(spark):
+    rng = random.Random(5)
+    words = ["an", "bình", "cộng", "dân", "em", "giáo", "hành", "ích"]
+    make = lambda n: [" ".join(rng.choice(words) for _ in range(rng.randint(2, 12))) for _ in range(n)]
+    lines = {(d, t) for d in (1, 2) for t in make(60)}
+    entries = {(d, t) for d in (1, 2) for t in make(60)}
+    for d, t in sorted(lines)[:60]:
+        entries |= {(d, t[: rng.randint(8, 40)].strip()), (d, f"x {t} y"), (d, t)}
+    frames = [spark.createDataFrame(list(rows), f"doc_id long, {c} string") for rows, c in ((lines, "line"), (entries, "entry"))]
+    got = {tuple(r) for r in Y.match_texts(*frames).collect()}
+    fits = lambda a, b: len(a) >= 10 and len(b) >= 8 and (a == b or (len(a) >= 20 and a in b) or (len(b) >= 20 and b in a))
+    assert got == {(d, a, b) for d, a in lines for e, b in entries if d == e and fits(a, b)} and len(got) > 50
+
+
+def test_ingested_chunks_have_the_pages_of_their_lines(spark):
+    """Articles share the boxes of their block; sections have their own, also when merged; directories those of a unit."""
+    from lawloom.plans.ingest import ingest_chunks
+
+    texts = {
+        1: "Điều 1. Phạm vi điều chỉnh\nQuy chế này quy định về đào tạo đại học\nĐiều 2. Đối tượng áp dụng\nSinh viên chính quy của trường đại học",
+        2: "Lời mở đầu của bản hướng dẫn\nI. Mục tiêu của chương trình\nĐào tạo nguồn nhân lực chất lượng cao\nII. Nội dung của chương trình\nCác học phần bắt buộc và tự chọn",
+        3: "Thông báo không có đề mục nào\nNghỉ lễ từ ngày mai cho đến hết tuần",
+        4: "Thông tin giảng viên\n=====\nĐơn vị: Khoa Công nghệ\nTên: Nguyễn Văn An\nĐiện thoại: 0123456789\n=====\nĐơn vị: Khoa Kinh tế học\nTên: Trần Thị Bình\nĐiện thoại: 0987654321",
+        5: "Một văn bản không có bố cục trang",
+    }
+    pages = {}
+    for d, text in texts.items():
+        lines = [x for x in text.split("\n")]
+        pages[d] = {x: i for i, x in enumerate(lines)}
+    block = lambda x, i: {"bbox": [0, i, 9, i + 1], "lines": [{"spans": [{"type": "text", "content": x.upper()}]}]}
+    layouts = [
+        (d, json.dumps({"pdf_info": [{"page_idx": i, "page_size": [5, 6], "para_blocks": [block(x, i)]} for x, i in pages[d].items()]}))
+        for d in texts if d != 5
+    ]
+    docs = spark.createDataFrame([(d, t, f"T{d}", str(d)) for d, t in texts.items()], "doc_id long, text string, title string, version_id string")
+    rows = ingest_chunks(docs, layouts=spark.createDataFrame(layouts, "doc_id long, layout string")).orderBy("document_id", "chunk_index").collect()
+    got = [(r.document_id, r.chunk_type, list(r.metadata.page_indices), r.page_number, r.page_end) for r in rows]
+    assert got[:2] == [(1, "regulation", [0, 1], 1, 2), (1, "regulation", [2, 3], 3, 4)]
+    sections = [g for g in got if g[0] == 2]
+    assert sorted(p for g in sections for p in g[2]) == [0, 1, 2, 3, 4] and sections[0][3] == 1
+    assert [g for g in got if g[0] == 3] == [(3, "document_chunk", [0, 1], 1, 2)]
+    units = [g for g in got if g[0] == 4]
+    assert len(units) == 2 and set(units[0][2]) <= {2, 3, 4} and set(units[1][2]) <= {6, 7, 8} and all(g[2] for g in units)
+    assert [g[1:] for g in got if g[0] == 5] == [("document_chunk", [], None, None)]
+    assert all(b.bbox[1] == b.page_idx for r in rows for b in r.metadata.bboxes or [])
+
+
 def test_evaluation_rows_are_numbered_over_files(spark, tmp_path):
     from lawloom.sources import files
 
