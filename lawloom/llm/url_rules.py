@@ -5,7 +5,8 @@ A pattern rule is an RE2/Java-compatible regular expression. Its literal tokens
 every match must contain as whole tokens) are given with it. The token that the fewest distinct urls hold becomes the
 rule's key; a url fetches the rules whose keys are among its own tokens, and only those run their expressions. A rule
 without tokens has the empty key, which every url holds. Host rules use the same index: their key is the host, and a
-url holds every suffix of its own host.
+url holds every suffix of its own host. The index is written once and broadcast in blocks of at most `RULE_BLOCK` rules,
+so the urls are never shuffled by their tokens, whatever the number of rules, and no key is hot.
 
 The longest fitting host rule decides; else an allowing pattern rule, else a blocking one, else the url is allowed.
 Defined results: a null url or one without `://` has empty host and path and no tokens, so only patterns without tokens
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.llm.columns import ascii_lower
+from lawloom.session import materialize
 
+RULE_BLOCK = 100_000  # rows that are broadcast at once; more come in further blocks
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 HOST_SCHEMA = "host string, path string, verdict string"
 
@@ -57,15 +60,22 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
-def rule_index(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+def _join_blocks(rows: DataFrame, rules: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows with each rule of their key: the rules are broadcast in counted blocks, the rows stay where they are."""
+    blocks = max(1, -(-rules.count() // block))
+    at = F.pmod(F.xxhash64(*rules.columns), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        part = rows.join(F.broadcast(rules if blocks == 1 else rules.filter(at == i)), key)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rule_index(urls: DataFrame, patterns: DataFrame, block: int = RULE_BLOCK) -> DataFrame:
     """Each pattern rule with its key: of its tokens, the one in the fewest distinct urls (ties: the first by name)."""
     tokens = patterns.select("id", F.explode("tokens").alias("token"))
-    seen = (
-        urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
-        .join(tokens.select("token").distinct(), "token")
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-    )
+    held = urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
+    seen = _join_blocks(held, tokens.select("token").distinct(), "token", block).groupBy("token").agg(F.count("*").alias("n"))
     rarest = (
         tokens.join(seen, "token", "left")
         .groupBy("id")
@@ -80,7 +90,8 @@ def rule_index(urls: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def judge_urls(
-    pages: DataFrame, url: str = "url", host_rules: DataFrame | None = None, patterns: DataFrame | None = None
+    pages: DataFrame, url: str = "url", host_rules: DataFrame | None = None, patterns: DataFrame | None = None,
+    block: int = RULE_BLOCK,
 ) -> DataFrame:
     """All rows with host, path, rule, pattern_rule and verdict."""
     spark: SparkSession = pages.sparkSession
@@ -91,7 +102,7 @@ def judge_urls(
         F.concat(F.lit("h:"), "host").alias("key"), F.concat("host", "path").alias("id"),
         F.lit(None).cast("string").alias("pattern"), "path", "verdict",
     )
-    index = by_host.unionByName(rule_index(urls, patterns))
+    index = materialize(by_host.unionByName(rule_index(urls, patterns, block)), "rules")
     keys = F.concat(
         F.transform(F.filter(host_suffixes(host_of(F.col("url"))), lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x)),
         F.transform(url_tokens(F.col("url")), lambda x: F.concat(F.lit("t:"), x)),
@@ -103,7 +114,7 @@ def judge_urls(
     rank = F.struct(F.length("id").alias("n"), F.col("id").alias("id"), F.col("verdict").alias("verdict"))
     first = F.struct((F.col("verdict") != "allow").alias("no"), F.col("id").alias("id"), F.col("verdict").alias("verdict"))
     hits = (
-        held.join(index, "key")
+        _join_blocks(held, index, "key", block)
         .filter(fits | matches)
         .groupBy("url")
         .agg(F.max(F.when(fits, rank)).alias("by_host"), F.min(F.when(matches, first)).alias("by_pattern"))

@@ -121,5 +121,29 @@ def test_rarest_token_is_the_key(spark):
     assert keys["cheap-pills"] == "t:pills" and keys["spam-farm"] == "t:farm" and keys["adserver"] == "t:"
 
 
+def test_many_rules_in_blocks_equal_brute_force(spark):
+    """10,000 rules, some without tokens, in one block and in many; ties go to the first id."""
+    patterns = [(f"r{i:05d}", rf"/word{i}(/|$)", [f"word{i}"], "allow" if i % 7 == 0 else "block") for i in range(9_990)]
+    patterns += [(f"z{i}", rf"[?&]q={i}\b", [], "block") for i in range(10)]
+    hosts = [(f"h{i}.org", "/a", "block" if i % 2 else "allow") for i in range(300)]
+    urls = [f"http://s.h{i % 400}.org/{'a' if i % 3 else 'b'}/word{i * 37 % 12_000}/word{i % 50}?q={i % 20}" for i in range(400)] + [None, "", "q=1?q=1"]
+
+    def judge(u):
+        rest = (u or "").split("://", 1)
+        host, path = (rest[1].split("?")[0].split("/", 1) + [""])[:2] if len(rest) == 2 else ("", "")
+        fit = [(len(h + p), h + p, v) for h, p, v in hosts if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        hit = [(v != "allow", i, v) for i, p, v in compiled if u is not None and p.search(u)]
+        return (max(fit)[2] if fit else min(hit)[2] if hit else "allow"), min(hit)[1] if hit else None
+
+    compiled = [(i, re.compile(p), v) for i, p, _, v in patterns]
+    want = sorted((i, *judge(u)) for i, u in enumerate(urls))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    given = spark.createDataFrame(hosts, url_rules.HOST_SCHEMA), spark.createDataFrame(patterns, url_rules.PATTERN_SCHEMA)
+    for block in (url_rules.RULE_BLOCK, 3_000):
+        got = url_rules.judge_urls(pages, "url", *given, block=block).select("page_id", "verdict", "pattern_rule").collect()
+        assert sorted(map(tuple, got)) == want
+    assert len({v for _, v, _ in want}) == 2 and sum(r is not None for *_, r in want) > 100
+
+
 def test_urls_of_an_empty_table(spark):
     assert url_rules.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
