@@ -8,7 +8,8 @@ Of records with equal payloads of at least `REVISIT_BYTES` bytes, the one with t
 others are revisits that refer to it. Headers, record ids and digests are made anew from the page.
 
 Defined results: a null html is an empty payload; a null url has no target; a null id is always a response and comes
-first; of rows equal in id and payload the first by url is the response; an empty table gives no file.
+first; of rows equal in id and payload the first by url is the
+response, and each has a record id of its own; an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -39,20 +40,23 @@ def _base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def _record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
+def _record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """`copy` counts the rows before it that are equal in id and payload; a revisit refers to copy 0."""
+    name = f"{page_id}/{digest}/{copy}" if copy else f"{page_id}/{digest}"
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
 def _clean(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str,
+           copy: int = 0) -> bytes:
     """One record with its headers; a revisit holds the HTTP headers of the full payload, not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest, copy)}",
         f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{_base32(digest)}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
@@ -117,7 +121,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     records = rows.select(number, "page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("kept"), "url", "payload")
 
     def write(batches: Iterator[pa.RecordBatch], temporary) -> Iterator[dict]:
-        archive, note, last = None, None, None
+        archive, note, last, copy = None, None, None, 0
         for batch in batches:
             for values in zip(*batch.columns, strict=True):
                 shard, i, digest, kind, kept_id, link, data = (v.as_py() for v in values)
@@ -127,9 +131,10 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
                 if kind == 0:
                     note = (i, digest, kept_id)
                     continue
+                copy = copy + 1 if last == (i, digest) else 0
                 same = note is not None and note[:2] == (i, digest)
                 revisit = same and (note[2] != i or last == (i, digest))
-                archive.add(record(i, link, data, digest, note[2] if same else None, revisit, date))
+                archive.add(record(i, link, data, digest, note[2] if same else None, revisit, date, copy))
                 last = (i, digest)
                 if archive.bytes >= file_bytes:
                     yield from archive.close()

@@ -52,6 +52,17 @@ def test_warc_files_are_deterministic_and_published(spark, tmp_path):
     assert seen[0] == seen[1]
 
 
+def test_equal_rows_have_record_ids_of_their_own(spark, tmp_path):
+    rows = [(1, "http://a", LONG, "x")] * 3 + [(2, "u", "short", "x")] * 2 + [(None, "u", LONG, "x")] * 2
+    manifest = W.write_warc(spark.createDataFrame(rows, PAGES), f"{tmp_path}/a").collect()
+    records = [W.parse_record(raw) for f in manifest for raw in W._members(f.path)]
+    ids = [r["warc-record-id"] for r in records]
+    assert len(ids) == len(set(ids)) == 8
+    responses = {r["warc-record-id"] for r in records if r["warc-type"] == "response"}
+    revisits = [r for r in records if r["warc-type"] == "revisit"]
+    assert len(revisits) == 2 and all(r["warc-refers-to"] in responses for r in revisits)
+
+
 def test_warc_reader_sees_damage(spark, tmp_path):
     _, df = pages(spark)
     r = W.write_warc(df, f"{tmp_path}/a").first()
