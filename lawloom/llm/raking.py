@@ -196,15 +196,18 @@ def sample_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     names = docs.columns if carry is None else carry
     # xxhash64 skips nulls and is never null itself, so a null id must be asked for.
     drawn_by = F.when(F.col(f"`{doc_id}`").isNull(), F.col(f"`{text}`")).otherwise(F.col(f"`{doc_id}`").cast("string"))
-    rows = with_tokens_and_topic(docs.withColumn("_draw", F.xxhash64(F.lit(seed), drawn_by)),
-                                 text, list(dict.fromkeys([*names, *need, "_draw"])), topic)
+    drawn = "_draw"
+    while drawn in (c.lower() for c in docs.columns):  # a column of that name is the caller's
+        drawn += "_"
+    rows = with_tokens_and_topic(docs.withColumn(drawn, F.xxhash64(F.lit(seed), drawn_by)),
+                                 text, list(dict.fromkeys([*names, *need, drawn])), topic)
     rows = rows.withColumn("_source", _group(source)).withColumn("_lang", _group(lang))
     factors = fit.sources.withColumnRenamed("source", "_source")
     # The source table is broadcast only while it is known to be small.
     rows = rows.join(F.broadcast(factors) if factors.count() <= BROADCAST_SOURCES else factors, "_source", "left")
     weight = F.col("factor") * _lookup(fit.langs, F.col("_lang")) * _lookup(fit.topics, F.col("topic"))
     probability = F.coalesce(F.least(weight / F.lit(fit.reference), F.lit(1.0)), F.lit(1.0))
-    draw = F.col("row._draw").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    draw = F.col(f"row.{drawn}").cast("double") / F.lit(2.0**64) + F.lit(0.5)
     return rows.select(
         F.struct(*[F.col(f"row.`{c}`") for c in names]).alias("row"), "topic", "n_tokens",
         probability.alias("probability"), (draw < probability).alias("sampled"),

@@ -318,3 +318,11 @@ def test_topic_column(spark):
     mass = {r[0]: r[1] for r in got.groupBy("topic").agg(F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
     assert sorted(mass) == ["", "law", "news"] and got.columns == ["row", "topic", "n_tokens", "probability", "sampled"]
     assert mass["law"] == pytest.approx(2 * mass[""], rel=1e-4) and mass["news"] == pytest.approx(mass[""], rel=1e-4)
+
+
+def test_sampling_keeps_a_column_named_draw(spark):
+    df = spark.createDataFrame([(i, f"some words of text {i}", "en", "a", f"mine {i}") for i in range(20)], "doc_id long, text string, lang string, source string, _draw string")
+    got = R.sample_to_targets(df).select("row.*", "sampled").collect()
+    assert {(r.doc_id, r["_draw"]) for r in got} == {(i, f"mine {i}") for i in range(20)}
+    plain = R.sample_to_targets(df.drop("_draw")).select("row.doc_id", "sampled").collect()
+    assert {(r.doc_id, r.sampled) for r in got} == {tuple(r) for r in plain}
