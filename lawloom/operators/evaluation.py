@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,6 @@ def keywords(c: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-def with_test_id(rows: DataFrame, position: str) -> DataFrame:
-    default = F.concat(F.lit("row_"), F.col(position).cast("string"))
-    return rows.withColumn("test_id", F.coalesce(F.nullif("test_id", F.lit("")), default))
-
-
 def context_part() -> Column:
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
              ("title", "section_path", "doc_title", "article_title", "text")]
@@ -101,6 +98,19 @@ def evaluate(questions: DataFrame, results: DataFrame, context_top_k: int = 3) -
 METRICS = ("hit_at_1", "hit_at_3", "hit_at_5", "reciprocal_rank", "context_recall")
 
 
+def evaluation_run(
+    questions: DataFrame, search: Callable[[DataFrame, int, int], DataFrame], top_k: int = 5,
+    candidate_top_k: int | None = None, context_top_k: int = 3,
+) -> DataFrame:
+    """Search the questions with sizes inside their bounds, and score the results: one metric row per question.
+
+    ``search`` takes the questions, the final size and the number of candidates and returns results as `evaluate` reads
+    them; ranks beyond the final size do not count."""
+    final, candidates, context = clamped(top_k, candidate_top_k, context_top_k)
+    results = search(questions, final, candidates).filter(F.col("rank") <= final)
+    return evaluate(questions, results, context)
+
+
 def summarize(rows: DataFrame) -> DataFrame:
     """Means over all questions, zeros for an empty set."""
     names = {"reciprocal_rank": "mrr"}

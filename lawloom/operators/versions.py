@@ -245,11 +245,6 @@ def ingest_context(versions: DataFrame, documents: DataFrame) -> tuple[DataFrame
     )
 
 
-def chunks_of_version(chunks: DataFrame, version_id) -> DataFrame:
-    """The chunks of one version, in order; the filter reaches the scan."""
-    return chunks.filter(F.col("version_id") == version_id).orderBy("chunk_index")
-
-
 def chunks_of_versions(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """The chunks of each of the versions (version_id) with their place, from 1, in it."""
     w = Window.partitionBy("version_id").orderBy("chunk_index")

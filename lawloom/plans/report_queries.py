@@ -164,8 +164,8 @@ def evaluation_set(spark, sf_dir, found):
     )
 
 
-def evaluation_results(spark, sf_dir, found):
-    final = R.rerank(found, F.lit(""), F.lit(""), 5, enabled=False, fallback_keep="best")
+def evaluation_results(spark, sf_dir, found, top_k=5):
+    final = R.rerank(found, F.lit(""), F.lit(""), top_k, enabled=False, fallback_keep="best")
     p = I.points(spark, sf_dir).select("id", "text", "source", "lang", "article_number")
     return final.join(p, "id").select(
         F.concat(F.lit("t"), F.col("query_id").cast("string")).alias("test_id"), F.col("final_rank").alias("rank"),
@@ -177,7 +177,7 @@ def evaluation_results(spark, sf_dir, found):
 
 def evaluated(spark, sf_dir):
     found = session.materialize(hits(spark, sf_dir), "hits")  # one search for the questions and the results
-    return E.evaluate(evaluation_set(spark, sf_dir, found), evaluation_results(spark, sf_dir, found), context_top_k=3)
+    return E.evaluation_run(evaluation_set(spark, sf_dir, found), lambda _, final, __: evaluation_results(spark, sf_dir, found, final))
 
 
 @query

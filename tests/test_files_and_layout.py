@@ -196,7 +196,7 @@ def test_texts_match_in_both_directions_like_brute_force(spark):
 
 def test_ingested_chunks_have_the_pages_of_their_lines(spark):
     """Articles share the boxes of their block; sections have their own, also when merged; directories those of a unit."""
-    from lawloom.plans.ingest import ingest_chunks
+    from lawloom.plans.ingest import laid_out_chunks
 
     texts = {
         1: "Điều 1. Phạm vi điều chỉnh\nQuy chế này quy định về đào tạo đại học\nĐiều 2. Đối tượng áp dụng\nSinh viên chính quy của trường đại học",
@@ -215,7 +215,7 @@ def test_ingested_chunks_have_the_pages_of_their_lines(spark):
         for d in texts if d != 5
     ]
     docs = spark.createDataFrame([(d, t, f"T{d}", str(d)) for d, t in texts.items()], "doc_id long, text string, title string, version_id string")
-    rows = ingest_chunks(docs, layouts=spark.createDataFrame(layouts, "doc_id long, layout string")).orderBy("document_id", "chunk_index").collect()
+    rows = laid_out_chunks(docs, layouts=spark.createDataFrame(layouts, "doc_id long, layout string")).orderBy("document_id", "chunk_index").collect()
     got = [(r.document_id, r.chunk_type, list(r.metadata.page_indices), r.page_number, r.page_end) for r in rows]
     assert got[:2] == [(1, "regulation", [0, 1], 1, 2), (1, "regulation", [2, 3], 3, 4)]
     sections = [g for g in got if g[0] == 2]

@@ -220,3 +220,20 @@ def test_points_are_read_once(spark):
     out = R.vector_topk(points, spark.createDataFrame(rows, SCHEMA_Q), (), block_bytes=1000)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and out.count() == 400
+
+
+def test_evaluation_run_keeps_sizes_inside_their_bounds(spark):
+    from lawloom.operators import evaluation as E
+
+    asked = []
+    questions = spark.createDataFrame([("t1", "q", "7", "alpha", 9)], "test_id string, question string, expected_chunk_id string, expected_keywords string, candidate_count long")
+
+    def search(rows, final, candidates):
+        asked.append((final, candidates))
+        names = "test_id string, rank int, key string, title string, section_path string, doc_title string, article_title string, text string, score double, rerank_score double, rerank_model string"
+        return spark.createDataFrame([("t1", i, str(i), "t", "s", "d", "a", "alpha" if i == 4 else "beta", 1.0 / i, None, "m") for i in range(1, 9)], names)
+
+    row = E.evaluation_run(questions, search, top_k=2, candidate_top_k=3, context_top_k=9).first()
+    assert asked == [(5, 5)] and row.retrieved_count == 5 and row.expected_rank is None and row.context_recall == 1.0
+    row = E.evaluation_run(questions, search, top_k=8, context_top_k=0).first()
+    assert asked[1] == (8, 30) and row.expected_rank == 7 and row.context_recall == 0.0
