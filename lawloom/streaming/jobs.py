@@ -18,12 +18,12 @@ CHANGES = "document_id bigint, job_id bigint, event_id bigint, status string, re
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table as a stream of its files, whether the table is one file or a folder of them."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*.parquet")
 
 
 def job_changes(jobs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -108,3 +108,19 @@ def test_the_last_text_of_a_version_counts(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
         ingest.ingest_stream(stream, out, str(tmp_path / f"cp{run}"), dim=16, order="upload_no")
         assert [r.article_number for r in ingest.current_points(spark, out).collect()] == ["5"]
+
+
+def test_a_table_of_several_files_is_a_stream(spark, tmp_path):
+    """A folder of files, as large tables are, streams as one file does; other tables beside it do not."""
+    rows = [(i, f"t{i}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    frame.withColumn("doc_id", F.col("doc_id") + 100).write.parquet(str(tmp_path / "others.parquet"))
+    (tmp_path / "single").mkdir()
+    frame.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (part,) = [p for p in (tmp_path / "made").iterdir() if p.name.startswith("part-")]
+    (tmp_path / "single" / "documents.parquet").write_bytes(part.read_bytes())
+    for n, folder in enumerate((tmp_path, tmp_path / "single")):
+        stream = jobs.stream_table(spark, str(folder), "documents")
+        out = jobs.run_to_table(stream, str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}"))
+        assert sorted(map(tuple, out.collect())) == rows
