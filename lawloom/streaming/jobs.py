@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lawloom.operators import ordered
 from lawloom.operators.versions import MAX_RETRIES
@@ -36,23 +34,47 @@ def job_changes(jobs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def job_change_stream(jobs: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class ChangeStream:
+    """A stream of job events of which the changes are wanted; `run_to_table` runs it."""
+
+    jobs: DataFrame
+
+
+def job_change_stream(jobs: DataFrame) -> ChangeStream:
     """Stream form. State is one small row per job, so a busy document spreads over its jobs. Events are put in order
     within a micro-batch; one that arrives in a later batch counts when it arrives."""
+    return ChangeStream(jobs)
 
-    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b[["event_id", "status", "retry_count", "ts"]] for b in batches]).sort_values(["ts", "event_id"])
-        status, count = state.get if state.exists else (None, -1)
-        before = rows[["status", "retry_count"]].shift(1)
-        before.iloc[0] = [status, count]
-        changed = (before["status"] != rows["status"]) | (before["retry_count"] != rows["retry_count"])
-        state.update((rows["status"].iloc[-1], int(rows["retry_count"].iloc[-1])))
-        out = rows[changed].assign(document_id=key[0], job_id=key[1], previous_status=before["status"][changed])
-        yield out[[c.strip().split(" ")[0] for c in CHANGES.split(",")]]
-
-    return jobs.groupBy("document_id", "job_id").applyInPandasWithState(
-        changes, CHANGES, "status string, retry_count int", "append", GroupStateTimeout.NoTimeout
-    )
+
+LAST = "document_id bigint, job_id bigint, last struct<status:string,retry_count:int>"
+
+
+def _changes_to_table(jobs: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Every micro-batch writes its changes, and the newest state of the jobs that it touches, as batches of their own. It
+    reads the states of the batches before it, so a repeated one gives the same rows."""
+    spark, states = jobs.sparkSession, f"{checkpoint}/newest"
+    keys, now = ["document_id", "job_id"], F.struct("status", "retry_count")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        # events without a time come last
+        rows = batch.select(*keys, "event_id", "status", "retry_count", "ts", F.col("ts").isNull().alias("__late"))
+        order = ["__late", "ts", "event_id"]
+        marked = ordered.previous(rows, keys, order, now, "before")
+        if _has_table(spark, states):
+            known = _newest(spark, states, LAST, keys, batch_id).select(*[F.col(k).alias(f"__{k}") for k in keys], "last")
+            same = F.lit(True)
+            for k in keys:
+                same = same & marked[k].eqNullSafe(known[f"__{k}"])
+            marked = marked.join(known, same, "left").withColumn("before", F.coalesce("before", "last"))
+        changed = marked.filter(F.col("before").isNull() | (F.col("before") != now))
+        out = changed.select(*keys, "event_id", "status", "retry_count", F.col("before.status").alias("previous_status"))
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest = rows.groupBy(*keys).agg(F.max_by(now, F.struct(*order)).alias("last"))
+        newest.write.mode("overwrite").parquet(f"{states}/batch={batch_id}")
+
+    _run(jobs, step, checkpoint)
+    return spark.read.schema(f"{CHANGES}, batch int").parquet(path).drop("batch")
 
 
 def document_snapshots(changes: DataFrame) -> DataFrame:
@@ -64,8 +86,10 @@ def document_snapshots(changes: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_to_table(stream: DataFrame | ChangeStream, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all data that is there, append to Parquet, and read the result."""
+    if isinstance(stream, ChangeStream):
+        return _changes_to_table(stream.jobs, path, checkpoint)
     job = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
