@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,103 +183,76 @@ def ocr_pages(lines: DataFrame) -> DataFrame:
 # --- matching lines to entries -------------------------------------------------------
 
 MIN_LINE, MIN_ENTRY, MIN_CONTAINED = 10, 8, 20
-_GRAM, _SPAN_GRAMS = 10, 11  # any shared run of 20 characters covers 11 grams of 10
 
 
-def _grams(c: Column) -> Column:
-    """Hashes of all 10-character grams."""
-    return let(
-        F.split(c, ""),
-        lambda chars: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(chars) - (_GRAM - 1), F.lit(1))),
-            lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(_GRAM)), "")),
-        ),
+def _near_texts(texts: list[str], line: list[bool], entry: list[bool]) -> list[list[int]]:
+    """For each text that is a line, the places of the entries that equal it, contain it or lie in it. The texts of a
+    document are distinct; a text is looked for where its first characters occur."""
+    near = [[i] if line[i] and entry[i] else [] for i in range(len(texts))]
+    starts: dict[str, list[int]] = {}
+    for i, t in enumerate(texts):
+        if len(t) >= MIN_CONTAINED:
+            starts.setdefault(t[:MIN_CONTAINED], []).append(i)
+    for o, t in enumerate(texts):
+        if 4 * len(starts) < len(t):  # few starts: each is looked for; else every run of characters is looked up
+            seen = [x for x in starts if x in t]
+        else:
+            seen = {x for k in range(len(t) - MIN_CONTAINED + 1) if (x := t[k : k + MIN_CONTAINED]) in starts}
+        for g in seen:
+            for i in starts[g]:
+                if i != o and ((line[i] and entry[o]) or (line[o] and entry[i])) and texts[i] in t:
+                    if line[i] and entry[o]:
+                        near[i].append(o)
+                    if line[o] and entry[i]:
+                        near[o].append(i)
+    return near
+
+
+def _near(texts: pd.Series, line: pd.Series, entry: pd.Series) -> pd.Series:
+    return pd.Series([_near_texts(list(t), list(a), list(b)) for t, a, b in zip(texts, line, entry)], dtype=object)
+
+
+def _matched(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, text, of, found): each text of lines with what its lines are of, and the texts and payloads of the entries
+    that match it. ``lines``: doc_id, text, of (a struct); ``entries``: doc_id, text, box (a struct).
+
+    Lines and entries are dealt by document once, and all that follows is keyed by it; a document's texts are one row.
+    """
+    of, box = lines.schema["of"].dataType, entries.schema["box"].dataType
+    sides = lines.select(ID, "text", "of", F.lit(None).cast(box).alias("box")).unionByName(
+        entries.select(ID, "text", F.lit(None).cast(of).alias("of"), "box")
     )
-
-
-def _gram_marks(c: Column) -> Column:
-    """The least gram of every window of 11 grams: a text that holds a given 20-character run shares its mark."""
-    return let(
-        _grams(c),
-        lambda g: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(g) - (_SPAN_GRAMS - 1), F.lit(1))),
-            lambda i: F.array_min(F.slice(g, i, F.lit(_SPAN_GRAMS))),
+    texts = sides.filter(F.col(ID).isNotNull()).repartition(ID).groupBy(ID, "text").agg(
+        F.collect_set("of").alias("of"), F.collect_set("box").alias("box")
+    )
+    docs = texts.groupBy(ID).agg(F.collect_list(F.struct("text", "of", "box")).alias("t"))
+    has = lambda name: F.transform("t", lambda x: F.size(x[name]) > 0)
+    near = F.pandas_udf(_near, "array<array<int>>")(F.transform("t", lambda x: x["text"]), has("of"), has("box"))
+    some = lambda name: F.exists("t", lambda x: F.size(x[name]) > 0)
+    found = F.zip_with(
+        "t", "near",
+        lambda x, near: F.struct(
+            x["text"].alias("text"), x["of"].alias("of"),
+            F.transform(near, lambda k: F.get("t", k)).alias("found"),
         ),
+    )
+    hit = F.filter(found, lambda x: F.size(x["found"]) > 0)
+    return docs.filter(some("of") & some("box")).withColumn("near", near).select(ID, F.explode(hit).alias("m")).select(
+        ID, "m.text", "m.of", "m.found"
     )
 
 
-def _word_mark(t: Column, i: Column) -> Column:
-    """A whole word with the letters that touch it on both sides."""
-    return F.xxhash64(F.right(F.get(t, i - 1), F.lit(1)), F.get(t, i), F.left(F.get(t, i + 1), F.lit(1)))
-
-
-def _container_marks(c: Column) -> Column:
-    """Marks of every text that may occur inside ``c``: its inner words, and grams of long word pairs (for contents
-    of one or two words)."""
-
-    def marks(t: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: _word_mark(t, i))
-        spans = F.when(
-            F.size(t) > 1,
-            F.zip_with(
-                F.slice(t, F.lit(1), F.size(t) - 1),
-                F.slice(t, F.lit(2), F.size(t) - 1),
-                lambda a, b: F.when(F.length(a) + F.length(b) + 1 >= MIN_CONTAINED, F.concat(a, F.lit(" "), b)),
-            ),
-        ).otherwise(F.array(c))
-        words = F.when(F.size(t) > 2, inner).otherwise(F.array().cast("array<bigint>"))
-        return F.array_distinct(F.concat(words, F.flatten(F.transform(F.array_compact(spans), _gram_marks))))
-
-    return let(F.split(c, " "), marks)
-
-
-def _content_mark(c: Column) -> Column:
-    """One mark that every container of ``c`` has: its longest inner word. The first and last word do not count,
-    they may be parts of longer words in the container."""
-    grams = F.array_min(F.slice(_grams(F.left(c, F.lit(MIN_CONTAINED))), 1, _SPAN_GRAMS))
-
-    def longest(t: Column) -> Column:
-        sizes = F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.struct(F.length(F.get(t, i)), -i))
-        return let(F.array_max(sizes), lambda m: _word_mark(t, -m["col2"]))
-
-    return let(F.split(c, " "), lambda t: F.when(F.size(t) > 2, longest(t)).otherwise(grams))
+def _long(text: Column, least: int) -> Column:
+    """The text where it has so many characters, no row else. A filter would compute the text once more."""
+    return F.explode(F.filter(F.array(text), lambda x: F.length(x) >= least))
 
 
 def match_texts(line_texts: DataFrame, entry_texts: DataFrame) -> DataFrame:
-    """(doc_id, line, entry) of distinct folded texts that are equal or contain each other.
-
-    All texts of a document are one table that says on which side each occurs, so equal texts need no join. An equi join
-    on marks finds the candidates of both directions at once. Only hashes pass through it; the texts join back to the
-    candidates, and the exact test runs on them.
-    """
-    side = lambda rows, c, least, line: rows.filter(F.length(c) >= least).select(
-        ID, F.col(c).alias("text"), F.lit(line).alias("line"), F.lit(not line).alias("entry")
-    )
-    sides = side(line_texts, "line", MIN_LINE, True).unionByName(side(entry_texts, "entry", MIN_ENTRY, False))
-    texts = materialize(
-        sides.groupBy(ID, "text").agg(F.max("line").alias("line"), F.max("entry").alias("entry"))
-        .withColumn("key", F.xxhash64("text")), "texts",
-    )
-    same = texts.filter("line AND entry").select(ID, F.col("text").alias("line"), F.col("text").alias("entry"))
-    named = lambda p: texts.filter(F.length("text") >= MIN_CONTAINED).select(
-        ID, *[F.col(c).alias(f"{p}_{c}") for c in ("text", "line", "entry", "key")]
-    )
-    flags = ["line", "entry", "key"]
-    outer = named("o").select(ID, *[f"o_{c}" for c in flags], F.explode(_container_marks(F.col("o_text"))).alias("mark"))
-    inner = named("i").select(ID, *[f"i_{c}" for c in flags], _content_mark(F.col("i_text")).alias("mark"))
-    across = (F.col("i_line") & F.col("o_entry")) | (F.col("i_entry") & F.col("o_line"))
-    pairs = inner.join(outer, [ID, "mark"]).filter(across & (F.col("i_key") != F.col("o_key"))).select(ID, "i_key", "o_key")
-    found = (
-        pairs.distinct()
-        .join(named("o"), [ID, "o_key"])
-        .join(named("i"), [ID, "i_key"])
-        .filter(F.contains("o_text", F.col("i_text")))
-    )
-    both = F.array(
-        F.when(F.col("i_line") & F.col("o_entry"), F.struct(F.col("i_text").alias("line"), F.col("o_text").alias("entry"))),
-        F.when(F.col("i_entry") & F.col("o_line"), F.struct(F.col("o_text").alias("line"), F.col("i_text").alias("entry"))),
-    )
-    return same.unionByName(found.select(ID, F.explode(F.array_compact(both)).alias("p")).select(ID, "p.*"))
+    """(doc_id, line, entry) of distinct folded texts that are equal or contain each other."""
+    there = F.struct(F.lit(True).alias("there"))
+    side = lambda rows, c, least, name: rows.filter(F.length(c) >= least).select(ID, F.col(c).alias("text"), there.alias(name))
+    found = _matched(side(line_texts, "line", MIN_LINE, "of"), side(entry_texts, "entry", MIN_ENTRY, "box"))
+    return found.select(ID, F.col("text").alias("line"), F.explode(F.transform("found", lambda x: x["text"])).alias("entry"))
 
 
 def lines_to_layout(lines: DataFrame, entries: DataFrame, unit: list[str]) -> DataFrame:
@@ -286,13 +260,12 @@ def lines_to_layout(lines: DataFrame, entries: DataFrame, unit: list[str]) -> Da
 
     Texts are matched once per document however often they repeat. ``lines``: doc_id, unit columns, line.
     """
-    folded = lines.select(ID, *unit, layout_match_text(F.col("line")).alias("line"))
-    folded = materialize(folded.filter(F.length("line") >= MIN_LINE).distinct(), "lines")
-    boxes = entries.select(ID, F.col("folded").alias("entry"), "bbox", "page_idx", "page_size")
-    boxes = materialize(boxes.filter(F.length("entry") >= MIN_ENTRY).distinct(), "entries")
-    pairs = match_texts(folded.select(ID, "line"), boxes.select(ID, "entry"))
-    found = folded.join(pairs, [ID, "line"]).join(boxes, [ID, "entry"])
-    return found.select(ID, *unit, "bbox", "page_idx", "page_size").distinct()
+    folded = lines.select(ID, _long(layout_match_text(F.col("line")), MIN_LINE).alias("text"), F.struct(*unit).alias("of"))
+    boxes = entries.select(ID, _long(F.col("folded"), MIN_ENTRY).alias("text"), F.struct("bbox", "page_idx", "page_size").alias("box"))
+    found = _matched(folded, boxes)
+    per_text = found.select(ID, "of", F.array_distinct(F.flatten(F.transform("found", lambda x: x["box"]))).alias("box"))
+    rows = per_text.select(ID, "of", F.explode("box").alias("b")).select(ID, F.explode("of").alias("u"), "b")
+    return rows.select(ID, "u.*", "b.*").distinct()
 
 
 def layout_payload(matches: DataFrame, unit: list[str]) -> DataFrame:
@@ -321,7 +294,7 @@ def attach_layout(parsed: DataFrame, lines: DataFrame, entries: DataFrame) -> Da
     ``lines``: doc_id, block_id, item, line; item is NULL for lines that count for every chunk of their block. A chunk of
     block 0 takes the boxes of all its ``items`` (of its item, where ``parsed`` has no such column or it is NULL).
     """
-    matches = lines_to_layout(lines, entries, ["block_id", "item"])
+    matches = materialize(lines_to_layout(lines, entries, ["block_id", "item"]), "matches")
     own = F.array("item")
     items = F.coalesce("items", own) if "items" in parsed.columns else own
     units = parsed.filter("block_id = 0").select(ID, F.col("item").alias("head"), F.explode(items).alias("item"))

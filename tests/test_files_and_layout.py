@@ -237,3 +237,16 @@ def test_evaluation_rows_are_numbered_over_files(spark, tmp_path):
     got = {r.question: r.test_id for r in files.read_evaluation_set(spark, str(tmp_path)).collect()}
     assert got == {"q a\n0": "row_1", "q a\n1": "x", "q b\n0": "row_3", "q c\n0": "row_4", "q c\n1": "x", "q c\n2": "row_6"}
     assert files.read_evaluation_set(spark, str(tmp_path), 3).count() == 3
+
+
+def test_matching_deals_documents_once(spark):
+    """Lines and entries are shuffled once by document; repeated and null parts match as the join of all pairs would."""
+    lines = [(1, 0, "an bình cộng dân em giáo hành"), (1, None, "an bình cộng dân em giáo hành"), (1, 2, "dòng khác của văn bản"), (None, 3, "an bình cộng dân em giáo hành"), (1, 4, None)]
+    entries = [(1, "an binh cong dan em giao hanh ich", [1.0]), (1, "an binh cong dan em giao hanh", None), (None, "an binh cong dan em giao hanh", [3.0]), (1, None, [4.0])]
+    l_df = spark.createDataFrame(lines, "doc_id long, line_no long, line string")
+    e_df = spark.createDataFrame(entries, "doc_id long, folded string, bbox array<double>").withColumn("page_idx", F.lit(0))
+    e_df = e_df.withColumn("page_size", F.lit(None).cast("struct<width:double,height:double>"))
+    found = Y.lines_to_layout(l_df, e_df, ["line_no"])
+    got = {(r.line_no, tuple(r.bbox) if r.bbox else None) for r in found.collect()}
+    assert got == {(n, b) for n in (0, None) for b in ((1.0,), None)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
