@@ -170,3 +170,12 @@ def test_section_headings(spark):
     docs = spark.createDataFrame([(1, "Chương II: A\n\nmục 3 B\nĐiều 4. C\nkhác")], "doc_id long, text string")
     rows = S.section_headings(docs).orderBy("line_index").collect()
     assert [(r.level, r.number, r.line_index) for r in rows] == [("chapter", "II", 0), ("section", "3", 2), ("article", "4", 3)]
+
+
+def test_partitions_grow_with_the_text(spark, monkeypatch):
+    """A task has a bounded share of the characters, so its sorts do not grow with the input."""
+    docs = spark.createDataFrame([(i, f"Điều {i}. A\nx") for i in range(64)], "doc_id long, text string")
+    count = lambda: S.document_lines(docs).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert count() <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(S, "PARTITION_CHARS", 10)
+    assert count() > 2 * spark.sparkContext.defaultParallelism
