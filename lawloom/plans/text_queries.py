@@ -156,8 +156,7 @@ def txt_19_previews(spark, sf_dir):
 
 
 def legal_lines(spark, sf_dir):
-    d = I.legal(spark, sf_dir).withColumn("text", T.normalize_text(F.col("text")))
-    return S.document_lines(d)
+    return S.document_lines(I.legal(spark, sf_dir), T.normalize_text(F.col("text")))
 
 
 def legal_items(spark, sf_dir):
@@ -269,9 +268,9 @@ def str_13_amendment_targets(spark, sf_dir):
 
 @query
 def str_14_actions(spark, sf_dir):
-    lines = legal_lines(spark, sf_dir).filter("line IS NOT NULL")
-    action = L.amendment_action(F.col("line"))
-    return lines.groupBy(action.alias("action"), L.action_label(action).alias("label")).agg(F.count("*").alias("n"))
+    lines = legal_lines(spark, sf_dir)  # blank lines are not counted, a filter would read every line twice
+    found = lines.groupBy(L.amendment_action(F.col("line")).alias("action")).agg(F.count("line").alias("n")).filter("n > 0")
+    return found.select("action", L.action_label(F.col("action")).alias("label"), "n")
 
 
 @query
