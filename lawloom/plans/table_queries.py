@@ -35,7 +35,7 @@ def src_2_corpus_scan(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").filter("text <> ''")
     suffix = F.expr("CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'RST' ELSE 'dat' END")
     files.write_text_files(d.select(F.concat_ws(".", F.col("doc_id").cast("string"), suffix).alias("name"), "text"), path)
-    texts = files.read_corpus_texts(spark, path)
+    texts = files.read_corpus_texts(spark, path).hint("merge")  # never broadcast: Spark can't know how much the tasks read
     return files.scan_corpus(spark, path).join(texts, "source_path", "left").select("file_name", "suffix", "bytes", "supported", "raw_text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -84,16 +85,82 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+FOLDER_TASKS = 64  # tasks that list and read the folders of a corpus
+READ_BYTES = 16 * 1024 * 1024  # contents that a task holds before it hands them on
+
+
+def _hidden(name: str) -> bool:
+    """Files and folders that Spark's sources leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _corpus_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, length, content) of the files below a directory that are not empty; contents only where ``suffixes`` are
+    given, of the files that end in one. Tasks list the folders below the first level, so no list of files passes through
+    the driver."""
+
+    def shown(fs: pafs.FileSystem, at: str) -> str:
+        if re.match(r"file:|/|[^:]*$", path):
+            return f"file:{at}"
+        return path[: path.index(fs_root(path)[1])] + at
+
+    def fs_root(p: str) -> tuple[pafs.FileSystem, str]:
+        fs, root = _file_system(p if re.match(r"[a-z0-9]+:/", p) else os.path.abspath(p))
+        return fs, root.rstrip("/") or "/"
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = fs_root(path)
+        for batch in batches:
+            if len(batch):
+                here = fs.get_file_info(root)
+                found = [here] if here.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root))
+                rows = [(f.path, f.type == pafs.FileType.Directory, f.size or 0) for f in found if not _hidden(f.base_name)]
+                yield pd.DataFrame(rows, columns=["path", "folder", "length"])
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
+        fs, _ = fs_root(path)
+        for batch in batches:
+            open_folders = [r.path for r in batch.itertuples() if r.folder]
+            yield from ((r.path, r.length) for r in batch.itertuples() if not r.folder)
+            while open_folders:
+                for f in fs.get_file_info(pafs.FileSelector(open_folders.pop())):
+                    if not _hidden(f.base_name):
+                        if f.type == pafs.FileType.Directory:
+                            open_folders.append(f.path)
+                        else:
+                            yield f.path, f.size
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = fs_root(path)
+        columns, rows, held = ["path", "length", "content"], [], 0
+        for at, length in files(batches):
+            if not length or (suffixes is not None and not at.lower().endswith(tuple(f".{x}" for x in suffixes))):
+                continue
+            content = None
+            if suffixes is not None:
+                with fs.open_input_file(at) as f:
+                    content = f.read()
+            rows.append((shown(fs, at), length, content))
+            held += 200 + len(content or b"")
+            if held >= READ_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    top = spark.range(0, 1, 1, 1).mapInPandas(first, "path string, folder boolean, length bigint")
+    return top.repartition(FOLDER_TASKS).mapInPandas(read, "path string, length bigint, content binary")
+
+
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a directory with a ``supported`` flag, so that skipped files stay reportable.
 
-    Only file facts are read; contents stay on storage.
+    Only file facts are read; contents stay on storage. Empty files give no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
-    name = _file_name(_local_path(F.col("path")))
+    name = _file_name(F.col("path"))
     suffix = F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]+)$", 1))
-    return files.select(
-        _local_path(F.col("path")).alias("source_path"),
+    return _corpus_files(spark, path).select(
+        F.col("path").alias("source_path"),
         name.alias("file_name"),
         suffix.alias("suffix"),
         F.col("length").alias("bytes"),
@@ -101,18 +168,10 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _any_case(suffix: str) -> str:
-    return "".join(f"[{c}{c.upper()}]" for c in suffix)
-
-
 def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
     """Texts of the corpus files that are read directly; bytes that are not UTF-8 are left out."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(_any_case(x) for x in TEXT_SUFFIXES) + "}").load(path)
-    )
     valid = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return files.select(_local_path(F.col("path")).alias("source_path"), valid.alias("raw_text"))
+    return _corpus_files(spark, path, TEXT_SUFFIXES).select(F.col("path").alias("source_path"), valid.alias("raw_text"))
 
 
 def read_ocr_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -250,3 +250,20 @@ def test_matching_deals_documents_once(spark):
     got = {(r.line_no, tuple(r.bbox) if r.bbox else None) for r in found.collect()}
     assert got == {(n, b) for n in (0, None) for b in ((1.0,), None)}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corpus_files_are_listed_by_tasks(spark, tmp_path):
+    """Folders at any depth, names with escapes and spaces, hidden and empty files; Spark plans no list of files."""
+    deep = tmp_path / "a b" / "c%20d"
+    deep.mkdir(parents=True)
+    (deep / "Mục 1.TXT").write_bytes("điều".encode())
+    (tmp_path / "a b" / "e+f.bin").write_bytes(b"123")
+    (tmp_path / "_hidden").mkdir()
+    for name in ("_hidden/x.txt", ".y.txt", "_z.txt", "empty.txt"):
+        (tmp_path / name).write_bytes(b"" if name == "empty.txt" else b"no")
+    found = files.scan_corpus(spark, str(tmp_path))
+    want = {(f"file:{deep}/Mục 1.TXT", "txt", 7, True), (f"file:{tmp_path}/a b/e+f.bin", "bin", 3, False)}
+    assert {(r.source_path, r.suffix, r.bytes, r.supported) for r in found.collect()} == want
+    texts = files.read_corpus_texts(spark, f"file://{tmp_path}")
+    assert [(r.source_path, r.raw_text) for r in texts.collect()] == [(f"file:{deep}/Mục 1.TXT", "điều")]
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
