@@ -70,13 +70,20 @@ def _pages(layouts: DataFrame, column: str) -> DataFrame:
 
 
 def nesting(layouts: DataFrame, column: str = "layout") -> int:
-    """Levels of child blocks that hold all blocks of all layouts: twice as many, until no block lies deeper."""
-    levels, pages = FIRST_LEVELS, _pages(layouts, column)
+    """Levels of child blocks that hold all blocks of all layouts: twice as many, until no block lies deeper. Layouts
+    without the key of child blocks, escaped or not, have none and need not be parsed."""
+    named = F.contains(F.col(column), F.lit('"blocks"')) | F.contains(F.col(column), F.lit("\\u"))
+    levels, pages = FIRST_LEVELS, _pages(layouts.filter(named), column)
     while not pages.filter(F.exists("blocks", lambda b: _too_deep(b, levels) > 0)).isEmpty():  # noqa: B023
         levels *= 2
     return levels
 
 
+def _long(text: Column, least: int) -> Column:
+    """The text where it has so many characters, no row else. A filter would compute the text once more."""
+    return F.explode(F.filter(F.array(text), lambda x: F.length(x) >= least))
+
+
 _ENTRY = "array<struct<text:string,bbox:array<double>>>"
 
 
@@ -117,26 +124,32 @@ def layout_entries(layouts: DataFrame, column: str = "layout", levels: int | Non
     """(doc_id, entry_no, text, folded, bbox, page_idx, page_size) at span, line and block level, in reading order.
 
     Child blocks are read to any depth; ``levels`` saves the measurement where the depth is known."""
+    if levels is None:  # read twice
+        layouts = materialize(layouts.select(ID, column), "layouts")
     depth = nesting(layouts, column) if levels is None else levels
     entries = F.flatten(F.transform("blocks", lambda b: F.flatten(F.transform(_with_children(b, depth), _block_entries))))
-    rows = _pages(layouts, column).select(ID, "page_no", "page", F.posexplode(entries).alias("n", "e"))
+    rows = _pages(layouts, column).withColumn("size", _page_size(F.col("page"))).select(
+        ID, "page_no", "page.page_idx", "size", F.posexplode(entries).alias("n", "e")
+    )
     return (
-        rows.withColumn("folded", layout_match_text(F.col("e.text")))
-        .filter((F.col("folded") != "") & F.col("e.bbox").isNotNull())
+        rows.filter(F.col("e.bbox").isNotNull())
+        .select("*", _long(layout_match_text(F.col("e.text")), 1).alias("folded"))
         .select(
             ID,
             (F.col("page_no").cast("bigint") * 1_000_000_000 + F.col("n")).alias("entry_no"),
             "e.text",
             "folded",
             "e.bbox",
-            F.coalesce("page.page_idx", F.lit(0)).alias("page_idx"),
-            _page_size(F.col("page")).alias("page_size"),
+            F.coalesce("page_idx", F.lit(0)).alias("page_idx"),
+            F.col("size").alias("page_size"),
         )
     )
 
 
 def layout_pages(layouts: DataFrame, column: str = "layout", levels: int | None = None) -> DataFrame:
     """(doc_id, page_no from 1, text): spans one per line, blocks separated by a blank line."""
+    if levels is None:  # read twice
+        layouts = materialize(layouts.select(ID, column), "layouts")
     depth = nesting(layouts, column) if levels is None else levels
     contents = lambda line: F.transform(
         F.coalesce(line["spans"], F.array().cast(f"array<{_SPAN}>")), lambda s: strip(s["content"])
@@ -242,11 +255,6 @@ def _matched(lines: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def _long(text: Column, least: int) -> Column:
-    """The text where it has so many characters, no row else. A filter would compute the text once more."""
-    return F.explode(F.filter(F.array(text), lambda x: F.length(x) >= least))
-
-
 def match_texts(line_texts: DataFrame, entry_texts: DataFrame) -> DataFrame:
     """(doc_id, line, entry) of distinct folded texts that are equal or contain each other."""
     there = F.struct(F.lit(True).alias("there"))

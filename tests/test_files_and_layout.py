@@ -267,3 +267,17 @@ def test_corpus_files_are_listed_by_tasks(spark, tmp_path):
     texts = files.read_corpus_texts(spark, f"file://{tmp_path}")
     assert [(r.source_path, r.raw_text) for r in texts.collect()] == [(f"file:{deep}/Mục 1.TXT", "điều")]
     assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_escaped_keys_of_child_blocks_count(spark):
+    """Layouts that cannot have child blocks are not parsed to measure their depth; an escaped key is one that can."""
+    block = {"bbox": [0, 0, 1, 1], "lines": [{"spans": [span("deepest", [0, 0, 1, 1])]}]}
+    for _ in range(5):
+        block = {"bbox": [0, 0, 1, 1], "blocks": [block]}
+    text = json.dumps({"pdf_info": [{"page_idx": 0, "para_blocks": [block]}]}).replace('"blocks"', '"bl\\u006fcks"')
+    plain = json.dumps({"pdf_info": [{"page_idx": 0, "para_blocks": [{"bbox": [0, 0, 1, 1], "lines": [{"spans": [span("flat")]}]}]}]})
+    made = spark.createDataFrame([("d", text), ("e", plain)], "doc_id string, layout string")
+    assert Y.nesting(made) >= 5 and Y.nesting(made.filter("doc_id = 'e'")) == Y.FIRST_LEVELS
+    found = Y.layout_entries(made)
+    assert {r.text for r in found.collect()} == {"deepest", "flat"}
+    assert "layouts-" in found.inputFiles()[0]  # the layouts were written once
