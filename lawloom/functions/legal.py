@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lawloom.functions.text import WORD_END, collapse, fold, let, strip
+from lawloom.functions.text import WORD_END, collapse, fold, let, may_fold_to, strip
 
 MAX_CHUNK_CHARS = 4500
 MIN_SECTION_CHARS = 900
@@ -48,6 +48,10 @@ def section_heading(line: Column) -> Column:
     return out
 
 
+# How a line that bears on blocks starts: part, chapter, section, article, appendix or a number.
+MAY_BE_EVENT = r"(?iu)\A[pcmdđ\d\s\p{Mn}]"
+
+
 def is_real_appendix_heading(line: Column) -> Column:
     refers = rf"(?:^|[^a-z0-9_])(?:{APPENDIX_REFERENCE_WORDS})(?:[^a-z0-9_]|$)"
     real = lambda text: (
@@ -64,6 +68,21 @@ def is_free_form_amendment(folded: Column) -> Column:
     return folded.rlike(FREE_FORM)
 
 
+# What a line has whose folded form is an amendment: marks vanish, so they may stand between its letters.
+_MAY_BE_TITLE = rf"\A[\s\p{{Mn}}]*\d[\d\p{{Mn}}]*\..*{may_fold_to(_VERB)}"
+_MAY_BE_FREE_FORM = rf"\A[\s\p{{Mn}}]*{may_fold_to(_VERB)}"
+
+
+def opens_amendment_title(line: Column) -> Column:
+    """`is_amendment_title` of the folded line; only lines with a number and a verb are folded."""
+    return line.rlike(_MAY_BE_TITLE) & is_amendment_title(fold(line))
+
+
+def opens_free_form_amendment(line: Column) -> Column:
+    """`is_free_form_amendment` of the folded line; only lines that start with a verb are folded."""
+    return line.rlike(_MAY_BE_FREE_FORM) & is_free_form_amendment(fold(line))
+
+
 def _looks_real(line: Column) -> Column:
     return (F.length(line) <= 180) & ~line.rlike(THOUSANDS)
 
@@ -75,8 +94,16 @@ def _inner(kind: Column, number: Column, level: Column) -> Column:
     return F.struct(kind.alias("kind"), number.alias("number"), level.cast("int").alias("level"))
 
 
+# How a line with an inner heading starts.
+_MAY_BE_INNER = r"\A(?:[\sIVXLCDM\d+•-]|(?iu:[a-zđ]\)))"
+
+
 def inner_heading(line: Column) -> Column:
     """Roman, point, bullet, numbered or clause heading, in that priority; NULL for plain text."""
+    return F.when(F.left(line, F.lit(2)).rlike(_MAY_BE_INNER), _inner_heading(line))
+
+
+def _inner_heading(line: Column) -> Column:
     raw = F.regexp_extract(line, NUMBERED, 1)
     number = F.regexp_replace(raw, r"\.+$", "")
     dotted = F.contains(number, F.lit("."))
@@ -107,10 +134,11 @@ def is_false_heading(line: Column, kind: Column) -> Column:
 
 def accepted_heading(line: Column, *allowed: str) -> Column:
     """The inner heading of a line when its kind is allowed and it is not a false positive."""
-    return let(
-        inner_heading(line),
+    accepted = let(
+        _inner_heading(line),
         lambda h: F.when(h["kind"].isin(*allowed) & ~is_false_heading(line, h["kind"]), h),
     )
+    return F.when(F.left(line, F.lit(2)).rlike(_MAY_BE_INNER), accepted)
 
 
 def amendment_action(text: Column) -> Column:

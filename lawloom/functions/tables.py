@@ -123,4 +123,4 @@ def table_markdown(markup: Column) -> Column:
 def html_tables_to_markdown(c: Column) -> Column:
     marked = F.regexp_replace(c, _TABLE, f"{_OPEN}$1{_CLOSE}")
     pieces = F.transform(F.split(marked, f"[{_OPEN}{_CLOSE}]"), lambda x, i: F.when(i % 2 == 1, table_markdown(x)).otherwise(x))
-    return F.when(c.rlike(r"(?i)<table\b"), F.array_join(pieces, "")).otherwise(c)
+    return F.when(F.contains(c, F.lit("<")) & c.rlike(r"(?i)<table\b"), F.array_join(pieces, "")).otherwise(c)

@@ -46,8 +46,13 @@ def with_previous(lines: Column, body: Callable[[Column, Column], Column]) -> Co
     )
 
 
+# The same characters written out, which is faster to match.
+_BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    """Matched once from the start: a pattern for either end would be tried at every character."""
+    return F.regexp_extract(c, rf"(?s)\A[{_BLANK}]*+(.*[^{_BLANK}])", 1)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -204,9 +209,27 @@ def clean(c: Column) -> Column:
 # --- parser text utilities ------------------------------------------------
 
 
+def _has_any(c: Column, *marks: str) -> Column:
+    found = F.lit(False)
+    for mark in marks:
+        found = found | F.contains(c, F.lit(mark))
+    return found
+
+
+def normalize_gaps(c: Column) -> Column:
+    """Runs of blanks and tabs to one blank."""
+    return F.when(_has_any(c, "\t", "  "), F.regexp_replace(c, "[ \\t]+", " ")).otherwise(c)
+
+
 def normalize_text(c: Column) -> Column:
-    spaced = F.regexp_replace(normalize_newlines(c), "[ \\t]+", " ")
-    return strip(F.regexp_replace(spaced, "\n{3,}", "\n\n"))
+    """Most texts are in order, which is quick to see."""
+
+    def ordered(x: Column) -> Column:
+        spaced = F.regexp_replace(normalize_newlines(x), "[ \\t]+", " ")
+        fresh = F.regexp_replace(spaced, "\n{3,}", "\n\n")
+        return F.when(_has_any(x, "\r", "\t", "  ", "\n\n\n"), fresh).otherwise(x)
+
+    return strip(let(c, ordered))
 
 
 def strip_md_heading(line: Column) -> Column:
@@ -217,12 +240,13 @@ def is_page_number(line: Column) -> Column:
     return strip(line).rlike(r"(?U)\A\d{1,3}\z")
 
 
+# What is left of a line without blanks around it and a heading mark, unless that is a page number.
+_CONTENT = rf"(?s)\A[{_BLANK}]*+(?:#{{1,6}}+[{_BLANK}]*+)?+(?!\p{{Nd}}{{1,3}}[{_BLANK}]*+\z)(.*[^{_BLANK}])"
+
+
 def parser_line(raw: Column) -> Column:
     """A stripped line without its markdown heading mark, NULL when it carries no content."""
-    return let(
-        strip_md_heading(strip(raw)),
-        lambda x: F.when((x != "") & ~is_page_number(x), x),
-    )
+    return let(F.regexp_extract(raw, _CONTENT, 1), lambda x: F.when(x != "", x))
 
 
 def fallback_title(c: Column) -> Column:
@@ -246,6 +270,8 @@ def clean_title(c: Column) -> Column:
 
 # Misread spellings of the article keyword.
 MISREAD_ARTICLE = rf"(?iu)({WORD_START})(?:điểu|diểu|diều|dieu)\s+(\d+[a-zA-Z]?)(?![\p{{L}}\p{{N}}_])"
+# One class for its first letter, which fails fast in texts without such a word.
+_MAY_BE_MISREAD = r"(?=[đĐdD][iIıİ])(?iu:[đd]iể|di[ềe])(?iu:u\s+\d)"
 # Loosely read legal actions, tested on folded text.
 LOOSE_ACTION = (
     r"(?U)s\w{0,2}a\s+d\w{0,2}i|b\w{0,2}\s+sung|b\w{0,2}i\s+b\w{0,2}|thay\s+th\w{0,2}"
@@ -272,9 +298,14 @@ def _repair_section_sign(line: Column) -> Column:
 
 def repair_ocr(c: Column) -> Column:
     """Misread article keywords, and section signs that stand for an amendment item."""
-    text = F.regexp_replace(c, MISREAD_ARTICLE, "$1Điều $2")
-    repaired = F.array_join(F.transform(text_lines(text), _repair_section_sign), "\n")
-    return F.when(F.contains(text, F.lit("§")), repaired).otherwise(text)
+
+
+    def signs(text: Column) -> Column:
+        repaired = F.array_join(F.transform(text_lines(text), _repair_section_sign), "\n")
+        return F.when(F.contains(text, F.lit("§")), repaired).otherwise(text)
+
+    misread = F.when(c.rlike(_MAY_BE_MISREAD), F.regexp_replace(c, MISREAD_ARTICLE, "$1Điều $2")).otherwise(c)
+    return let(misread, signs)
 
 
 # Words that follow a numbered item in regulation text.
@@ -283,7 +314,7 @@ FOOTNOTE_WORDS = "Đối|Doi|Trường|Truong|Sinh|Nếu|Neu|Chứng|Chung|Thờ
 
 def drop_footnote_markers(c: Column) -> Column:
     pattern = rf"(?miu)^(\s*\d+)\.\d{{1,2}}\s+((?:{FOOTNOTE_WORDS})(?:[^\p{{L}}\p{{N}}_]|$))"
-    return F.regexp_replace(c, pattern, "$1. $2")
+    return F.when(c.rlike(r"\d\.\d"), F.regexp_replace(c, pattern, "$1. $2")).otherwise(c)
 
 
 _BLOCK = r"(?is)<(?:div|p|center|h[1-6])\b[^>]*>.*?</(?:div|p|center|h[1-6])>"
@@ -363,7 +394,8 @@ def _split_appendix_line(raw: Column) -> Column:
 
 def split_appendix_titles(c: Column) -> Column:
     out = F.array_join(F.transform(text_lines(c), _split_appendix_line), "\n")
-    return F.when(c.rlike(r"(?iu)(?:phụ\s*lục|phu\s*luc)\s"), out).otherwise(c)
+    # the first test has no branches to try at every letter
+    return F.when(c.rlike(r"(?iu)ph[ụu]\s*l[ụu]c\s") & c.rlike(r"(?iu)(?:phụ\s*lục|phu\s*luc)\s"), out).otherwise(c)
 
 
 _TRAILING_HEADING = r"(?iu)^(.{20,}?)\s+(\d+\.\s+[A-ZÀ-Ỵa-zà-ỵ][^\n]{1,80})$"
@@ -385,7 +417,7 @@ def _split_trailing_line(raw: Column) -> Column:
         )
 
     # a numbered heading must follow, which is cheap to test, and the phrase must be in the line
-    possible = raw.rlike(_TRAILING_NUMBER) & fold(raw).rlike(TRAILING_PHRASES)
+    possible = raw.rlike(_TRAILING_NUMBER) & raw.rlike(may_fold_to(TRAILING_PHRASES)) & fold(raw).rlike(TRAILING_PHRASES)
     return F.when(possible, let(strip(raw), split)).otherwise(raw)
 
 
@@ -393,7 +425,8 @@ def split_trailing_headings(c: Column) -> Column:
     out = F.array_join(F.transform(text_lines(c), _split_trailing_line), "\n")
     # no line can change without such a number, but line breaks of other kinds become line feeds
     possible = c.rlike(_TRAILING_NUMBER) | c.rlike(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    return F.when(possible & fold(c).rlike(TRAILING_PHRASES), out).otherwise(c)
+    phrase = c.rlike(may_fold_to(TRAILING_PHRASES)) & fold(c).rlike(TRAILING_PHRASES)
+    return F.when(possible & phrase, out).otherwise(c)
 
 
 # Folded words that turn an article mention into a reference.
@@ -411,6 +444,16 @@ def any_accent(phrase: str) -> str:
     return "".join(gap if ch == " " else f"[{ch}{variants.get(ch, '')}]\\p{{Mn}}{{0,8}}" for ch in phrase)
 
 
+def may_fold_to(phrases: str) -> str:
+    """A pattern, quick to look for, that every text has whose folded form holds one of the phrases (split by |): each
+    plain letter may be any character that is not ASCII, and marks may follow."""
+    other = r"\x80-\x{10ffff}"
+    letter = lambda ch: (ch if ch == " " else f"[{ch}{ch.upper()}{other}]") + r"\p{Mn}*"
+    words = phrases.split("|")
+    first = "".join(sorted({w[0] + w[0].upper() for w in words}))
+    return f"(?=[{first}{other}])(?:" + "|".join("".join(map(letter, w)) for w in words) + ")"
+
+
 _REFERENCE = "|".join(any_accent(w) for w in REFERENCE_WORDS)
 # The look-ahead comes first: most gaps between words fail it at once.
 _INLINE_ARTICLE = (
@@ -421,5 +464,5 @@ _INLINE_ARTICLE = (
 
 def split_inline_headings(c: Column) -> Column:
     """A line break before an article heading inside a line, unless it is a reference to that article."""
-    hidden = c.rlike(r"(?iu)[^\S\n](?:điều|dieu)\s+\d+[a-z]?\s*[.:]")
+    hidden = c.rlike(r"[ \t\x0b\f\r](?iu:điều|dieu)\s+\d+(?iu:[a-z]?)\s*[.:]")
     return F.when(hidden, F.regexp_replace(c, _INLINE_ARTICLE, "\n$1")).otherwise(c)

@@ -30,7 +30,7 @@ def may_be_directory(c: Column) -> Column:
     letters may come from character references, or that hide parts in comments or scripts, pass as well."""
     hidden = r"(?i)&(?:#\w+|[a-z][a-z0-9]*);|<(?:!--|script\b|style\b|template\b)"
     bare = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "<[^>]*>", "")).otherwise(c)
-    return c.rlike(hidden) | F.lower(bare).rlike(rf"(?U){any_accent('giang')}\s*{any_accent('vien')}")
+    return c.rlike(hidden) | bare.rlike(rf"(?iuU){any_accent('giang')}\s*{any_accent('vien')}")
 
 
 def is_directory(c: Column) -> Column:

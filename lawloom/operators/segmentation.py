@@ -27,9 +27,12 @@ KEEP_BREAK = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
 
 def prepare_text(c: Column) -> Column:
     """Repairs in their fixed order: normalise, OCR, footnotes, tables, blocks, then the three heading splits."""
-    text = T.chained(c, T.normalize_text, T.repair_ocr, T.drop_footnote_markers)
     return T.chained(
-        html_tables_to_markdown(text),
+        c,
+        T.normalize_text,
+        T.repair_ocr,
+        T.drop_footnote_markers,
+        html_tables_to_markdown,
         T.html_blocks_to_text,
         T.split_appendix_titles,
         T.split_trailing_headings,
@@ -91,11 +94,12 @@ def line_events(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     event = (
         F.when(line.isNull(), "N")
+        .when(~F.left(line, F.lit(1)).rlike(L.MAY_BE_EVENT), "X")
         .when(L.is_real_appendix_heading(line), "A")
         .when(line.rlike(L.PART), "P")
         .when(line.rlike(L.CHAPTER), "C")
         .when(line.rlike(L.SECTION), "S")
-        .when(L.is_amendment_title(T.fold(line)), "M")
+        .when(L.opens_amendment_title(line), "M")
         .when(line.rlike(L.ARTICLE), "R")
         .otherwise("X")
     )
@@ -256,13 +260,16 @@ def item_lines(lines: DataFrame, max_chars: int = L.MAX_CHUNK_CHARS) -> DataFram
     and clause items, long items again by points and bullets. Documents without
     blocks: the same items as sections, else one chunk.
     """
+    # windows over whole groups name the order of the running ones, so that one sort serves both
+    running, whole = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
     whole_doc = Window.partitionBy(ID)
-    per_block = Window.partitionBy(ID, "block_id")
-    in_block = per_block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    per_item = Window.partitionBy(ID, "block_id", "item")
-    in_item = per_item.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    of_block = Window.partitionBy(ID, "block_id").orderBy("line_no")
+    per_block, in_block = of_block.rowsBetween(*whole), of_block.rowsBetween(*running)
+    of_item = Window.partitionBy(ID, "block_id", "item").orderBy("line_no")
+    per_item, in_item = of_item.rowsBetween(*whole), of_item.rowsBetween(*running)
 
     flag = lambda c: F.max(F.coalesce(c, F.lit(False))).over(per_block)
+    again = F.when(F.col("has_block"), T.parser_line(F.col("line"))).otherwise(F.col("line"))
     kind = F.coalesce(F.col("block.kind"), F.lit("none"))
 
     kept = (
@@ -270,14 +277,15 @@ def item_lines(lines: DataFrame, max_chars: int = L.MAX_CHUNK_CHARS) -> DataFram
         .filter(F.col("content") | ~F.col("has_block"))
         .withColumn("block_id", F.when(F.col("has_block"), F.col("block_id")).otherwise(F.lit(0)))
         .withColumn("block", F.when(F.col("has_block"), F.col("block")))
-        .withColumn("line2", F.when(F.col("has_block"), T.parser_line(F.col("line"))).otherwise(F.col("line")))
-        .withColumn("folded2", T.fold(F.col("line2")))
-        .withColumn("is_m", L.is_amendment_title(F.col("folded2")))
-        .withColumn("is_f", L.is_free_form_amendment(F.col("folded2")))
+        .withColumn("raw", F.when(~F.col("has_block"), F.col("raw")))  # only whole documents show it
+        .withColumn("line2", again)
+        .withColumn("is_m", L.opens_amendment_title(F.col("line2")))
+        .withColumn("is_f", L.opens_free_form_amendment(F.col("line2")))
         .withColumn("h", L.accepted_heading(F.col("line2"), "roman", "numbered", "clause"))
-        .withColumn("norm", F.regexp_replace("line", "[ \\t]+", " "))
+        .withColumn("chars", F.length(T.normalize_gaps(F.col("line"))))
+        .drop("line2")  # parsing the line again costs less than the sorts and windows of one more text
     )
-    length = F.sum(F.length("norm") + 1).over(per_block) - 1
+    length = F.sum(F.col("chars") + 1).over(per_block) - 1
     clauses = F.sum(F.when(F.col("h.kind") == "clause", 1).otherwise(0)).over(per_block)
     headed = F.count("h").over(per_block) > 0
     branch = (
@@ -307,12 +315,12 @@ def item_lines(lines: DataFrame, max_chars: int = L.MAX_CHUNK_CHARS) -> DataFram
         .withColumn("item", F.when(split, F.greatest(F.col("item"), F.lit(1))).otherwise(F.col("item")))
         .withColumn(
             "text",
-            F.when(amended | split, F.col("line2"))
+            F.when(amended | split, again)
             .when(F.col("branch") == "unknown", F.col("raw"))
             .otherwise(F.col("line")),
         )
         .filter(F.col("text").isNotNull())
-        .withColumn("item_title", F.max(F.when(F.col("starts"), F.col("line2"))).over(per_item))
+        .withColumn("item_title", F.max(F.when(F.col("starts"), F.col("text"))).over(per_item))
         .withColumn("item_h", F.max(F.when(F.col("starts"), F.struct("h.level", "h.number"))).over(per_item))
     )
     body = F.when(~F.col("starts"), F.col("text"))
@@ -338,42 +346,54 @@ def parse_items(items: DataFrame) -> DataFrame:
     """One row per item: the branches' titles, paths, amendment targets and texts."""
     is_title = F.col("starts") | F.col("sub_h").isNotNull()
     piece = F.when(F.col("branch") == "unknown", F.col("text")).otherwise(F.concat("text", F.lit("\n")))
-    grouped = items.withColumn("is_title", is_title).withColumn("piece", piece).groupBy(ID, "block_id", "item", "sub").agg(
-        F.first("doc").alias("doc"),
-        F.first("block").alias("block"),
-        F.first("branch").alias("branch"),
-        F.first("item_title").alias("item_title"),
-        F.first("item_h").alias("item_h"),
-        F.max(F.when(F.col("sub_h").isNotNull(), F.col("text"))).alias("sub_title"),
-        F.max(F.struct("sub_h.level", "sub_h.number")).alias("sub_h"),
-        F.expr("listagg(CASE WHEN NOT is_title THEN piece END, '') WITHIN GROUP (ORDER BY line_no)").alias("body"),
-    )
-    branch = F.col("branch")
+    parts = {
+        "doc": F.first("doc"),
+        "block": F.first("block"),
+        "branch": F.first("branch"),
+        "item_title": F.first("item_title"),
+        "item_h": F.first("item_h"),
+        "sub_title": F.max(F.when(F.col("sub_h").isNotNull(), F.col("text"))),
+        "sub_h": F.max(F.struct("sub_h.level", "sub_h.number")),
+        "body": F.expr("listagg(CASE WHEN NOT is_title THEN piece END, '') WITHIN GROUP (ORDER BY line_no)"),
+    }
+    branch, body, item_title, sub_title = (parts[c] for c in ("branch", "body", "item_title", "sub_title"))
+    block_title = parts["block"]["title"]
     amended = branch.isin("numbered", "free")
-    own_title = F.coalesce("sub_title", "item_title")
-    content = T.normalize_text(
-        F.when(amended, F.coalesce("body", F.lit(""))).otherwise(F.coalesce("body", own_title))
-    )
-    block_title = F.col("block.title")
     path = (
-        F.when(branch.isin("clause", "appendix_item"), F.concat_ws(" > ", block_title, "item_title", "sub_title"))
-        .when(branch == "section", F.col("item_title"))
+        F.when(branch.isin("clause", "appendix_item"), F.concat_ws(" > ", block_title, item_title, sub_title))
+        .when(branch == "section", item_title)
         .when(branch.isin("article", "appendix"), block_title)
     )
-    title = (
-        F.when(amended, F.col("item_title"))
-        .when(branch == "unknown", T.fallback_title(F.col("body")))
-        .otherwise(path)
+    title = F.when(amended, item_title).when(branch == "unknown", T.fallback_title(body)).otherwise(path)
+    content = F.when(amended, F.coalesce(body, F.lit(""))).otherwise(F.coalesce(body, sub_title, item_title))
+
+    def named(t: Column) -> Column:
+        amendment = T.let(T.fold(t), lambda folded: L.parse_amendment(t, folded))
+        return F.struct(t.alias("title"), F.when(amended, amendment).alias("amendment"))
+
+    # A filter passes below a projection with copies of what it tests, never below an aggregate: texts are worked out here.
+    grouped = (
+        items.withColumn("is_title", is_title)
+        .withColumn("piece", piece)
+        .groupBy(ID, "block_id", "item", "sub")
+        .agg(
+            F.struct(
+                *[c.alias(name) for name, c in parts.items() if name not in ("body", "sub_title")],
+                path.alias("path"),
+                T.normalize_text(content).alias("content"),
+                T.let(T.collapse(title), named).alias("named"),
+            ).alias("found")
+        )
     )
+    branch, block_title, path = F.col("branch"), F.col("block.title"), F.col("path")
+    amended = branch.isin("numbered", "free")
     heading = F.coalesce(F.when(F.col("sub") > 0, F.col("sub_h")), F.col("item_h"))
     article = branch.isin("numbered", "free", "clause", "article")
     appendix = branch.isin("appendix", "appendix_item")
     split = branch.isin("clause", "appendix_item", "section")
-    parsed = (
-        grouped.withColumn("title", T.collapse(title))
-        .withColumn("content", content)
-        .withColumn("amendment", F.when(amended, L.parse_amendment(F.col("title"), T.fold(F.col("title")))))
-        .filter((F.col("content") != "") & (~amended | F.col("amendment").isNotNull()))
+    missing = F.col("found.branch").isin("numbered", "free") & F.col("found.named.amendment").isNull()
+    parsed = grouped.filter((F.col("found.content") != "") & ~missing).select(
+        ID, "block_id", "item", "sub", "found.*", "found.named.*"
     )
     order_number = F.when(branch == "numbered", F.regexp_extract("item_title", L.AMENDMENT_ITEM, 1))
     return parsed.select(
@@ -448,33 +468,51 @@ def merge_small_sections(
 
     Every step is keyed by the document, so the chunks stay where the parser left them.
     """
+    return _merged(parsed, max_chars, min_chars, keep_items).drop("chunk_index", "total_chunks")
+
+
+def _merged(parsed: DataFrame, max_chars: int, min_chars: int, keep_items: bool) -> DataFrame:
+    """The merged chunks with their chunk_index and total_chunks, which are their places in the document's array."""
     others = [c for c in parsed.columns if c not in (ID, *_ORDER)]
-    row = F.struct(*_ORDER, *others)
-    numbered = (
+    per_doc = (
         parsed.groupBy(ID)
-        .agg(F.array_sort(F.collect_list(row), _by_position).alias("s"))
-        .select(ID, F.explode(F.arrays_zip("s", section_groups(F.col("s"), max_chars, min_chars).alias("g"))).alias("z"))
-        .select(ID, F.col("z.g").alias("group"), "z.s.*")
+        .agg(F.array_sort(F.collect_list(F.struct(*_ORDER, *others)), _by_position).alias("s"))
+        .withColumn("g", _grouped_members(F.col("s"), max_chars, min_chars))
     )
-    first = Window.partitionBy(ID, "group").orderBy(*_ORDER)
-    pieces = numbered.withColumn("rn", F.row_number().over(first)).withColumn(
-        "piece",
-        F.when(F.col("rn") == 1, F.col("content")).otherwise(
-            F.concat_ws("\n", F.nullif("title", F.lit("")), "content")
-        ),
-    )
-    head = F.first(F.when(F.col("rn") == 1, F.struct(*_ORDER, *others)), ignorenulls=True)
-    merged = pieces.groupBy(ID, "group").agg(
-        head.alias("head"),
-        F.expr("listagg(piece, '\\n\\n') WITHIN GROUP (ORDER BY rn)").alias("merged"),
-        F.expr("listagg(section_path, ' > ') WITHIN GROUP (ORDER BY rn)").alias("path"),
-        F.count("*").alias("parts"),
-        *([F.array_sort(F.collect_set("item")).alias("items")] if keep_items else []),
+    merged = per_doc.select(
+        ID, F.size("g").cast("bigint").alias("total_chunks"), F.posexplode("g").alias("chunk_index", "members")
+    ).withColumn("head", F.col("members")[0])
+    piece = lambda x, i: F.when(i == 0, x["content"]).otherwise(F.concat_ws("\n", F.nullif(x["title"], F.lit("")), x["content"]))
+    joined = T.normalize_text(F.array_join(F.transform("members", piece), "\n\n"))
+    paths = F.array_compact(F.transform("members", lambda x: x["section_path"]))
+    kept = {
+        "content": F.when(F.size("members") > 1, joined).otherwise(F.col("head.content")),
+        "section_path": F.when(F.size("members") > 1, F.when(F.size(paths) > 0, F.array_join(paths, " > "))).otherwise(F.col("head.section_path")),
+    }
+    items = F.array_sort(F.array_distinct(F.transform("members", lambda x: x["item"])))
+    return merged.select(
+        ID,
+        *[kept.get(c, F.col(f"head.{c}")).alias(c) for c in parsed.columns if c != ID],
+        *([items.alias("items")] if keep_items else []),
+        F.col("chunk_index").cast("bigint").alias("chunk_index"),
+        "total_chunks",
     )
-    text = F.when(F.col("parts") > 1, T.normalize_text(F.col("merged"))).otherwise(F.col("head.content"))
-    kept = {"content": text, "section_path": F.col("path")}
-    more = ["items"] if keep_items else []
-    return merged.select(ID, *[kept.get(c, F.col(f"head.{c}")).alias(c) for c in parsed.columns if c != ID], *more)
+
+
+def _grouped_members(chunks: Column, max_chars: int, min_chars: int) -> Column:
+    """The chunks of each group as an array; chunks of documents without sections are groups of one."""
+
+    def cut(groups: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), groups)
+        first = F.filter(F.transform(groups, lambda g, i: F.when(g != F.get(before, i), i + 1)), lambda at: at.isNotNull())
+        return T.let(
+            F.concat(first, F.array(F.size(groups) + 1)),
+            lambda starts: F.transform(first, lambda at, k: F.slice(chunks, at, F.get(starts, k + 1) - at)),
+        )
+
+    alone = F.transform(chunks, lambda x: F.array(x))
+    some = F.exists(chunks, lambda x: x["chunk_kind"] == "section")
+    return F.when(some, T.let(section_groups(chunks, max_chars, min_chars), cut)).otherwise(alone)
 
 
 def _by_position(left: Column, right: Column) -> Column:
@@ -509,8 +547,8 @@ def parse_documents(
     directory = directory_chunks(source.filter(may_be_directory(F.col("text"))), ready, carry)
     lines = document_lines(source, ready, carry, skip_directories=True)
     parsed = parse_items(item_lines(block_lines(line_events(lines)), max_chars))
-    merged = merge_small_sections(parsed, max_chars, min_section_chars, keep_items)
-    return number_chunks(merged).unionByName(number_chunks(directory), allowMissingColumns=True)
+    merged = _merged(parsed, max_chars, min_section_chars, keep_items)
+    return merged.unionByName(number_chunks(directory), allowMissingColumns=True)
 
 
 def layout_lines(docs: DataFrame, text: str = "text", prepared: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lawloom import session
 from lawloom.functions import legal as L
 from lawloom.functions import text as T
 from lawloom.functions.tables import html_tables_to_markdown
@@ -374,7 +375,9 @@ CARRY = ("source", "title", "source_type", "version_id", "version_no", "previous
 
 
 def chunk_table(spark, sf_dir):
-    return C.build_chunks(S.parse_documents(chunk_documents(spark, sf_dir), carry=CARRY))
+    """Chunks of all legal texts. Parsing reads its texts three times, so their joins and lines are worked out before."""
+    docs = session.materialize(chunk_documents(spark, sf_dir), "documents")
+    return C.build_chunks(S.parse_documents(docs, carry=CARRY))
 
 
 def laid_out_chunk_table(spark, sf_dir):

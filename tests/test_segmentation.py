@@ -181,3 +181,12 @@ def test_partitions_grow_with_the_text(spark, monkeypatch):
     assert count() <= spark.sparkContext.defaultParallelism
     monkeypatch.setattr(S, "PARTITION_CHARS", 10)
     assert count() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_worked_out_once(spark):
+    """The optimizer copies what a filter tests, and a repair that names its text twice runs all steps before it twice."""
+    docs = spark.createDataFrame([(1, "Điều 1. Tên\nnội dung")], "doc_id long, text string")
+    repaired = docs.select(S.prepare_text(docs["text"]).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert repaired.count("(?:điểu|diểu|diều|dieu)") == 1
+    plan = S.parse_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 400_000

@@ -1,8 +1,12 @@
+import random
+import re
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lawloom.functions import legal as L
 from lawloom.functions import text as T
 from lawloom.functions.tables import html_tables_to_markdown, table_markdown
@@ -188,3 +192,26 @@ def test_spans_of_tables_are_bounded(one):
 def test_a_cell_reaches_down_over_several_rows(one):
     html = "<table><tr><td>h<td>i<td>j</tr><tr><td>k<td>l<td>m</tr><tr><td rowspan=3>A<td>1<td rowspan=2>B</tr><tr><td>2</tr><tr><td>3</tr></table>"
     assert one(html, table_markdown) == "\n| h - k | i - l | j - m |\n| --- | --- | --- |\n| A | 1 | B |\n| A | 2 | B |\n| A | 3 |  |\n"
+
+
+def test_quick_tests_change_nothing(spark):
+    """Texts with marks, blanks and capitals of all kinds: what the quick tests let through is what the full rules find."""
+    rng = random.Random(5)
+    parts = ["1", ".", " ", "\t", "\u0301", "\u00a0", "\u3000", "\x1c", "#", "Sửa", "đổi", "SỬA ĐỔI", "sua doi", "bổ sung", "Bo\u0302\u0309",
+             "Điều 5", "DIEU 7", "khoản 2", "Phụ lục", "PHỤ LỤC II", "phu\u0323 lu\u0323c", "İ", "x", "12", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts += ["", "1. Sửa đổi Điều 5", "\u03011. SU\u031b\u0309A ĐÔ\u0309I điều 5", "bãi bỏ khoản 2", "###### 7", "#######", "a\n  b"]
+    t, line = F.col("t"), F.translate("t", "\n", " ")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        "t", T.strip(t).alias("strip"), T.parser_line(line).alias("parsed"), line.alias("line"),
+        L.opens_amendment_title(line).alias("title"), L.is_amendment_title(T.fold(line)).alias("title_all"),
+        L.opens_free_form_amendment(line).alias("free"), L.is_free_form_amendment(T.fold(line)).alias("free_all"),
+        t.rlike(T.may_fold_to(T.TRAILING_PHRASES)).alias("may"), T.fold(t).rlike(T.TRAILING_PHRASES).alias("has"),
+    )
+    found = rows.collect()
+    for r in found:
+        assert r.strip == r.t.strip(), repr(r.t)
+        x = re.sub(r"^\s*#{1,6}\s*", "", r.line.strip()).strip()
+        assert r.parsed == (None if not x or re.fullmatch(r"\d{1,3}", x) else x), repr(r.t)
+        assert (r.title, r.free) == (r.title_all, r.free_all) and r.may >= r.has, repr(r.t)
+    assert all(any(getattr(r, c) for r in found) for c in ("title", "free", "has"))
