@@ -35,7 +35,7 @@ def retrieve_and_rank(
     if questions is None:
         return R.rerank(hits, F.lit(""), F.lit(""), top_k, enabled=False, fallback_keep=fallback_keep)
     text = R.candidate_text(F.col("title"), F.col("section_path"), F.col("text"))
-    hits = hits.join(questions, "query_id")
+    hits = materialize(hits, "hits").join(questions, "query_id")  # the pairs and all hits are read from it: one search
     paired = R.limit_candidates(R.deduplicate(hits), key="key").drop("candidate_rank", "matched_query_count")
     paired = paired.join(points.select("id", "title", "section_path", "text"), "id")
     ranked = R.rerank(
@@ -123,7 +123,8 @@ def answer_questions(
         F.col("route.candidate_top_k").alias("k"), canonical_filters(F.col("route.filters")).alias("filters"),
     )
     texts = kept.select("query_id", "question", F.col("route.top_k").alias("top_k"))
-    ranked = retrieve_and_rank(points, vectors, F.col("top_k"), FILTERS, texts, load_scorer)
+    # relations read the ranked hits several times, each with a search and its broadcasts if they were not written
+    ranked = materialize(retrieve_and_rank(points, vectors, F.col("top_k"), FILTERS, texts, load_scorer), "primary")
     ranked = materialize(relate(ranked, points, kept.filter("route.use_related").select("query_id")), "ranked")
     cited, context = cite(ranked, points, documents, latest)
     ids = cited.groupBy("query_id").agg(

@@ -84,3 +84,16 @@ def test_top_k_beyond_ten(spark):
 def test_low_context_reaches_no_search(spark):
     out, _ = answers(spark, asked(spark, ("xin", None)))
     assert out[0].strategy == "low_context_or_invalid" and out[0].sources == 0 and out[0].source_ids is None
+
+
+def test_hits_are_searched_once(spark, monkeypatch):
+    """Relations read the ranked hits several times: no stage but the written hits holds the search."""
+    plans = {}
+
+    def noted(df, name="stage"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        return materialize(df, name)
+
+    monkeypatch.setattr(A, "materialize", noted)
+    answers(spark, asked(spark, ("học phí theo Điều 1", "")))
+    assert plans == {"hits": 1, "primary": 0, "ranked": 0}
