@@ -12,9 +12,11 @@ that Spark deals to tasks; their fragments are reduced `FAN` at a time over the
 were written: only the open ends, a few tokens each, travel up the tree.
 
 Units. Neither tokenizer joins a space or a line feed to a character before it that is no white space, so a text falls
-into units there that are tokenized alone with the same result; each distinct unit is tokenized, compared with its bytes
-and aligned once per task. A byte range reads the units that its ends lie in from both sides. Where no unit begins within
-`CHUNK` characters of the wanted end, the two ranges stay together.
+into units there that are tokenized alone, or after any other unit, with the same result. New units are tokenized many to
+a string and told apart by their bytes; a string whose bytes differ, or in which an end of a unit is no common end, is cut
+into smaller ones, down to single units. Between batches a task keeps what it knows of the units that it meets most, a
+bounded number; others are tokenized again where they come back. A byte range reads the units that its ends lie in from
+both sides. Where no unit begins within `CHUNK` characters of the wanted end, the two ranges stay together.
 
 Counts. An id pair's count is the number of rows whose text holds it linked. Texts are tokenized once: the distinct pairs
 of each, and how often it links them, are written. Tasks count their pairs before the shuffle; pairs of long texts are
@@ -49,7 +51,9 @@ from lawloom.sources.blocks import BlockTable, slices, write_blocks
 
 CHUNK = 1 << 15  # characters of a byte range
 FAN = 16  # fragments that are composed at once
-KNOWN_UNITS = 180_000
+KNOWN_UNITS = 80_000  # above this, a task keeps half as many at most before the next batch
+JOINED_UNITS = (64, 8, 1)  # units that are tokenized as one string, fewer where that fails
+LEARNED_UNITS = 20_000  # units that are aligned at once
 TEXT_BYTES = 3 << 20  # text that is worked on at once
 COUNT_ROWS = 1 << 20
 SLICE_BYTES = 48 << 20
@@ -76,12 +80,13 @@ class Tokenizers:
         plain = {c: i for i, c in enumerate(_byte_letters())}
         with open(path_a, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.bytes_a = {i: bytes(plain[c] for c in token) for token, i in vocabulary.items() if all(c in plain for c in token)}
+        self.bytes_a = [b"\xff"] * (max(vocabulary.values()) + 1)  # a byte that no text has
+        for token, i in vocabulary.items():
+            if all(c in plain for c in token):
+                self.bytes_a[i] = bytes(plain[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
-        self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
-        self.length_a, self.length_b = (np.zeros(max(x) + 1, np.int64) for x in (self.bytes_a, self.bytes_b))
-        for lengths, tokens in ((self.length_a, self.bytes_a), (self.length_b, self.bytes_b)):
-            lengths[list(tokens)] = [len(x) for x in tokens.values()]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # Places where a unit may begin: no piece of B goes on over them.
         whole = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         starts = [c for c, safe in ((" ", not any("▁" in p.lstrip("▁") for p in whole)), ("\n", not any("\n" in p for p in whole))) if safe]
@@ -89,29 +94,53 @@ class Tokenizers:
         self.unit = re.compile(rf"[ \n]{_SPACE}*{_OTHER}*(?:(?!{self.starts}){_SPACE}+{_OTHER}*)*")
         self.cut = re.compile(rf"(?<={_OTHER}){self.starts}")
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Which units have the bytes of their tokens, and for A and B the ids of all units and how many each has; units
-        that differ have none."""
-        space = self.b.piece_to_id("▁")
-        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        # B adds the space that a unit begins with; where it begins with a line feed, that space is taken off again.
-        ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for i, unit in enumerate(units):
-            if unit == " ":
+        self.joins = re.compile(rf"{self.starts}.*{_OTHER}", re.DOTALL)
+
+    def strings(self, units: list[str], size: int) -> list[list[str]]:
+        """The units dealt to strings, `size` to each; those that others may not begin or end beside have their own."""
+        if size == 1:
+            return [[u] for u in units]
+        joined, alone = [], []
+        for u in units:
+            (joined if self.joins.fullmatch(u) else alone).append(u)
+        return [joined[i : i + size] for i in range(0, len(joined), size)] + [[u] for u in alone]
+
+    def encode(self, strings: list[list[str]]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Which strings of units have the bytes of their tokens and a common end where a unit ends; of the units of these,
+        one after the other, their bytes, and for A and B the ids of all and how many each has."""
+        space, texts = self.b.piece_to_id("▁"), ["".join(s) for s in strings]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B adds the space that a string begins with; where it begins with a line feed, that space is taken off again.
+        ids_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        for i, text in enumerate(texts):
+            if text == " ":
                 ids_b[i] = [space]
-            elif unit[0] != " ":
+            elif text[0] != " ":
                 ids_b[i] = ids_b[i][1:] if ids_b[i][:1] == [space] else []
-        data = [u.encode("utf-8", "surrogatepass") for u in units]
-        size, ok, sides = np.fromiter(map(len, data), np.int64, len(data)), np.ones(len(units), bool), []
+        data = "".join(texts).encode("utf-8", "surrogatepass")
+        begins = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)  # of each character
+        held = np.fromiter(map(len, strings), np.int64, len(strings))
+        length = np.fromiter(map(len, chain.from_iterable(strings)), np.int64, held.sum())
+        size = np.diff(np.append(begins, len(data))[np.cumsum(length)], prepend=0)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(held)])].tolist()
+        ok, sides = np.ones(len(strings), bool), []
         for ids, tokens, lengths in ((ids_a, self.bytes_a, self.length_a), (ids_b, self.bytes_b, self.length_b)):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
-            same = np.diff(np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(n)])]) == size
-            if not same.all() or b"".join(map(tokens.get, flat.tolist())) != b"".join(data):
-                same &= [b"".join([tokens.get(i, b"\xff") for i in x]) == d for x, d in zip(ids, data, strict=True)]
-            ok &= same
-            sides.append((flat, n))
-        return ok, *((flat[np.repeat(ok, n)], n * ok) for flat, n in sides)
+            n, flat = np.fromiter(map(len, ids), np.int64, len(ids)), list(chain.from_iterable(ids))
+            made, flat = b"".join(map(tokens.__getitem__, flat)), np.array(flat, np.int64)
+            if made != data:
+                at = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+                ok &= [made[i:j] == data[x:y] for i, j, x, y in zip(at, at[1:], ends, ends[1:], strict=False)]
+            sides.append((flat, n, lengths))
+        size, out, met = size[np.repeat(ok, held)], [], True
+        for flat, n, lengths in sides:
+            flat = flat[np.repeat(ok, n)]
+            after = np.searchsorted(np.cumsum(lengths[flat]), np.cumsum(size)) + 1  # tokens up to the end of each unit
+            met &= np.concatenate([[0], np.cumsum(lengths[flat])])[after] == np.cumsum(size)
+            out.append((flat, np.diff(after, prepend=0)))
+        if not np.all(met):
+            ok[np.repeat(np.flatnonzero(ok), held[ok])[~met]] = False
+            return ok, *self.encode([s for s, fine in zip(strings, ok, strict=True) if fine])[1:]
+        return ok, size, *out
 
 
 def _byte_letters() -> list[str]:
@@ -128,12 +157,15 @@ def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
 
 
 _MARKS = ",|;"
+_MARKED: list[str] = []
+_TENS = 10 ** np.arange(1, 18)
 
 
-@lru_cache(maxsize=1 << 17)
-def _marked(number: int) -> str:
-    """An id with the mark that follows it."""
-    return f"{number // len(_MARKS)}{_MARKS[number % len(_MARKS)]}"
+def _marked(numbers: np.ndarray) -> list[str]:
+    """Ids with the mark that follows them, from id * 3 + mark. Those of the vocabularies are made once."""
+    if len(numbers) and (top := int(numbers.max()) // len(_MARKS) + 1) * len(_MARKS) > len(_MARKED):
+        _MARKED.extend(f"{i}{m}" for i in range(len(_MARKED) // len(_MARKS), top) for m in _MARKS)
+    return list(map(_MARKED.__getitem__, numbers.tolist()))
 
 
 @dataclass
@@ -163,10 +195,9 @@ class Groups:
         order[at_a], order[at_b] = self.a * len(_MARKS), self.b * len(_MARKS)
         order[(after_a + after_b - self.size_b) - 1] += 1
         order[after_a + after_b - 1] += 2
-        words = list(map(_marked, order.tolist()))
-        size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        size = np.concatenate([[0], np.cumsum(2 + np.searchsorted(_TENS, order // len(_MARKS), side="right"))])
         stops = size[np.concatenate([[0], after_a + after_b])[np.asarray(ends, np.int64)]].tolist()
-        text = "".join(words)
+        text = "".join(_marked(order))
         return [text[i : j - 1] if j > i else "" for i, j in zip([0, *stops], stops, strict=False)]
 
     def after(self, k: int) -> Groups:
@@ -232,6 +263,10 @@ class Rows:
         length = self.ends[rows + 1] - self.ends[rows]
         return self.values[np.repeat(self.ends[rows] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
 
+    def keep(self, rows: np.ndarray) -> None:
+        """Only these rows, in this order."""
+        self.values, self.ends = self.take(rows), np.concatenate([[0], np.cumsum(self.lengths()[rows])])
+
     def lengths(self) -> np.ndarray:
         return np.diff(self.ends)
 
@@ -241,32 +276,50 @@ class Units:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.clear()
-
-    def clear(self) -> None:
-        self.number, self.text, self.known = {}, [], []
+        self.number, self.text, self.known, self.uses = {}, [], [], np.empty(0, np.int64)
         self.a, self.b, self.size_a, self.codes, self.bytes = (Rows() for _ in range(5))
 
+    def forget(self) -> None:
+        """Keep the units met most, half of KNOWN_UNITS at most. What was met before counts half from now on."""
+        often = np.flatnonzero(self.uses > 1)
+        kept = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: KNOWN_UNITS // 2]])
+        names, self.uses = list(self.number), self.uses[kept] // 2
+        for rows in (self.a, self.b, self.size_a, self.codes, self.bytes):
+            rows.keep(kept)
+        self.number = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.text, self.known = [self.text[i] for i in kept.tolist()], [self.known[i] for i in kept.tolist()]
+
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The units of each text (given with its leading space) by number."""
         if len(self.number) > KNOWN_UNITS:
-            self.clear()
+            self.forget()
         split = [self.tokenizers.unit.findall(t) for t in texts]
         fresh = list(set(chain.from_iterable(split)).difference(self.number))
-        for i in range(0, len(fresh), 20_000):
-            self._learn(fresh[i : i + 20_000])
+        for size in JOINED_UNITS:
+            strings, fresh = self.tokenizers.strings(fresh, size), []
+            for i in range(0, len(strings), LEARNED_UNITS // size):
+                fresh += self._learn(strings[i : i + LEARNED_UNITS // size])
         for rows in (self.a, self.b, self.size_a, self.codes, self.bytes):
             rows.settle()
         self.ok = np.array(self.known, bool)
         self.sums = np.column_stack([rows.lengths() for rows in (self.a, self.b, self.size_a)])
-        return [np.fromiter(map(self.number.__getitem__, units), np.int64, len(units)) for units in split]
-
-    def _learn(self, units: list[str]) -> None:
-        """Tokens and groups of all these units at once: they are one text, in which every unit ends at a common end."""
+        out = [np.fromiter(map(self.number.__getitem__, units), np.int64, len(units)) for units in split]
+        self.uses = np.append(self.uses, np.zeros(len(self.known) - len(self.uses), np.int64))
+        if out:
+            self.uses += np.bincount(np.concatenate(out), minlength=len(self.known))
+        return out
+
+    def _learn(self, strings: list[list[str]]) -> list[str]:
+        """Tokens and groups of all these units at once: they are one text, in which every unit ends at a common end.
+        Returns the units of strings that failed; those that failed alone are known to have no tokens."""
         t = self.tokenizers
-        ok, (a, n_a), (b, n_b) = t.encode(units)
-        self.number.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.known += ok.tolist()
+        ok, size, (a, n_a), (b, n_b) = t.encode(strings)
+        found = list(chain.from_iterable(s for s, fine in zip(strings, ok, strict=True) if fine))
+        failed = [s for s, fine in zip(strings, ok, strict=True) if not fine]
+        lost = [s[0] for s in failed if len(s) == 1]
+        self.number.update(zip(found + lost, range(len(self.known), len(self.known) + len(found) + len(lost)), strict=True))
+        self.known += [True] * len(found) + [False] * len(lost)
+        n_a, n_b, size = (np.append(x, np.zeros(len(lost), np.int64)) for x in (n_a, n_b, size))
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
         ends_a, ends_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
         cuts, groups = cut_groups(a, ends_a, b, ends_b)
@@ -275,8 +328,9 @@ class Units:
         for rows, values, ends in ((self.a, a, last_a), (self.b, b, last_b), (self.size_a, groups.size_a, last_group),
                                    (self.codes, groups.codes(t.size_b), last_link)):
             rows.extend(values, ends)
-        self.bytes.extend(np.array([len(u.encode("utf-8", "surrogatepass")) for u in units], np.int64), np.arange(1, len(units) + 1))
+        self.bytes.extend(size, np.arange(1, len(size) + 1))
         self.text += groups.texts(last_group)
+        return list(chain.from_iterable(s for s in failed if len(s) > 1))
 
     def part(self, numbers: np.ndarray) -> Part:
         """The groups of units in a row."""

@@ -135,3 +135,51 @@ def test_a_group_may_span_byte_ranges():
 
 def test_empty_table(spark):
     assert T.align_documents(spark.createDataFrame([], SCHEMA), A, B, carry=["doc_id"]).collect() == []
+
+
+class Counted:
+    """Sentencepiece that counts the strings it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.strings = inner, 0
+
+    def encode(self, strings, **kw):
+        self.strings += len(strings)
+        return self.inner.encode(strings, **kw)
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+def test_units_share_strings_and_frequent_units_stay_known(monkeypatch):
+    t = T.Tokenizers(A, B)
+    t.b = Counted(t.b)
+    units = T.Units(t)
+    often = [f" word{i}," for i in range(400)]
+    units.numbers(["".join(often)] * 4)
+    assert t.b.strings <= 400 // 8
+    monkeypatch.setattr(T, "KNOWN_UNITS", 1000)
+    units.numbers(["".join(f" rare{i}" for i in range(2000))])
+    t.b.strings = 0
+    numbers = units.numbers(["".join(often)])
+    assert t.b.strings == 0 and len(units.number) == len(units.known) == len(units.text) == 400
+    again = T.Units(t)
+    assert units.part(numbers[0]).text == again.part(again.numbers(["".join(often)])[0]).text
+
+
+def test_units_in_strings_are_as_alone(monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abehilnorst',.é字🙂ﬁ　Å") for _ in range(rng.randint(1, 8)))
+    texts = [" " + "".join(word() + rng.choice([" ", " ", "\n", "  ", " \n"]) for _ in range(40)) for _ in range(50)]
+    texts += [t.replace("b", "▁", 1) for t in texts[:20]]  # B takes this letter for a space, so the bytes differ
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    for sizes in ((64, 8, 1), (3, 1), (1,)):
+        monkeypatch.setattr(T, "JOINED_UNITS", sizes)
+        units = T.Units(T.Tokenizers(A, B))
+        for text, n in zip(texts, units.numbers(texts)):
+            want = groups_of(text[1:], a, b)
+            assert units.ok[n].all() == (want is not None)
+            if want is not None:
+                assert units.part(n).text == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
+        assert 0 < len(units.known) - sum(units.known) <= 20
