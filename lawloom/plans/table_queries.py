@@ -167,7 +167,8 @@ def snk_5_chunk_rows(spark, sf_dir):
 
 @query
 def snk_6_embedding_ids(spark, sf_dir):
-    c = chunk_table(spark, sf_dir).drop("metadata")
+    # the chunks and the new ids are two branches of one table, which is parsed once for them
+    c = session.materialize(chunk_table(spark, sf_dir).select("chunk_id", "chunk_index", "embedding_id"), "chunks")
     ids = c.filter("chunk_index % 2 = 0").select("chunk_id", F.concat(F.lit("p-"), "chunk_id").alias("new_embedding_id"))
     return sinks.set_embedding_ids(c, ids).select("chunk_id", "chunk_index", "embedding_id")
 

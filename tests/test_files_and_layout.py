@@ -281,3 +281,54 @@ def test_escaped_keys_of_child_blocks_count(spark):
     found = Y.layout_entries(made)
     assert {r.text for r in found.collect()} == {"deepest", "flat"}
     assert "layouts-" in found.inputFiles()[0]  # the layouts were written once
+
+
+def counted(spark):
+    """A counter, and a column function that adds each row that it is worked out for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    return seen, F.udf(count, "long").asNondeterministic()
+
+
+def test_chunk_rows_and_embedding_ids_read_the_chunks_once(spark, monkeypatch):
+    from lawloom.plans import table_queries as Q
+
+    rows = spark.createDataFrame(
+        [("a", "1", 0), ("b", "1", 1), ("c", "2", 0), ("d", "2", 0)], "chunk_id string, version_id string, chunk_index long"
+    )
+    for query, expected in (
+        (Q.snk_5_chunk_rows, [("1", 2, 1, False), ("2", 2, 0, True)]),
+        (Q.snk_6_embedding_ids, [("a", 0, "p-a"), ("b", 1, None), ("c", 0, "p-c"), ("d", 0, "p-d")]),
+    ):
+        seen, count = counted(spark)
+        chunks = rows.withColumns({"chunk_index": count("chunk_index"), "embedding_id": F.lit(None).cast("string"), "metadata": F.lit("m")})
+        monkeypatch.setattr(Q, "chunk_table", lambda *_: chunks)  # noqa: B023
+        assert sorted(tuple(r) for r in query(spark, "").collect()) == expected
+        assert seen.value == 4
+
+
+def test_chunk_artifacts_are_made_from_chunks_read_once(spark, tmp_path):
+    seen, count = counted(spark)
+    box = 'array<struct<bbox:array<double>,page_idx:int>>'
+    meta = f"struct<source:string,page_sizes:map<int,struct<width:double,height:double>>,page_indices:array<int>,bboxes:{box},part:string>"
+    sizes = {0: (595.0, 842.5), 12: (1e21, 1e-7)}
+    rows = [
+        (f"id{d}-{i}", d, i, 3, "document_chunk", None if i else 'Điều "1"\n\\', "", f"a\tb\n{d} đ {i} ", ("s", sizes if i else None, [0, 1], [([0.0, 1.5], 2)], None))
+        for d in range(9) for i in (2, 0, 1)
+    ]
+    schema = f"chunk_id string, document_id long, chunk_index long, total_chunks long, chunk_type string, title string, section_path string, chunk_text string, metadata {meta}"
+    plain = spark.createDataFrame(rows, schema)
+    sinks.write_chunk_artifacts(plain.withColumn("total_chunks", count("total_chunks")), str(tmp_path), buckets=4)
+    assert seen.value == len(rows)
+    stored = spark.read.json(f"{tmp_path}/json").select("chunk_id", "chunk_text").collect()
+    assert sorted(tuple(r) for r in stored) == sorted((r[0], r[7]) for r in rows)
+    files_read = spark.read.text(f"{tmp_path}/text", wholetext=True).select("value").collect()
+    blocks = {r.document_id: r.b for r in plain.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", sinks.chunk_block().alias("b")))).alias("b")).collect()}
+    assert len(blocks) == 9
+    for parts in blocks.values():
+        whole = "".join(p.b + "\n\n" for p in parts)
+        assert sum(whole in f.value for f in files_read) == 1
