@@ -188,8 +188,10 @@ def snk_7_artifact_keys(spark, sf_dir):
 def snk_8_chunk_artifacts(spark, sf_dir):
     """Chunks written as JSON rows and text blocks, and both read back."""
     path = session.scratch_path(spark, "artifacts")
-    sinks.write_chunk_artifacts(chunk_table(spark, sf_dir), path)
-    rows = spark.read.json(f"{path}/json").groupBy(F.col("document_id").cast("string").alias("document_id"))
+    chunks = chunk_table(spark, sf_dir)
+    sinks.write_chunk_artifacts(chunks, path)
+    stored = chunks.select("document_id", "chunk_text", "total_chunks").schema  # else all rows are read once more for it
+    rows = spark.read.schema(stored).json(f"{path}/json").groupBy(F.col("document_id").cast("string").alias("document_id"))
     counted = rows.agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"), F.max("total_chunks").cast("bigint").alias("total_chunks"))
     block = F.regexp_extract("value", "^document_id: (.*)$", 1)
     blocks = spark.read.text(f"{path}/text").select(block.alias("document_id")).filter("document_id <> ''")

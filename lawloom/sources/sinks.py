@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 VECTOR_SIZE = 1024
 
@@ -130,14 +131,31 @@ def chunk_block() -> Column:
     )
 
 
+def _as_json(kind: DataType) -> DataType:
+    """The type that JSON gives back: the keys of maps are strings."""
+    if isinstance(kind, MapType):
+        return MapType(StringType(), _as_json(kind.valueType))
+    if isinstance(kind, ArrayType):
+        return ArrayType(_as_json(kind.elementType))
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _as_json(f.dataType)) for f in kind])
+    return kind
+
+
 def write_chunk_artifacts(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks as JSON rows and as text blocks, in directories by a hash of the document; a document's blocks are in
-    order in one file, and every block and row names its document."""
+    """Chunks as JSON rows and as text blocks, gzipped, in directories by a hash of the document; a document's blocks are
+    in order in one file, and every block and row names its document.
+
+    The chunks are worked out and shuffled once: the text blocks are made from the JSON rows. A bucket is one compressed
+    file, which one task reads."""
+    order = ["bucket", "document_id", "chunk_index"]
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).alias("bucket")
-    rows = chunks.select("*", bucket).repartition("bucket").sortWithinPartitions("bucket", "document_id", "chunk_index")
-    rows.write.partitionBy("bucket").json(f"{path}/json")
-    text = rows.select(F.concat(chunk_block(), F.lit("\n")).alias("value"), "bucket")
-    text.write.partitionBy("bucket").text(f"{path}/text")
+    rows = chunks.select("*", bucket).repartition("bucket").sortWithinPartitions(*order)
+    once = {"compression": "gzip", "maxRecordsPerFile": 0}
+    rows.write.options(**once).partitionBy("bucket").json(f"{path}/json")
+    written = chunks.sparkSession.read.schema(_as_json(rows.schema)).json(f"{path}/json")
+    text = written.select(*order, F.concat(chunk_block(), F.lit("\n")).alias("value")).sortWithinPartitions(*order)
+    text.select("value", "bucket").write.options(**once).partitionBy("bucket").text(f"{path}/text")
 
 
 EVALUATION_COLUMNS = (
