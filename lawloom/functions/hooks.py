@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions.text import keyword_text
+from lawloom.functions.text import keyword_text, let
 
 DEFAULT_DIM = 1024
 
@@ -48,8 +48,8 @@ def embed(df: DataFrame, text: str, load: Callable | None = None, name: str = "e
 def lexical_overlap(query: Column, text: Column) -> Column:
     """Deterministic default pair score: the share of distinct query words that the text contains."""
     words = lambda c: F.array_distinct(F.filter(F.split(keyword_text(c), " "), lambda w: w != ""))
-    q = words(query)
-    return F.coalesce(F.size(F.array_intersect(q, words(text))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
+    share = lambda q: F.size(F.array_intersect(q, words(text))) / F.nullif(F.size(q), F.lit(0))
+    return F.coalesce(let(words(query), share), F.lit(0.0))
 
 
 def pair_score(query: Column, text: Column, load: Callable | None = None) -> Column:

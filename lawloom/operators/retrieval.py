@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from lawloom.functions import legal as L
 from lawloom.functions.hooks import pair_score
-from lawloom.functions.text import collapse, fold_collapsed, strip
+from lawloom.functions.text import collapse, fold_collapsed, let, strip
 from lawloom.operators.nearest import Clusters
 from lawloom.operators.ordered import top_per_key
 from lawloom.session import materialize
@@ -61,6 +61,8 @@ def vector_topk(
         f"query_id {queries.schema['query_id'].dataType.simpleString()},"
         f"query_index {queries.schema['query_index'].dataType.simpleString()},k int,id {id_type},score double"
     )
+    # as many tasks as cores: each sends k rows a query, and slices bound what it holds
+    corpus = corpus.coalesce(max(2, queries.sparkSession.sparkContext.defaultParallelism))
     found = corpus.mapInArrow(_searcher(blocks, max(1, block_bytes // (8 * (width or 0) + 256))), schema)
     # a literal bound first, so that Spark limits rows per query before the shuffle
     ranked = top_per_key(found, QUERY, [F.col("score").desc(), F.col("id")], largest or 0)
@@ -249,7 +251,7 @@ def expanded_queries(question: Column, expansions: Column) -> Column:
         ),
     )
     texts = F.transform(first, lambda s: s["text"])
-    return F.when(F.size(texts) > 0, texts).otherwise(F.array(question))
+    return let(texts, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(question)))
 
 
 def explode_queries(questions: DataFrame, expansions: Column) -> DataFrame:
@@ -318,6 +320,7 @@ def appendix_relations(hits: DataFrame, chunks: DataFrame, limit: int = RELATED_
         "document_id",
         F.posexplode(L.appendix_references(collapse(F.col("reference_text")))).alias("position", "ref"),
     )
+    refs = materialize(refs, "references")  # read three times, each with a search through all texts if they were not written
     wanted = refs.select("document_id", "ref").distinct()
     appendix = chunks.filter(F.col("chunk_kind") == "appendix")
     by_number = wanted.join(

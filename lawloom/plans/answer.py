@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lawloom.functions.hooks import embed, generate
 from lawloom.functions.legal import canonical_appendix
+from lawloom.functions.text import keyword_text
 from lawloom.operators import retrieval as R
 from lawloom.operators import routing as Q
 from lawloom.session import materialize
@@ -35,13 +36,19 @@ def retrieve_and_rank(
     if questions is None:
         return R.rerank(hits, F.lit(""), F.lit(""), top_k, enabled=False, fallback_keep=fallback_keep)
     text = R.candidate_text(F.col("title"), F.col("section_path"), F.col("text"))
-    hits = materialize(hits, "hits").join(questions, "query_id")  # the pairs and all hits are read from it: one search
+    hits = materialize(hits, "hits")  # the pairs and all hits are read from it: one search
+    if load_scorer is None:  # the words of a question and of a chunk are worked out once, not for each of their pairs
+        questions = materialize(questions.withColumn("question", keyword_text(F.col("question"))), "questions")
+        text = keyword_text(text)
+    found = points.join(hits.select("id").distinct(), "id", "left_semi")
+    texts = materialize(found.select("id", text.alias("candidate")), "candidates")
     paired = R.limit_candidates(R.deduplicate(hits), key="key").drop("candidate_rank", "matched_query_count")
-    paired = paired.join(points.select("id", "title", "section_path", "text"), "id")
+    paired = paired.join(questions, "query_id").join(texts, "id")
     ranked = R.rerank(
-        paired, F.col("question"), text, top_k, load=load_scorer, fallback_keep=fallback_keep, all_hits=hits
-    )
-    return ranked.drop("title", "section_path", "text", "question")
+        paired, F.col("question"), F.col("candidate"), top_k, load=load_scorer, fallback_keep=fallback_keep,
+        all_hits=hits.join(questions, "query_id"),
+    )
+    return ranked.drop("candidate", "question")
 
 
 def canonical_filters(filters: Column) -> Column:
@@ -111,6 +118,9 @@ def answer_questions(
         points = points.withColumn("previous_chunk_id", F.lit(None).cast("string"))
     asked = questions.withColumn("retrieval_text", Q.retrieval_query(F.col("question"), F.col("history")))
     routed = Q.route_questions(asked, "question" if route_on == "question" else "retrieval_text", top_k, model_answer)
+    # every branch reads the routes, and a filter on the strategy would hold a copy of all rules for each test
+    used = dict.fromkeys(["query_id", "question", "history", "retrieval_text", "route", *([expansion_answer] if expansion_answer else [])])
+    routed = materialize(routed.select([F.col(c).cast("string").alias(c) if routed.schema[c].dataType.typeName() == "void" else c for c in used]), "routed")
     searched = routed.filter(F.col("route.strategy") != Q.LOW)
     expansions = F.array().cast("array<string>")
     if expansion_answer is not None:

@@ -2,9 +2,11 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from lawloom.operators import retrieval as R
 from lawloom.plans import answer as A
 from lawloom.plans import ingest as N
 from lawloom.session import materialize
+from tests.test_files_and_layout import counted
 
 ORIGINAL = """Chương I
 Điều 1. Phạm vi
@@ -97,3 +99,20 @@ def test_hits_are_searched_once(spark, monkeypatch):
     monkeypatch.setattr(A, "materialize", noted)
     answers(spark, asked(spark, ("học phí theo Điều 1", "")))
     assert plans == {"hits": 1, "primary": 0, "ranked": 0}
+
+
+def test_texts_and_routes_are_worked_out_once(spark):
+    points, documents, latest = pieces(spark)
+    seen, count = counted(spark, "string")
+    asked_once = asked(spark, ("Điều 2 quy định gì về học bổng", None), ("Phụ lục 2 là gì", "x"), ("xin", None))
+    out = A.answer_questions(asked_once.withColumn("question", count("question")), points, documents, latest)
+    assert len(out.collect()) == 3 and seen.value == 3
+
+    seen, count = counted(spark, "string")
+    docs = spark.createDataFrame([(1, ORIGINAL, "Quy chế", "1")], "doc_id long, text string, title string, version_id string")
+    assert N.ingest_chunks(docs.withColumn("text", count("text"))).count() > 1 and seen.value == 1
+
+    seen, count = counted(spark, "string")
+    chunks = points.withColumn("reference_text", F.col("text"))
+    hits = chunks.select(F.lit(1).alias("query_id"), F.lit(1).alias("final_rank"), "chunk_id", "document_id", count("reference_text").alias("reference_text"))
+    assert R.appendix_relations(hits, chunks).count() > 0 and seen.value == points.count()
