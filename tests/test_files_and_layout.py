@@ -283,7 +283,7 @@ def test_escaped_keys_of_child_blocks_count(spark):
     assert "layouts-" in found.inputFiles()[0]  # the layouts were written once
 
 
-def counted(spark):
+def counted(spark, kind="long"):
     """A counter, and a column function that adds each row that it is worked out for."""
     seen = spark.sparkContext.accumulator(0)
 
@@ -291,7 +291,7 @@ def counted(spark):
         seen.add(1)
         return x
 
-    return seen, F.udf(count, "long").asNondeterministic()
+    return seen, F.udf(count, kind).asNondeterministic()
 
 
 def test_chunk_rows_and_embedding_ids_read_the_chunks_once(spark, monkeypatch):
@@ -332,3 +332,11 @@ def test_chunk_artifacts_are_made_from_chunks_read_once(spark, tmp_path):
     for parts in blocks.values():
         whole = "".join(p.b + "\n\n" for p in parts)
         assert sum(whole in f.value for f in files_read) == 1
+
+
+def test_entries_of_one_text_share_their_match_text(spark):
+    block = lambda *texts: {"bbox": [0, 0, 9, 9], "lines": [{"bbox": [1, 1, 2, 2], "spans": [span(t)]} for t in texts]}
+    pages = {"pdf_info": [{"para_blocks": [block("Ă  b"), block("Ă  b"), block("C", "c"), block("\u00a0"), block("C")]}]}
+    rows = Y.layout_entries(layouts(spark, pages)).orderBy("entry_no").collect()
+    assert [(r.text, r.folded) for r in rows] == [
+        ("Ă  b", "a b")] * 4 + [("C", "c"), ("c", "c"), ("C c", "c c"), ("C", "c"), ("C", "c")]
