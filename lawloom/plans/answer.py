@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawloom import session
 from lawloom.functions.hooks import embed, generate
 from lawloom.functions.legal import canonical_appendix
 from lawloom.functions.text import keyword_text
@@ -38,10 +39,10 @@ def retrieve_and_rank(
     text = R.candidate_text(F.col("title"), F.col("section_path"), F.col("text"))
     hits = materialize(hits, "hits")  # the pairs and all hits are read from it: one search
     if load_scorer is None:  # the words of a question and of a chunk are worked out once, not for each of their pairs
-        questions = materialize(questions.withColumn("question", keyword_text(F.col("question"))), "questions")
+        questions = session.materialize(questions.withColumn("question", keyword_text(F.col("question"))), "questions")
         text = keyword_text(text)
     found = points.join(hits.select("id").distinct(), "id", "left_semi")
-    texts = materialize(found.select("id", text.alias("candidate")), "candidates")
+    texts = session.materialize(found.select("id", text.alias("candidate")), "candidates")
     paired = R.limit_candidates(R.deduplicate(hits), key="key").drop("candidate_rank", "matched_query_count")
     paired = paired.join(questions, "query_id").join(texts, "id")
     ranked = R.rerank(
@@ -120,7 +121,7 @@ def answer_questions(
     routed = Q.route_questions(asked, "question" if route_on == "question" else "retrieval_text", top_k, model_answer)
     # every branch reads the routes, and a filter on the strategy would hold a copy of all rules for each test
     used = dict.fromkeys(["query_id", "question", "history", "retrieval_text", "route", *([expansion_answer] if expansion_answer else [])])
-    routed = materialize(routed.select([F.col(c).cast("string").alias(c) if routed.schema[c].dataType.typeName() == "void" else c for c in used]), "routed")
+    routed = session.materialize(routed.select([F.col(c).cast("string").alias(c) if routed.schema[c].dataType.typeName() == "void" else c for c in used]), "routed")
     searched = routed.filter(F.col("route.strategy") != Q.LOW)
     expansions = F.array().cast("array<string>")
     if expansion_answer is not None:
